@@ -41,7 +41,10 @@ def suffixes(file_name: Column | str) -> Column:
 
 def suffix(file_name: Column | str) -> Column:
     """Last suffix with its dot, or an empty string."""
-    return F.coalesce(F.try_element_at(suffixes(file_name), F.lit(-1)), F.lit(""))
+    file_name = _col(file_name)
+    last = F.substring_index(file_name, ".", -1)
+    whole = (F.length(last) == F.length(file_name)) | (_hidden(file_name) & (F.instr(F.substr(file_name, F.lit(2)), ".") == 0))
+    return F.when(whole, F.lit("")).otherwise(F.concat(F.lit("."), last))
 
 
 def table_from_path(path: Column | str) -> Column:

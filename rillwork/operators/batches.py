@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rillwork.operators.flow import branch_rows
+from rillwork.session import settle
+
 # Rows that one task may sort. Below it no group can be too large for one task.
 ROWS_PER_TASK = 2_000_000
 # Split points sent to the tasks, and sampled keys per split point that come to the driver.
@@ -29,12 +32,22 @@ def _literal(value, dtype: T.DataType) -> Column:
 
 
 def _search(bounds: Column, size: int, key: Column) -> Column:
-    """Number of sorted bounds that are not above ``key``, by binary search inside one expression."""
+    """Number of sorted bounds that are not above ``key``, by binary search inside one expression.
+
+    The key travels in the accumulator: a column used inside a lambda is not seen by the optimizer when
+    it infers join filters, which then fail.
+    """
     steps = [1 << p for p in reversed(range(size.bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda low, s: F.when(F.get(bounds, low + s - F.lit(1)) <= key, low + s).otherwise(low),
+        F.struct(F.lit(0).alias("low"), key.alias("key")),
+        lambda acc, s: F.struct(
+            F.when(F.get(bounds, acc["low"] + s - F.lit(1)) <= acc["key"], acc["low"] + s)
+            .otherwise(acc["low"])
+            .alias("low"),
+            acc["key"].alias("key"),
+        ),
+        lambda acc: acc["low"],
     )
 
 
@@ -78,11 +91,10 @@ def number_rows(
     slice_of = _search(bounds, len(points), key).alias("_slice")
 
     # Groups that hold a split point: the only ones that can lie in more than one slice.
-    spark = df.sparkSession
     if group:
         cut_schema = T.StructType([T.StructField(f"_cut_{c}", key_frame.schema[c].dataType) for c in group])
         cut_rows = list({tuple(row[c] for c in group) for row in points})
-        cut = F.broadcast(spark.createDataFrame(cut_rows, cut_schema))
+        cut = F.broadcast(branch_rows(df.sparkSession, cut_rows, cut_schema))
         on_cut = [F.col(c).eqNullSafe(F.col(f"_cut_{c}")) for c in group]
         cut_keys = key_frame.join(cut, on_cut, "left_semi")
     else:
@@ -91,10 +103,13 @@ def number_rows(
     ahead = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(
         F.desc("_slice") if descending else F.asc("_slice")
     ).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select(
-        F.col("_slice").alias("_at"),
-        *[F.col(c).alias(f"_of_{c}") for c in group],
-        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"),
+    offsets = settle(
+        counted.select(
+            F.col("_slice").alias("_at"),
+            *[F.col(c).alias(f"_of_{c}") for c in group],
+            F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"),
+        ),
+        "slice-offsets",
     )
 
     local = F.row_number().over(_window(group, order, descending, F.col("_slice")))

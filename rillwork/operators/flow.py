@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillwork.functions.intervals import iso_weekday
 from rillwork.session import settle
@@ -52,10 +53,16 @@ def route_by_type(df: DataFrame, kinds: Sequence[str], type_column: str = "type"
     return {kind: df.filter(F.col(type_column) == F.lit(kind)) for kind in kinds}
 
 
-def branch_rows(spark: SparkSession, items: Sequence[Any], schema: str) -> DataFrame:
-    """A literal sequence as one row per item. Its size is the length of the program text."""
-    rows = [item if isinstance(item, (tuple, dict)) else (item,) for item in items]
-    return spark.createDataFrame(rows, schema)
+def branch_rows(spark: SparkSession, items: Sequence[Any], schema: str | T.StructType) -> DataFrame:
+    """A literal sequence as one row per item, made inside the JVM. Its size is the length of the
+    program text."""
+    fields = (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).fields
+    rows = []
+    for item in items:
+        values = [item[f.name] for f in fields] if isinstance(item, dict) else item
+        values = values if isinstance(values, (tuple, list)) else (values,)
+        rows.append(F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields, strict=True)]))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 def branch_tables(tables: dict[str, DataFrame], step: Step | None = None, column: str = "table_name") -> DataFrame:

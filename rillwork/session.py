@@ -74,3 +74,10 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     path = fresh_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly expressions when the input comes in fewer partitions than there are
+    cores (a few files that cannot be split). With enough partitions nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

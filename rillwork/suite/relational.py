@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rillwork.functions.text import similarity, word_count
 from rillwork.operators import relational
 from rillwork.plans.matching import match_and_enrich
+from rillwork.session import spread
 from rillwork.suite.registry import query, table
 
 # The pairs of names: equal but for case, one letter more, the brand added, the type added.
@@ -23,7 +24,7 @@ def _pairs(spark, sf):
         .when(kind == 2, F.concat_ws(" ", name, "p_brand"))
         .otherwise(F.concat_ws(" ", name, "p_type"))
     )
-    return table(spark, sf, "part").select("p_partkey", name.alias("requested"), returned.alias("returned"))
+    return spread(table(spark, sf, "part")).select("p_partkey", name.alias("requested"), returned.alias("returned"))
 
 
 @query(
@@ -105,7 +106,7 @@ def group_mean(spark, sf):
         AS n_words FROM documents""",
 )
 def count_words(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", word_count("text").alias("n_words"))
+    return spread(table(spark, sf, "documents")).select("doc_id", word_count("text").alias("n_words"))
 
 
 @query(
