@@ -47,11 +47,19 @@ def safe_columns(df: DataFrame) -> DataFrame:
     return df.select(*[json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
+def _record(df: DataFrame, columns: list[str] | None = None) -> Column:
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    return F.struct(*[json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields])
+
+
 def record_text(df: DataFrame, columns: list[str] | None = None) -> Column:
     """One JSON object per row; nulls are kept."""
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    safe = [json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]
-    return F.to_json(F.struct(*safe), KEEP_NULLS)
+    return F.to_json(_record(df, columns), KEEP_NULLS)
+
+
+def record_variant(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The same object as a variant, without the detour over text."""
+    return F.to_variant_object(_record(df, columns))
 
 
 def pick(variant: Column, path: str, as_type: str = "string") -> Column:

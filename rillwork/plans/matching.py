@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rillwork.functions.text import is_similar
 from rillwork.operators.flow import label_routes
 from rillwork.operators.relational import chained_lookup
+from rillwork.session import settle
 
 
 def fuzzy_match(df: DataFrame, requested: str, returned: str, threshold: int, column: str = "route") -> DataFrame:
@@ -30,8 +31,9 @@ def match_and_enrich(
     limit: int = 50,
 ) -> dict[str, DataFrame]:
     """Pairs of requested and returned names as three outputs: the accepted ones (projected), the
-    rejected ones, and up to ``limit`` child records of each accepted one."""
-    routed = fuzzy_match(pairs, requested, returned, threshold)
+    rejected ones, and up to ``limit`` child records of each accepted one. The routed pairs are settled,
+    so that names are compared once and not once per output."""
+    routed = settle(fuzzy_match(pairs, requested, returned, threshold), "routed")
     valid = routed.filter(F.col("route") == "valid").select(*projection)
     works = chained_lookup(valid, children, key, child_key, child_order, limit, descending=True)
     return {"valid": valid, "error": routed.filter(F.col("route") == "error").drop("route"), "works": works}

@@ -14,6 +14,7 @@ from rillwork.functions.urls import quote
 from rillwork.operators.batches import ROWS_PER_TASK, number_rows
 from rillwork.sinks.blobs import compress_files, write_blobs
 from rillwork.sinks.landing import insert_by_position, reload_interval, swap_interval
+from rillwork.sources.files import STAMP
 from rillwork.sources.records import CSV_TEXT, read_csv
 
 
@@ -50,8 +51,7 @@ def files_to_table(spark: SparkSession, files: str | list[str], table: str) -> N
 def files_to_tables(spark: SparkSession, base: str, tables: dict[str, str]) -> None:
     """Append each CSV file to the table its name speaks of: ``data_<table>_<time>.csv``."""
     for name, target in tables.items():
-        stamp = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]T[0-9][0-9]_[0-9][0-9]_[0-9][0-9]"
-        files_to_table(spark, f"{base.rstrip('/')}/data_{name}_{stamp}*.csv", target)
+        files_to_table(spark, f"{base.rstrip('/')}/data_{name}_{STAMP}*.csv", target)
 
 
 def table_to_warehouse(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.intervals import ntz, truncate
-from rillwork.functions.json_values import record_text
+from rillwork.functions.json_values import record_variant
 
 # The columns of a landing table.
 LANDING_SCHEMA = (
@@ -43,7 +43,7 @@ def landing_rows(df: DataFrame, start: str, end: str, loaded_from: Column, loade
     """Rows as one variant column with interval, load time and origin."""
     at = loaded_at if loaded_at is not None else F.current_timestamp()
     return df.select(
-        F.parse_json(record_text(df)).alias("src"),
+        record_variant(df).alias("src"),
         ntz(end).alias("_interval_end"),
         at.cast("timestamp_ntz").alias("_loaded_at"),
         loaded_from.alias("_loaded_from"),
@@ -94,7 +94,7 @@ def reload_all(df: DataFrame, path: str, ts: str, unit: str = "day", loaded_from
     without rows are not touched; ``reload_interval`` empties those."""
     start = truncate(ts, unit)
     rows = df.select(
-        F.parse_json(record_text(df)).alias("src"),
+        record_variant(df).alias("src"),
         (start + F.expr(f"INTERVAL 1 {unit}")).alias("_interval_end"),
         F.current_timestamp().cast("timestamp_ntz").alias("_loaded_at"),
         (loaded_from if loaded_from is not None else F.lit(None).cast("string")).alias("_loaded_from"),

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from rillwork.functions import paths
 
+# Glob of the time in a file name, 2021-02-18T03_00_00.
+STAMP = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]T[0-9][0-9]_[0-9][0-9]_[0-9][0-9]"
+
 
 def list_files(
     spark: SparkSession,

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rillwork.functions.intervals import truncate
+from rillwork.sources.files import STAMP
+from rillwork.sources.records import CSV_TEXT
 
 
 def stream_files(
@@ -58,7 +60,8 @@ def reload_from_stream(stream: DataFrame, path: str, checkpoint: str, ts: str, u
 
     A micro-batch writes one folder per interval it touches, below the interval and named after the
     batch. The interval then holds the rows of all batches without the older ones being read or
-    written again.
+    written again. The rebalance hint gathers the rows of an interval into few files and splits an
+    interval that is too large for one task.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -69,6 +72,20 @@ def reload_from_stream(stream: DataFrame, path: str, checkpoint: str, ts: str, u
     each_batch(stream, write, checkpoint)
 
 
+def ingest_csv_tables(
+    spark: SparkSession,
+    base: str,
+    targets: dict[str, str],
+    schemas: dict[str, T.StructType],
+    checkpoint: str,
+) -> None:
+    """Poll a folder of ``data_<table>_<time>.csv`` files and append each to the table of its name; every
+    file is loaded once. One stream per table, as tables differ in their columns."""
+    for name, target in targets.items():
+        files = stream_files(spark, base, schemas[name], "csv", f"data_{name}_{STAMP}*.csv", **CSV_TEXT, header=True)
+        ingest(files, target, f"{checkpoint}/{name}")
+
+
 def read_reloaded(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The intervals written by ``reload_from_stream``."""
     full = T.StructType([*schema.fields, T.StructField("_interval_start", T.TimestampNTZType()), T.StructField("_batch_id", T.LongType())])

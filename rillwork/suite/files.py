@@ -263,17 +263,29 @@ def load_files_to_table(spark, sf):
     return spark.table(target)
 
 
-@query("files_to_table", "SELECT 'supplier' AS table_name, s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name FROM customer")
-def files_to_table(spark, sf):
-    base = fresh_dir(spark, "csv")
-    sources = {n: table(spark, sf, n) for n in ("supplier", "customer")}
+def stamped_files(spark, sf, names):
+    """Tables as files named after the table and a time, in one folder."""
+    base = fresh_dir(spark, "arrivals")
+    sources = {n: table(spark, sf, n) for n in names}
     for name, df in sources.items():
         stamped = F.format_string(f"data_{name}_2021-02-18T03_00_%02d_%d.csv", F.col("file_num") % 60, "file_num")
         transfers.table_to_files(df, base, name, [df.columns[0]], 400, stamped)
+    return base, sources
+
+
+@query(
+    "files_to_table",
+    """SELECT 'supplier' AS table_name, s_suppkey AS id, s_name AS name FROM supplier
+    UNION ALL SELECT 'customer', c_custkey, c_name FROM customer""",
+)
+def files_to_table(spark, sf):
+    base, sources = stamped_files(spark, sf, ("supplier", "customer"))
     targets = {n: _empty_table(spark, df) for n, df in sources.items()}
     transfers.files_to_tables(spark, base, targets)
-    parts = [spark.table(t).toDF("id", "name", *spark.table(t).columns[2:]).select(F.lit(n).alias("table_name"), "id", "name") for n, t in targets.items()]
-    return parts[0].unionByName(parts[1])
+    suppliers, customers = spark.table(targets["supplier"]), spark.table(targets["customer"])
+    return suppliers.select(F.lit("supplier").alias("table_name"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).unionByName(
+        customers.select(F.lit("customer").alias("table_name"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    )
 
 
 @query(

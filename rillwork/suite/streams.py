@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.json_values import pick, record_text
 from rillwork.session import fresh_dir
+from rillwork.operators.flow import union_inputs
 from rillwork.streaming import ingest, state
+from rillwork.suite.files import stamped_files
 from rillwork.suite.registry import query, table
 
 
@@ -31,6 +33,22 @@ def stream_file_ingest(spark, sf):
     return spark.read.schema(table(spark, sf, "events").schema).parquet(path)
 
 
+@query(
+    "stream_csv_to_tables",
+    """SELECT 'supplier' AS table_name, s_suppkey AS id, s_acctbal AS acctbal FROM supplier
+    UNION ALL SELECT 'customer', c_custkey, c_acctbal FROM customer""",
+)
+def stream_csv_to_tables(spark, sf):
+    base, sources = stamped_files(spark, sf, ("supplier", "customer"))
+    schemas = {n: df.schema for n, df in sources.items()}
+    targets = {n: fresh_dir(spark, n) for n in sources}
+    ingest.ingest_csv_tables(spark, base, targets, schemas, fresh_dir(spark, "checkpoint"))
+    loaded = {n: spark.read.schema(schemas[n]).parquet(targets[n]) for n in sources}
+    suppliers = loaded["supplier"].select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("acctbal"))
+    customers = loaded["customer"].select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("acctbal"))
+    return union_inputs({"supplier": suppliers, "customer": customers}, column="table_name")
+
+
 @query(
     "stream_interval_reload",
     """SELECT date_trunc('day', ts)::TIMESTAMP AS interval_start, count(*) AS n_rows, sum(event_id)::BIGINT AS ids

@@ -16,6 +16,16 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def plain(value):
     if isinstance(value, Decimal):
         return float(value)
@@ -53,6 +63,10 @@ def compare(spark, con, key: str, sf_dir: str, queries, oracles) -> tuple[str, f
     want_names, want = bag(names, result.fetchall())
     if got_names != want_names:
         return f"COLUMNS {got_names} / {want_names}", took
+    kinds = {d[0]: str(d[1]) for d in result.description}
+    odd = {f.name: (f.dataType.simpleString(), kinds[f.name]) for f in df.schema.fields if TYPES.get(f.dataType.simpleString()) != kinds[f.name]}
+    if odd:
+        return f"TYPES {odd}", took
     if got != want:
         extra, missing = got - want, want - got
         return f"VALUES spark {sum(got.values())} sql {sum(want.values())} extra {list(extra)[:2]} missing {list(missing)[:2]}", took
