@@ -20,7 +20,7 @@ class EmitItems:
 
 def register_emit_items(spark: SparkSession, name: str = "emit_items") -> None:
     """Make the item-emitting function known to SQL: ``LATERAL emit_items(col)``."""
-    spark.udtf.register(name, udtf(EmitItems, returnType="item_num INT, item STRING"))
+    spark.udtf.register(name, udtf(EmitItems, returnType="item_num INT, item STRING", useArrow=True))
 
 
 def column_function(fn: Callable[[pd.Series], pd.Series], return_type: str) -> Callable[..., Column]:

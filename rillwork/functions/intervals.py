@@ -85,13 +85,12 @@ def interval_tick(ts: Column | str, schedule: str) -> Column:
     return _at(F.make_date(F.year(ts), F.month(ts), _step(F.dayofmonth(ts), n, 1)))
 
 
-def with_previous_interval(df: DataFrame, ts: str, schedule: str) -> DataFrame:
+def with_previous_interval(df: DataFrame, ts: str, schedule: str, prefix: str = "") -> DataFrame:
     """Add the complete interval that a run at ``ts`` handles: its end is the latest tick, its start
     the tick before that one."""
-    before_end = F.col("interval_end") - F.expr("INTERVAL '0.000001' SECOND")
-    return df.withColumn("interval_end", interval_tick(ts, schedule)).withColumn(
-        "interval_start", interval_tick(before_end, schedule)
-    )
+    start, end = f"{prefix}interval_start", f"{prefix}interval_end"
+    before_end = F.col(end) - F.expr("INTERVAL '0.000001' SECOND")
+    return df.withColumn(end, interval_tick(ts, schedule)).withColumn(start, interval_tick(before_end, schedule))
 
 
 def within(ts: Column | str, start: Column | str, end: Column | str) -> Column:

@@ -78,17 +78,19 @@ def pick_fields(variant: Column, fields: dict[str, tuple[str, str]]) -> Column:
     return F.struct(*[pick(variant, path, as_type).alias(n) for n, (path, as_type) in fields.items()])
 
 
-def items_of(variant: Column, path: str, as_type: str = "string") -> Column:
-    """The found value as list, ready for ``explode``: a list gives its elements, another value one
-    element, and a missing value one null."""
+def items_of(variant: Column, path: str) -> Column:
+    """The found value as list of variants, ready for ``explode``: a list gives its elements, another
+    value one element, and a missing value one null."""
     items = F.try_variant_get(variant, path, "array<variant>")
-    typed = F.transform(items, lambda x: F.try_variant_get(x, "$", as_type))
-    return F.coalesce(typed, F.array(pick(variant, path, as_type)))
+    return F.coalesce(items, F.array(F.try_variant_get(variant, path, "variant")))
 
 
-def search(df: DataFrame, column: str, path: str, as_type: str = "string", alias: str = "item", explode_lists: bool = True) -> DataFrame:
+def search(
+    df: DataFrame, column: str, path: str, as_type: str = "string", alias: str = "item", explode_lists: bool = True
+) -> DataFrame:
     """Project a JSON text column by a path; one row per element of a list result."""
     variant = F.parse_json(column)
-    if explode_lists:
-        return df.withColumn(alias, F.explode(items_of(variant, path, as_type)))
-    return df.withColumn(alias, pick(variant, path, as_type))
+    if not explode_lists:
+        return df.withColumn(alias, pick(variant, path, as_type))
+    items = df.withColumn(alias, F.explode(items_of(variant, path)))
+    return items.withColumn(alias, pick(F.col(alias), "$", as_type))

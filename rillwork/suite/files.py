@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from rillwork.functions import paths
 from rillwork.functions.json_values import pick, record_text
 from rillwork.plans import transfers
-from rillwork.session import fresh_dir
+from rillwork.session import fresh_dir, spread
 from rillwork.sinks import blobs, landing, records as out
 from rillwork.sources import files, records, tables
 from rillwork.suite.registry import query, table
 
-SHELF = 50  # documents per file; doc_id is unique, so no file holds more
+SHELF = 200  # documents per file; doc_id is unique, so no file holds more
 
 
 def _shelves(spark, sf, body):
@@ -29,7 +29,7 @@ def _texts_in_order():
     return F.array_join(F.transform(entries, lambda e: e["text"]), "\n--\n")
 
 
-SHELVES_SQL = """SELECT doc_id // 50 AS shelf, string_agg(text, chr(10) || '--' || chr(10) ORDER BY doc_id) AS body
+SHELVES_SQL = """SELECT doc_id // 200 AS shelf, string_agg(text, chr(10) || '--' || chr(10) ORDER BY doc_id) AS body
     FROM documents GROUP BY 1"""
 
 
@@ -103,7 +103,7 @@ def scan_csv_skip_rows(spark, sf):
     line = F.to_csv(F.struct(*parts.columns))
     head = "made by hand\ntwo lines to skip\np_partkey,p_name,p_size,p_retailprice\n"
     lines = F.array_join(F.collect_list(line), "\n")
-    shelves = parts.groupBy(F.floor(F.col("p_partkey") / 500).alias("n")).agg(lines.alias("lines"))
+    shelves = parts.groupBy(F.floor(F.col("p_partkey") / 1000).alias("n")).agg(lines.alias("lines"))
     base = fresh_dir(spark, "csv")
     path = F.format_string("parts_%d.csv", "n")
     blobs.write_blobs(shelves, base, path, F.concat(F.lit(head), "lines", F.lit("\n")))
@@ -175,7 +175,7 @@ def run_sql_template(spark, sf):
         strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate, o_orderpriority FROM orders""",
 )
 def write_json_records(spark, sf):
-    orders = table(spark, sf, "orders").select(
+    orders = spread(table(spark, sf, "orders")).select(
         "o_orderkey",
         F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice").cast("decimal(14,2)")).alias("price"),
         F.encode("o_orderstatus", "UTF-8").alias("status"),
@@ -189,7 +189,7 @@ def write_json_records(spark, sf):
 
 
 def _csv_round_trip(spark, sf, quote_all):
-    documents = table(spark, sf, "documents")
+    documents = spread(table(spark, sf, "documents"))
     base = fresh_dir(spark, "csv")
     out.write_csv(documents, base, quote_all=quote_all, compression="gzip")
     return records.read_csv(spark, base, documents.schema, multi_line=True)
@@ -223,12 +223,12 @@ def write_path_template(spark, sf):
 @query(
     "export_table_chunks",
     """SELECT file_num, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (
-        SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS file_num FROM orders) GROUP BY 1""",
+        SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 10000 + 1 AS file_num FROM orders) GROUP BY 1""",
 )
 def export_table_chunks(spark, sf):
     base = fresh_dir(spark, "chunks")
     orders = table(spark, sf, "orders")
-    out.write_chunks_csv(orders, base, 1000, ["o_orderkey"])
+    out.write_chunks_csv(orders, base, 10_000, ["o_orderkey"])
     read = records.read_csv(spark, base, orders.schema.add("file_num", "long"))
     return read.groupBy("file_num").agg(
         F.count("*").alias("n_rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key")
@@ -238,12 +238,12 @@ def export_table_chunks(spark, sf):
 @query(
     "table_to_files",
     """SELECT 'orders_' || file_num || '.csv' AS path, count(*) AS n_rows, min(o_orderkey) AS first_key FROM (
-        SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS file_num FROM orders) GROUP BY 1""",
+        SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 10000 + 1 AS file_num FROM orders) GROUP BY 1""",
 )
 def table_to_files(spark, sf):
     base = fresh_dir(spark, "orders")
     orders = table(spark, sf, "orders")
-    transfers.table_to_files(orders, base, "orders", ["o_orderkey"], batch_size=1000)
+    transfers.table_to_files(orders, base, "orders", ["o_orderkey"])
     read = records.read_csv(spark, base, orders.schema).withColumn("path", paths.name(F.input_file_name()))
     return read.groupBy("path").agg(F.count("*").alias("n_rows"), F.min("o_orderkey").alias("first_key"))
 
@@ -269,7 +269,7 @@ def stamped_files(spark, sf, names):
     sources = {n: table(spark, sf, n) for n in names}
     for name, df in sources.items():
         stamped = F.format_string(f"data_{name}_2021-02-18T03_00_%02d_%d.csv", F.col("file_num") % 60, "file_num")
-        transfers.table_to_files(df, base, name, [df.columns[0]], 400, stamped)
+        transfers.table_to_files(df, base, name, [df.columns[0]], 1000, stamped)
     return base, sources
 
 
@@ -316,7 +316,7 @@ def reload_interval(spark, sf):
     UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, TIMESTAMP '2024-01-02', false FROM orders""",
 )
 def table_to_warehouse(spark, sf):
-    orders = table(spark, sf, "orders")
+    orders = spread(table(spark, sf, "orders"))
     base = fresh_dir(spark, "landing")
     stage = f"{fresh_dir(spark, 'staging')}/orders/2024-01-01"
     for _ in range(2):

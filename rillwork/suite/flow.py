@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rillwork.functions import extensions
 from rillwork.functions.json_values import items_of, pick, pick_fields
 from rillwork.operators import batches, flow
+from rillwork.session import spread
 from rillwork.suite.registry import query, table
 
 
@@ -116,14 +117,14 @@ def json_search(spark, sf):
         F.lit('{"props": '), "props", F.lit(', "tags": ["'), "event_type", F.lit('", "'),
         F.get_json_object("props", "$.k"), F.lit('"]}'),
     )
-    found = events.select("event_id", F.parse_json(text).alias("v"))
+    found = spread(events).select("event_id", F.parse_json(text).alias("v"))
     picked = found.select(
         "event_id",
         pick_fields(F.col("v"), {"k": ("$.props.k", "int")}).alias("picked"),
         pick(F.col("v"), "$.props.none").alias("missing"),
         F.explode(items_of(F.col("v"), "$.tags")).alias("item"),
     )
-    return picked.select("event_id", "picked.k", "missing", "item")
+    return picked.select("event_id", "picked.k", "missing", pick(F.col("item"), "$").alias("item"))
 
 
 @query(

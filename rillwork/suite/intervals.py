@@ -54,26 +54,25 @@ def ticks(spark, sf):
     return _moments(spark, sf).select("kind", "id", *columns)
 
 
-@query(
-    "previous_interval",
-    f"""SELECT kind, id, 'daily' AS schedule, CAST(date_trunc('day', moment) - INTERVAL 1 DAY AS TIMESTAMP) AS interval_start,
-        CAST(date_trunc('day', moment) AS TIMESTAMP) AS interval_end FROM {MOMENTS_SQL}
-    UNION ALL SELECT kind, id, 'weekly', CAST(date_trunc('week', moment + INTERVAL 1 DAY) - INTERVAL 8 DAY AS TIMESTAMP),
-        CAST(date_trunc('week', moment + INTERVAL 1 DAY) - INTERVAL 1 DAY AS TIMESTAMP) FROM {MOMENTS_SQL}
-    UNION ALL SELECT kind, id, 'quarterly', CAST(date_trunc('quarter', moment) - INTERVAL 3 MONTH AS TIMESTAMP),
-        CAST(date_trunc('quarter', moment) AS TIMESTAMP) FROM {MOMENTS_SQL}
-    UNION ALL SELECT kind, id, 'minutes_45',
-        CAST(date_trunc('hour', moment) - CASE WHEN minute(moment) >= 45 THEN INTERVAL 0 MINUTE ELSE INTERVAL 15 MINUTE END AS TIMESTAMP),
-        CAST(date_trunc('hour', moment) + CASE WHEN minute(moment) >= 45 THEN INTERVAL 45 MINUTE ELSE INTERVAL 0 MINUTE END AS TIMESTAMP)
-        FROM {MOMENTS_SQL}""",
+# Length of the interval before a tick, as SQL.
+LENGTHS = {
+    "daily": "INTERVAL 1 DAY",
+    "weekly": "INTERVAL 7 DAY",
+    "quarterly": "INTERVAL 3 MONTH",
+    "minutes_45": "CASE WHEN minute(moment) >= 45 THEN INTERVAL 45 MINUTE ELSE INTERVAL 15 MINUTE END",
+}
+PREVIOUS_SQL = ", ".join(
+    f"CAST({TICKS[n][1]} - {length} AS TIMESTAMP) AS {n}_interval_start, CAST({TICKS[n][1]} AS TIMESTAMP) AS {n}_interval_end"
+    for n, length in LENGTHS.items()
 )
+
+
+@query("previous_interval", f"SELECT kind, id, {PREVIOUS_SQL} FROM {MOMENTS_SQL}")
 def previous_interval(spark, sf):
-    schedules = {"daily": "@daily", "weekly": "@weekly", "quarterly": "@quarterly", "minutes_45": "rate(45 minutes)"}
-    parts = [
-        with_previous_interval(_moments(spark, sf).withColumn("schedule", F.lit(n)), "moment", s).drop("moment")
-        for n, s in schedules.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    moments = _moments(spark, sf)
+    for name in LENGTHS:
+        moments = with_previous_interval(moments, "moment", TICKS[name][0], f"{name}_")
+    return moments.drop("moment")
 
 
 @query(
