@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.intervals import ntz, truncate
 from rillwork.functions.json_values import record_variant
+from rillwork.session import settle
 
 # The columns of a landing table.
 LANDING_SCHEMA = (
@@ -117,13 +118,16 @@ def copy_into_table(
     Loading a file again adds it again, unless ``loaded`` (the table so far) is given: then files whose
     name is already there are left out.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(stage)
+    staged = spark.read.option("recursiveFileLookup", "true").text(stage)
+    lines = staged.select("value", F.col("_metadata.file_name").alias("etl_filename"))
+    if loaded is not None:
+        # One row per loaded file; settled, so that it is broadcast only if it is small.
+        known = settle(loaded.select("etl_filename").distinct(), "loaded-files")
+        lines = lines.join(known, "etl_filename", "left_anti")
     rows = lines.select(
         F.parse_json("value").alias("data_var"),
         F.lit(etl_id).alias("etl_id"),
         F.current_timestamp().cast("timestamp_ntz").alias("etl_timestamp"),
-        F.col("_metadata.file_name").alias("etl_filename"),
+        "etl_filename",
     )
-    if loaded is not None:
-        rows = rows.join(loaded.select("etl_filename").distinct(), "etl_filename", "left_anti").select(*rows.columns)
     rows.write.mode("append").parquet(path)

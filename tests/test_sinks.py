@@ -218,3 +218,55 @@ def test_jdbc_options():
     assert (split["lowerBound"], split["upperBound"], split["numPartitions"]) == ("2024-01-01 00:00:00", "2024-02-01 00:00:00", "8")
     with pytest.raises(ValueError):
         tables.jdbc_options("jdbc:x", "t", partition_column="d")
+
+
+def test_hot_key_is_written_by_several_tasks(spark, folder):
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("k"),
+        F.sha2(F.col("id").cast("string"), 256).alias("v"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    try:
+        manifest = out.write_by_template(df.repartition(16), folder, ["k"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    per_key = {r.k: r["count"] for r in manifest.groupBy(F.split("path", "/")[0].alias("k")).count().collect()}
+    assert per_key["k=hot"] > 1 and len(per_key) == 6
+    assert spark.read.parquet(folder).count() == 60_000
+
+
+def test_named_texts_below_the_interval(spark, folder):
+    items = [("users.txt", "John, Amy, Adam, Jane"), ("fruits.csv", "apple,pear,apricot")]
+    texts = spark.createDataFrame(items, "filename string, contents string")
+    end = F.translate(F.lit("2021-04-15 01:00:00"), ":", "_")
+    place = F.concat(F.lit("/store/"), end, F.lit("/"), "filename")
+    manifest = blobs.write_blobs(texts, folder, place, "contents", path_format="absolute")
+    assert rows(manifest, "path") == sorted((f"{folder}/store/2021-04-15 01_00_00/{n}",) for n, _ in items)
+    assert open(f"{folder}/store/2021-04-15 01_00_00/fruits.csv").read() == "apple,pear,apricot"
+    blobs.write_blobs(texts.limit(1), folder, F.lit("20210415/a.txt"), "contents")
+    assert open(f"{folder}/20210415/a.txt").read() == "John, Amy, Adam, Jane"
+
+
+def test_plain_listing_of_one_folder(spark, folder):
+    df = spark.createDataFrame([("x.txt", "1"), ("sub/y.txt", "2")], "p string, d string")
+    blobs.write_blobs(df, folder, "p", "d")
+    assert rows(files.list_files(spark, folder, recursive=False), "path") == [("x.txt",)]
+    assert rows(files.list_files(spark, folder, path_format="url"), "path") == [(f"file:{folder}/sub/y.txt",), (f"file:{folder}/x.txt",)]
+
+
+def test_rates_as_csv_with_bars(spark, folder):
+    from rillwork.operators.flow import flatten_rates
+
+    rates = spark.sql("SELECT map('2021-03-12', named_struct('EUR', 0.5D, 'PHP', 48.25D)) rates, 'USD' base")
+    out.write_csv(flatten_rates(rates), folder, delimiter="|")
+    assert text_of(folder) == '"EUR"|"PHP"|"base"|"date"\n"0.5"|"48.25"|"USD"|"2021-03-12"\n'
+
+
+def test_loaded_files_are_left_out(spark, folder):
+    out.write_json_records(spark.range(3), f"{folder}/stage")
+    landing.copy_into_table(spark, f"{folder}/stage", f"{folder}/t", "load-0")
+    out.write_json_records(spark.range(5), f"{folder}/stage", mode="append")
+    so_far = spark.read.schema(landing.STAGED_SCHEMA).parquet(f"{folder}/t")
+    landing.copy_into_table(spark, f"{folder}/stage", f"{folder}/t", "load-1", loaded=so_far)
+    got = spark.read.schema(landing.STAGED_SCHEMA).parquet(f"{folder}/t").groupBy("etl_id").count()
+    assert rows(got) == [("load-0", 3), ("load-1", 5)]
