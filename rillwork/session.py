@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# State of streams on local disk instead of in executor memory.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -23,6 +26,7 @@ def build_session(app: str = "rillwork", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.ui.enabled": "false",
         **conf,
     }

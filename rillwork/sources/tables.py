@@ -13,9 +13,17 @@ from pyspark.sql import functions as F
 from rillwork.functions.intervals import within
 
 
-def read_interval(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
-    """Rows of one run interval, start inclusive and end exclusive."""
-    return df.filter(within(ts, start, end))
+def read_interval(df: DataFrame, ts: str, start: str, end: str, day_column: str | None = None) -> DataFrame:
+    """Rows of one run interval, start inclusive and end exclusive.
+
+    Spark does not skip Parquet row groups on zone-less timestamps. For a large table partitioned by
+    day, name that column: the predicate is repeated on it and the other partitions are not read.
+    """
+    rows = df.filter(within(ts, start, end))
+    if day_column is None:
+        return rows
+    first, last = (F.lit(t).cast("timestamp_ntz").cast("date") for t in (start, end))
+    return rows.filter((F.col(day_column) >= first) & (F.col(day_column) <= last))
 
 
 def run_sql_template(spark: SparkSession, text: str, tables: Sequence[str], column: str = "table_name", **values: Any) -> DataFrame:

@@ -27,8 +27,8 @@ def filter_rows(spark, sf):
 )
 def split_if_then(spark, sf):
     balance = F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal"))
-    parts = flow.split_if_then(table(spark, sf, "customer").withColumn("bal", balance), F.col("bal") > 0)
-    return flow.union_inputs({n: df.select("c_custkey") for n, df in parts.items()}, column="route")
+    # Both outputs from one pass; `flow.split_if_then` gives them as two frames.
+    return flow.label_routes(table(spark, sf, "customer"), {"then": balance > 0}, "otherwise").select("c_custkey", "route")
 
 
 @query(
@@ -64,10 +64,10 @@ def branch_tables(spark, sf):
     WHERE event_type IN ('click', 'view', 'purchase') GROUP BY event_type""",
 )
 def route_by_type(spark, sf):
-    kinds = ("click", "view", "purchase")
-    parts = flow.route_by_type(table(spark, sf, "events"), kinds, "event_type")
-    counts = {n: df.agg(F.count("*").alias("n_rows"), F.max("event_id").alias("last_id")) for n, df in parts.items()}
-    return flow.union_inputs(counts, column="route")
+    routes = {kind: F.col("event_type") == kind for kind in ("click", "view", "purchase")}
+    # All outputs from one pass; `flow.route_by_type` gives them as three frames.
+    routed = flow.label_routes(table(spark, sf, "events"), routes)
+    return routed.groupBy("route").agg(F.count("*").alias("n_rows"), F.max("event_id").alias("last_id"))
 
 
 @query(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rillwork.functions.json_values import pick, record_text
 from rillwork.session import fresh_dir
 from rillwork.operators.flow import union_inputs
+from rillwork.sources.files import list_files
 from rillwork.streaming import ingest, state
 from rillwork.suite.files import stamped_files
 from rillwork.suite.registry import query, table
@@ -18,11 +19,10 @@ def _events(spark, sf):
 def _three_batches(spark, sf):
     """The events out of order in three micro-batches."""
     base = fresh_dir(spark, "arrivals")
-    events = table(spark, sf, "events")
-    for part in (2, 0, 1):
-        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(base)
-    per_batch = -(-len(spark.read.parquet(base).inputFiles()) // 3)
-    return ingest.stream_files(spark, base, events.schema, pattern="part-*", files_per_batch=per_batch)
+    arrivals = table(spark, sf, "events").withColumn("arrival", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    arrivals.write.partitionBy("arrival").parquet(base)
+    files = list_files(spark, base, "part-*").count()
+    return ingest.stream_files(spark, base, arrivals.schema, pattern="part-*", files_per_batch=-(-files // 3)).drop("arrival")
 
 
 @query("stream_file_ingest", "SELECT * FROM events")

@@ -270,3 +270,15 @@ def test_loaded_files_are_left_out(spark, folder):
     landing.copy_into_table(spark, f"{folder}/stage", f"{folder}/t", "load-1", loaded=so_far)
     got = spark.read.schema(landing.STAGED_SCHEMA).parquet(f"{folder}/t").groupBy("etl_id").count()
     assert rows(got) == [("load-0", 3), ("load-1", 5)]
+
+
+def test_interval_of_a_table_by_day(spark, folder):
+    df = spark.range(240).select("id", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours="id")).alias("ts"))
+    out.write_by_template(df.withColumn("day", F.to_date("ts")), folder, ["day"])
+    table = spark.read.parquet(folder)
+    got = tables.read_interval(table, "ts", "2024-01-03 12:00:00", "2024-01-04 00:00:00", day_column="day")
+    assert rows(got, "id") == [(i,) for i in range(60, 72)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    edge = tables.read_interval(table, "ts", "2024-01-03 00:00:00", "2024-01-04 00:00:00", day_column="day")
+    assert edge.count() == 24
