@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rillwork.operators.flow import branch_rows
 from rillwork.session import settle
 
 # Rows that one task may sort. Below it no group can be too large for one task.
@@ -27,7 +26,19 @@ def _window(group: Sequence[str], order: Sequence[str], descending: bool, *extra
     return Window.partitionBy(*extra, *group).orderBy(*by)
 
 
+def _portable(column: str, dtype: T.DataType) -> Column:
+    """A key column in a form that comes to the driver and back unchanged in any time zone."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(column).alias(column)
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.col(column).cast("string").alias(column)
+    return F.col(column)
+
+
 def _literal(value, dtype: T.DataType) -> Column:
+    """The literal of a collected key value."""
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(F.lit(value).cast("long"))
     return F.lit(value).cast(dtype)
 
 
@@ -71,23 +82,20 @@ def number_rows(
     keys = [*group, *order]
     key_frame = df.select(*keys)
     n_splits = min(MAX_SPLITS, math.ceil(2 * total / rows_per_task))
-    sampled = (
-        key_frame.sample(min(1.0, KEYS_PER_SPLIT * n_splits / total), seed=7).distinct().orderBy(*keys).collect()
-    )
-    points = sampled[:: max(1, len(sampled) // n_splits)]
-    if not points:
-        points = key_frame.limit(1).collect()
-
-    types = [key_frame.schema[c].dataType for c in keys]
-    bounds = F.array(
-        *[F.struct(*[_literal(row[c], t).alias(c) for c, t in zip(keys, types)]) for row in points]
-    )
+    types = {c: key_frame.schema[c].dataType for c in keys}
+    portable = [_portable(c, types[c]) for c in keys]
+    sample = key_frame.sample(min(1.0, KEYS_PER_SPLIT * n_splits / total), seed=7).distinct()
+    sampled = sample.sort(*keys).select(*portable).collect()
+    points = sampled[:: max(1, len(sampled) // n_splits)] or key_frame.limit(1).select(*portable).collect()
+    bounds = F.array(*[F.struct(*[_literal(row[c], types[c]).alias(c) for c in keys]) for row in points])
 
     # Groups that hold a split point: the only ones that can lie in more than one slice.
     if group:
-        cut_schema = T.StructType([T.StructField(f"_cut_{c}", key_frame.schema[c].dataType) for c in group])
-        cut_rows = list({tuple(row[c] for c in group) for row in points})
-        cut = F.broadcast(branch_rows(df.sparkSession, cut_rows, cut_schema))
+        values = {tuple(row[c] for c in group) for row in points}
+        cut_groups = [
+            F.struct(*[_literal(v, types[c]).alias(f"_cut_{c}") for v, c in zip(row, group)]) for row in values
+        ]
+        cut = F.broadcast(df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*cut_groups))))
         on_cut = [F.col(c).eqNullSafe(F.col(f"_cut_{c}")) for c in group]
         cut_keys = key_frame.join(cut, on_cut, "left_semi")
     else:

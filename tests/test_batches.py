@@ -72,3 +72,18 @@ def test_order_spans_groups(spark):
 def test_numbers_of_a_frame_read_by_key_columns_only(skewed):
     numbered = batches.number_rows(skewed, ["g"], ["k"], "n", rows_per_task=700)
     assert rows(numbered.select("g", "n").filter("g = 'hot' and n <= 2"), "n") == [(1,), (2,)]
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_numbers_by_time_in_a_zone_with_summer_time(spark, kind):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        minutes = F.timestamp_seconds(F.lit(1_729_980_000) + F.col("id") * 7)  # the night the clocks go back
+        df = spark.range(6_000).select((F.col("id") % 2).alias("g"), minutes.cast(kind).alias("at"), "id")
+        got = batches.number_rows(df, ["g"], ["at", "id"], "n", rows_per_task=500)
+        want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("at", "id")).cast("long"))
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        by_time = batches.number_rows(df, ["at"], ["id"], "n", rows_per_task=500)
+        assert by_time.agg(F.count("*"), F.min("n")).first()[0] == 6_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
