@@ -101,7 +101,7 @@ def compress_and_copy(
     source: str,
     destination: str,
     start: str,
-    pattern: str = "*",
+    pattern: str = "**/*",
     compression: str = "gzip",
     target: Column | None = None,
 ) -> DataFrame:

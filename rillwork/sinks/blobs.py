@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rillwork import storage
 from rillwork.functions import paths
 from rillwork.session import settle
+from rillwork.sources.files import matching
 
 
 def write_blobs(
@@ -66,15 +67,10 @@ def _copy(listing: DataFrame, target: Column, transform: Callable | None, codec:
     return settle(named.mapInPandas(run, "source string, path string, size long"), "manifest")
 
 
-def _listing(spark: SparkSession, base: str, pattern: str) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    return reader.option("recursiveFileLookup", "true").load(base).select("path")
-
-
-def copy_files(spark: SparkSession, source: str, destination: str, pattern: str = "*") -> DataFrame:
+def copy_files(spark: SparkSession, source: str, destination: str, pattern: str = "**/*") -> DataFrame:
     """Copy a folder tree. Only paths travel through Spark; each task streams its files chunk by chunk,
     so a file may be larger than a task's memory."""
-    listing = _listing(spark, source, pattern)
+    listing = matching(spark, source, pattern).select("path")
     target = F.concat(F.lit(destination.rstrip("/") + "/"), paths.as_format("path", source, "relative"))
     return _copy(listing, target, None, None)
 
@@ -84,13 +80,13 @@ def compress_files(
     source: str,
     destination: str,
     target: Column,
-    pattern: str = "*",
+    pattern: str = "**/*",
     codec: str = "gzip",
 ) -> DataFrame:
     """Compress every matching file to a path made from its ``name`` and ``path`` columns. Any codec
     but 'gzip' means zlib."""
     codec = "gzip" if codec == "gzip" else "zlib"
-    listing = _listing(spark, source, pattern).withColumn("name", paths.name("path"))
+    listing = matching(spark, source, pattern).select("path").withColumn("name", paths.name("path"))
     placed = listing.withColumn("_target", F.concat(F.lit(destination.rstrip("/") + "/"), target))
     return _copy(placed, F.col("_target"), storage.deflated, codec)
 
@@ -100,11 +96,11 @@ def decompress_files(
     source: str,
     destination: str,
     target: Column,
-    pattern: str = "*",
+    pattern: str = "**/*",
     codec: str = "gzip",
 ) -> DataFrame:
     """The reverse of ``compress_files``."""
     codec = "gzip" if codec == "gzip" else "zlib"
-    listing = _listing(spark, source, pattern).withColumn("name", paths.name("path"))
+    listing = matching(spark, source, pattern).select("path").withColumn("name", paths.name("path"))
     placed = listing.withColumn("_target", F.concat(F.lit(destination.rstrip("/") + "/"), target))
     return _copy(placed, F.col("_target"), storage.inflated, codec)

@@ -52,7 +52,7 @@ def write_by_template(
         writer.mode("append").save(base)
     else:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(base)
-    return list_files(df.sparkSession, base, pattern="part-*", path_format=path_format)
+    return list_files(df.sparkSession, base, pattern="**/part-*", path_format=path_format)
 
 
 def write_chunks_csv(

@@ -8,31 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions import paths
+from rillwork.functions.urls import unquote
 
 # Glob of the time in a file name, 2021-02-18T03_00_00.
 STAMP = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]T[0-9][0-9]_[0-9][0-9]_[0-9][0-9]"
 
 
+def _glob_text(glob: str) -> str:
+    """A glob without ``**`` as regular expression; wildcards stay inside one folder level."""
+    return "".join({"*": "[^/]*", "?": "[^/]"}.get(c, f"\\Q{c}\\E") for c in glob)
+
+
+def matching(spark: SparkSession, base: str, pattern: str = "**/*") -> DataFrame:
+    """Files below a folder whose relative path matches a glob, as ``binaryFile`` rows.
+
+    ``*`` and ``?`` stay inside one folder level and ``**/`` stands for any number of levels, so
+    ``*.csv`` finds files of the folder itself and ``**/*.csv`` all below it. The test is on the file
+    metadata, which Spark applies to the listing: files that do not match are not opened.
+    """
+    base = base.rstrip("/")
+    *folders, file = pattern.strip("/").split("/")
+    wanted = "".join("([^/]+/)*" if f == "**" else f"{_glob_text(f)}/" for f in folders) + _glob_text(file)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    listed = paths.as_format(unquote("_metadata.file_path"), base, "relative")
+    return found.filter(listed.rlike(f"^{wanted}$"))
+
+
 def list_files(
     spark: SparkSession,
     base: str,
-    pattern: str = "*",
+    pattern: str = "**/*",
     exclude_dirs: Sequence[str] = (),
     path_format: str = "relative",
-    recursive: bool = True,
 ) -> DataFrame:
-    """Files below a folder whose name matches a glob, with size and modification time.
+    """Path, name, size and modification time of the files that match a glob.
 
     Contents are pruned from the scan and never read. ``exclude_dirs`` holds globs of folder names;
     files in or below a matching folder are left out.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    found = reader.option("recursiveFileLookup", str(recursive).lower()).load(base)
-    relative = paths.as_format("path", base, "relative")
-    folders = F.regexp_replace(relative, "[^/]*$", "")
+    found = matching(spark, base, pattern)
+    folders = F.regexp_replace(paths.as_format("path", base, "relative"), "[^/]*$", "")
     for glob in exclude_dirs:
-        folder = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, f"\\Q{c}\\E") for c in glob)
-        found = found.filter(~folders.rlike(f"(^|/){folder}/"))
+        found = found.filter(~folders.rlike(f"(^|/){_glob_text(glob)}/"))
     name = paths.name("path")
     return found.select(
         paths.as_format("path", base, path_format).alias("path"),
@@ -44,10 +61,14 @@ def list_files(
     )
 
 
-def read_blobs(spark: SparkSession, base: str, pattern: str = "*") -> DataFrame:
+def list_directory(spark: SparkSession, base: str, path_format: str = "relative") -> DataFrame:
+    """Paths of the files in one folder, without the folders below it."""
+    return list_files(spark, base, "*", path_format=path_format).select("path")
+
+
+def read_blobs(spark: SparkSession, base: str, pattern: str = "**/*") -> DataFrame:
     """One row per file with its whole bytes and its path, name, size and modification time."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    return reader.option("recursiveFileLookup", "true").load(base).select(
+    return matching(spark, base, pattern).select(
         F.col("content").alias("data"),
         "path",
         paths.name("path").alias("name"),

@@ -42,7 +42,7 @@ SHELVES_SQL = """SELECT doc_id // 200 AS shelf, string_agg(text, chr(10) || '--'
 def scan_file_listing(spark, sf):
     base = fresh_dir(spark, "shelves")
     blobs.write_blobs(_shelves(spark, sf, _texts_in_order()), base, "path", "body")
-    return files.list_files(spark, base, "*.txt", exclude_dirs=["room3"]).drop("modified")
+    return files.list_files(spark, base, "**/*.txt", exclude_dirs=["room3"]).drop("modified")
 
 
 @query(
@@ -52,7 +52,7 @@ def scan_file_listing(spark, sf):
 def scan_file_blobs(spark, sf):
     base = fresh_dir(spark, "shelves")
     blobs.write_blobs(_shelves(spark, sf, _texts_in_order()), base, "path", "body")
-    return files.read_blobs(spark, base, "*.txt").select("name", "size", F.sha2("data", 256).alias("digest"))
+    return files.read_blobs(spark, base, "**/*.txt").select("name", "size", F.sha2("data", 256).alias("digest"))
 
 
 @query(
@@ -85,7 +85,7 @@ def compress_copy_files(spark, sf):
 def compress_and_copy(spark, sf):
     source, packed = fresh_dir(spark, "shelves"), fresh_dir(spark, "packed")
     blobs.write_blobs(_shelves(spark, sf, _json_lines(spark, sf)), source, "path", "body")
-    transfers.compress_and_copy(spark, source, packed, "2024-01-05 00:00:00", "*.txt")
+    transfers.compress_and_copy(spark, source, packed, "2024-01-05 00:00:00", "**/*.txt")
     return records.read_json_lines(spark, f"{packed}/2024-01-05", "doc_id long, text string")
 
 

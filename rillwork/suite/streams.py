@@ -21,7 +21,7 @@ def _three_batches(spark, sf):
     base = fresh_dir(spark, "arrivals")
     arrivals = table(spark, sf, "events").withColumn("arrival", F.pmod(F.xxhash64("event_id"), F.lit(3)))
     arrivals.write.partitionBy("arrival").parquet(base)
-    files = list_files(spark, base, "part-*").count()
+    files = list_files(spark, base, "**/part-*").count()
     return ingest.stream_files(spark, base, arrivals.schema, pattern="part-*", files_per_batch=-(-files // 3)).drop("arrival")
 
 

@@ -175,7 +175,7 @@ def test_blobs(spark, folder):
     read = {r.name: bytes(r.data).decode() for r in files.read_blobs(spark, folder).collect()}
     assert read == {"x.txt": "one", "y.txt": "zwei é"}
     assert not glob(f"{folder}/**/*.part", recursive=True)
-    listed = files.list_files(spark, folder, "*.txt", exclude_dirs=["b*"], path_format="absolute")
+    listed = files.list_files(spark, folder, "**/*.txt", exclude_dirs=["b*"], path_format="absolute")
     assert rows(listed, "path", "stem", "suffix", "size") == [(f"{folder}/a/x.txt", "x", ".txt", 3)]
 
 
@@ -247,11 +247,32 @@ def test_named_texts_below_the_interval(spark, folder):
     assert open(f"{folder}/20210415/a.txt").read() == "John, Amy, Adam, Jane"
 
 
-def test_plain_listing_of_one_folder(spark, folder):
-    df = spark.createDataFrame([("x.txt", "1"), ("sub/y.txt", "2")], "p string, d string")
+def test_globs_and_listings(spark, folder):
+    names = ["x.txt", "y.csv", "sub/y.txt", "sub/deep/z.txt", "k=1/w.txt"]
+    df = spark.createDataFrame([(n, "1") for n in names], "p string, d string")
     blobs.write_blobs(df, folder, "p", "d")
-    assert rows(files.list_files(spark, folder, recursive=False), "path") == [("x.txt",)]
-    assert rows(files.list_files(spark, folder, path_format="url"), "path") == [(f"file:{folder}/sub/y.txt",), (f"file:{folder}/x.txt",)]
+
+    def found(pattern):
+        return [r[0] for r in rows(files.list_files(spark, folder, pattern), "path")]
+
+    assert found("**/*") == sorted(names)
+    assert found("*.txt") == found("/*.txt") == ["x.txt"]
+    assert found("**/*.txt") == sorted(n for n in names if n.endswith("txt"))
+    assert found("sub/*.txt") == ["sub/y.txt"]
+    assert found("s*/**/?.txt") == ["sub/deep/z.txt", "sub/y.txt"]
+    assert found("**/deep/*") == ["sub/deep/z.txt"]
+    assert rows(files.list_directory(spark, folder)) == [("x.txt",), ("y.csv",)]
+    assert rows(files.list_directory(spark, f"{folder}/sub", "url")) == [(f"file:{folder}/sub/y.txt",)]
+    assert rows(files.read_blobs(spark, folder, "sub/*"), "name") == [("y.txt",)]
+
+    odd = ["a b+c é%41.txt", "a b/x.txt"]
+    blobs.write_blobs(spark.createDataFrame([(n, "1") for n in odd], "p string, d string"), f"{folder}2", "p", "d")
+    assert rows(files.list_files(spark, f"{folder}2"), "path") == sorted((n,) for n in odd)
+    assert rows(files.list_files(spark, f"{folder}2", "a b+*.txt"), "path") == [(odd[0],)]
+    one = files.read_blobs(spark, folder, "sub/*")
+    scans = one._jdf.queryExecution().executedPlan().collectLeaves()
+    one.collect()
+    assert scans.apply(0).metrics().apply("numFiles").value() == 1
 
 
 def test_rates_as_csv_with_bars(spark, folder):
