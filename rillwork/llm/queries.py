@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwork.llm import blocks, bpe, hosts, packing, sql
+from rillwork.llm import blocks, bpe, hosts, packing, secrets, sql
 from rillwork.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,3 +36,11 @@ def padded_bpe(spark, sf_dir):
 @query("op6_harmonic_packing")
 def harmonic_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_secret_ownership")
+def secret_ownership(spark, sf_dir):
+    """A document's source stands for its owner, and the source's documents in one language for a repository."""
+    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
+    found = secrets.weigh_secrets(docs, repository="repository", keep=("doc_id",))
+    return found.withColumn("spans", secrets.span_text(F.col("found"))).drop("found")
