@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from rillwork.llm.common import pick_runs, ranges, renamed, text_slices
+from rillwork.llm.hashing import KeyTable
 from rillwork.llm.tokens import ChunkMemory
 
 NONE = np.int64(1) << 40
@@ -25,43 +26,6 @@ SHORT = 64
 CELLS = 1 << 19
 
 
-def mixed(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class PairTable:
-    """Open addressing: key to value, ``NONE`` where there is none."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, int(len(keys) * 4).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int64)
-        slot, todo, self.probes = mixed(keys, self.bits), np.arange(len(keys)), 0
-        while len(todo):
-            free = todo[self.keys[slot[todo]] == -1]
-            self.keys[slot[free]] = keys[free]  # of several for one slot the last one stays
-            placed = self.keys[slot[todo]] == keys[todo]
-            self.values[slot[todo[placed]]] = values[todo[placed]]
-            todo = todo[~placed]
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            self.probes += 1
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        flat = keys.ravel()
-        slot = mixed(flat, self.bits)
-        seen = self.keys[slot]
-        out = np.where(seen == flat, self.values[slot], NONE)
-        todo = np.flatnonzero((seen != flat) & (seen != -1))
-        for _ in range(1, self.probes):
-            if not len(todo):
-                break
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            seen = self.keys[slot[todo]]
-            hit = seen == flat[todo]
-            out[todo[hit]] = self.values[slot[todo[hit]]]
-            todo = todo[~hit & (seen != -1)]
-        return out.reshape(keys.shape)
-
-
 class RankedBytes:
     """Encoder and decoder for a rank file (base64 bytes and rank per line)."""
 
@@ -82,7 +46,11 @@ class RankedBytes:
         get = self.ranks.get
         pairs = [(get(t[:i]), get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
         pairs = np.array([p for p in pairs if p[0] is not None and p[1] is not None], np.int64)
-        self.table = PairTable(pairs[:, 0] << 20 | pairs[:, 1], pairs[:, 2])
+        self.pairs = KeyTable(pairs[:, 0] << 20 | pairs[:, 1])
+        self.merged = np.append(pairs[:, 2], NONE)  # at -1: no such pair
+
+    def table(self, keys: np.ndarray) -> np.ndarray:
+        return self.merged[self.pairs(keys)]
 
     def pair_ranks(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         out = self.table(rows[:, :-1] << 20 | rows[:, 1:])

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwork.llm import blocks, bpe, hosts, packing, secrets, sql
+from rillwork.llm import blocks, bpe, hosts, language, packing, secrets, sql
+from rillwork.llm.common import crc_of
 from rillwork.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -44,3 +45,8 @@ def secret_ownership(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
     found = secrets.weigh_secrets(docs, repository="repository", keep=("doc_id",))
     return found.withColumn("spans", secrets.span_text(F.col("found"))).drop("found")
+
+
+@query("op3_byte_trees")
+def byte_trees(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"), F.pmod(crc_of("doc_id"), F.lit(4)) == 2)
