@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillwork.llm.common import ranges, renamed, text_slices
-from rillwork.llm.tokens import ChunkMemory, library_encoder
+from rillwork.llm.tokens import library_memory
 from rillwork.session import fresh_dir, settle
 from rillwork.storage import open_path
 
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 1, doc_i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        memory, partition = ChunkMemory(library_encoder(path)), TaskContext.get().partitionId()
+        memory, partition = library_memory(path), TaskContext.get().partitionId()
         names, sizes, before = [], [], 0
         doc_ids, counts, ids, held = [], [], [], 0
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from rillwork.llm.common import pick_runs, ranges, renamed, text_slices
 from rillwork.llm.hashing import KeyTable
-from rillwork.llm.tokens import ChunkMemory
+from rillwork.llm.tokens import shared_memory
 
 NONE = np.int64(1) << 40
 #: Rows up to this length merge one pair a round, longer ones every occurrence of it where that gives the same.
@@ -173,7 +173,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = ChunkMemory(coder(path, pattern).encode)
+        memory = shared_memory(("ranks", path, pattern), lambda: coder(path, pattern).encode)
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             for a, b in text_slices(texts):

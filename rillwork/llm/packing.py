@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillwork.llm.common import groups_of, renamed, text_slices
-from rillwork.llm.tokens import ChunkMemory, library_encoder
+from rillwork.llm.tokens import library_memory
 from rillwork.session import settle
 
 #: Rests below this class are cut at the slot of the next class. 16: a slot wastes 7 of 2048 tokens at most.
@@ -99,7 +99,7 @@ def pack_documents(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        memory, worker, used = ChunkMemory(library_encoder(path)), TaskContext.get().partitionId(), 0
+        memory, worker, used = library_memory(path), TaskContext.get().partitionId(), 0
         rest: pd.DataFrame | None = None
         for batch in batches:
             texts = [t or "" for t in batch["text"]]

@@ -33,6 +33,16 @@ def chunks_of(text: str) -> list[str]:
     return [head, *pieces] if head else pieces
 
 
+_MEMORIES: dict[tuple, ChunkMemory] = {}
+
+
+def shared_memory(key: tuple, build: Callable[[], Encoder]) -> ChunkMemory:
+    """The memory of this worker process for a vocabulary: tasks that run in the process one after the other share it."""
+    if key not in _MEMORIES:
+        _MEMORIES[key] = ChunkMemory(build())
+    return _MEMORIES[key]
+
+
 class ChunkMemory:
     """Ids of texts from ids of chunks; ``encode`` maps new chunks to (all ids, count per chunk)."""
 
@@ -75,6 +85,10 @@ class ChunkMemory:
         return pick_runs(self.flat, self.starts[index], lengths), np.diff(ends, prepend=0)
 
 
+def library_memory(path: str) -> ChunkMemory:
+    return shared_memory(("library", path), lambda: library_encoder(path))
+
+
 def library_encoder(path: str) -> Encoder:
     """The tokenizers library with the vocabulary at ``path``; strings of special tokens are ordinary text."""
     import os
