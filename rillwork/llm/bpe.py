@@ -133,9 +133,9 @@ class RankedBytes:
                 at += int(left.sum())
         return pick_runs(np.concatenate(parts), places, counts).astype(np.uint32), counts
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, count per chunk): each match of the pattern separately, distinct ones once."""
-        found = [self.find(c) for c in chunks]
+        found = [self.find(c) for c in parts]
         sizes = np.array([len(x) for x in found], np.int64)
         every = [p for x in found for p in x]
         place = {p: i for i, p in enumerate(dict.fromkeys(every))}

@@ -1,9 +1,12 @@
-"""Token ids of whole texts by way of the distinct chunks that texts are made of.
+"""Token ids of whole texts by way of the distinct words that texts are made of.
 
-A tokenizer that splits a text before it merges gives the same ids for the text as for its chunks one by one, if every
-cut lies where the tokenizer cuts anyway. Cutting before each single space is such a place for the tokenizers used here;
-texts where a space stands beside other white space are cut before the last space of the run instead. Chunks repeat a
-lot, so each task keeps the ids of the chunks it has met and gives only new ones to the tokenizer.
+A tokenizer that splits a text before it merges gives the same ids for the text as for its parts one by one, if every
+cut lies where the tokenizer cuts anyway. In a text whose white space is single spaces and line breaks such places are
+before a space, before and after a line break, and between a letter and a sign other than an apostrophe; any other text
+is one part. Parts are told apart by a 64-bit hash that is computed for all of them at once, so that only new ones, which
+become rare, are ever cut out of the text and given to the tokenizer. Each worker process keeps what it has met.
+
+Two different parts of one memory share a hash with odds of about 3 in 100 million.
 """
 
 from __future__ import annotations
@@ -14,116 +17,199 @@ from collections.abc import Callable
 import numpy as np
 
 from rillwork.llm.common import pick_runs
+from rillwork.llm.hashing import GrowingTable
+
+#: Parts whose ids a worker keeps, and 8 times as many ids; a full memory is begun anew. It changes no result.
+KEPT = 1_000_000
+#: Longer parts, in bytes, are not kept.
+LONGEST = 64
 
-#: Chunks whose ids a task keeps, and 16 times as many ids; a full memory is begun anew. It changes no result.
-KEPT = 800_000
-RUN = re.compile(r" \s|[^\S ] ")
-CUT = re.compile(r" (?=\S)")
+#: White space, letters, signs: what most new parts look like.
+SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&]*)")
 
 Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
+BASE = 0x5851F42D4C957F2D
+LETTER, SIGN = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = True
 
-def chunks_of(text: str) -> list[str]:
-    """Pieces that give the text when joined, each with the space before it."""
-    if RUN.search(text):
-        cuts = [m.start() for m in CUT.finditer(text)]
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) if a < b]
-    head, *rest = text.split(" ")
-    pieces = [" " + x for x in rest]
-    return [head, *pieces] if head else pieces
 
+class Powers:
+    """Powers of the hash's base and of its inverse modulo 2**64, as far as they were needed."""
 
-_MEMORIES: dict[tuple, ChunkMemory] = {}
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            steps = [np.full(size, b, np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64))]
+            for x in steps:
+                x[0] = 1
+            self.up, self.down = (np.cumprod(x, dtype=np.uint64) for x in steps)
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, not negative: differences of one running sum."""
+    up, down = POWERS.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    values = (sums[ends] - sums[starts]) * down[starts]
+    values ^= values >> np.uint64(31)
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((values ^ (values >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+
+
+def part_starts(data: np.ndarray, sizes: np.ndarray, regular: np.ndarray) -> np.ndarray:
+    """Where the parts of texts of these sizes begin; texts that are not regular are one part."""
+    cut = np.zeros(len(data) + 1, bool)
+    cut[:-1] = (data == 32) | (data == 10)
+    cut[1:][data == 10] = True
+    cut[1:-1] |= SIGN[data[1:]] & LETTER[data[:-1]]
+    if not regular.all():
+        cut[:-1] &= np.repeat(regular, sizes)
+    cut[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return np.flatnonzero(cut[:-1])
 
-def shared_memory(key: tuple, build: Callable[[], Encoder]) -> ChunkMemory:
-    """The memory of this worker process for a vocabulary: tasks that run in the process one after the other share it."""
-    if key not in _MEMORIES:
-        _MEMORIES[key] = ChunkMemory(build())
-    return _MEMORIES[key]
 
+def is_regular(text: str) -> bool:
+    """White space is single spaces and line breaks inside the text."""
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1
 
-class ChunkMemory:
-    """Ids of texts from ids of chunks; ``encode`` maps new chunks to (all ids, count per chunk)."""
+
+class WordMemory:
+    """Ids of texts from ids of their parts; ``encode`` maps new parts to (all ids, count per part)."""
 
     def __init__(self, encode: Encoder, kept: int = KEPT):
         self.encode, self.kept = encode, kept
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.table, self.known = GrowingTable(), 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def learn(self, new: list[str]) -> None:
-        ids, counts = self.encode(new)
-        at, need = len(self.place), self.used + len(ids)
+    def learn(self, parts: list[str]) -> np.ndarray:
+        """Places of new parts."""
+        ids, counts = self.encode(parts)
+        at, need = self.known, self.used + len(ids)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(need, np.uint32)])
-        if at + len(new) > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x[:at], np.zeros(at + 2 * len(new), np.int64)]) for x in (self.starts, self.counts))
+        if at + len(parts) > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x[:at], np.zeros(at + 2 * len(parts), np.int64)]) for x in (self.starts, self.counts))
         self.flat[self.used : need] = ids
-        self.starts[at : at + len(new)] = self.used + np.cumsum(counts) - counts
-        self.counts[at : at + len(new)] = counts
-        self.place.update(zip(new, range(at, at + len(new)), strict=True))
-        self.used = need
+        self.known, self.used = at + len(parts), need
+        self.starts[at : self.known] = need - len(ids) + np.cumsum(counts) - counts
+        self.counts[at : self.known] = counts
+        return np.arange(at, self.known)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the count of each."""
-        pieces = [chunks_of(t) for t in texts]
-        every = [p for x in pieces for p in x]
-        if len(self.place) > self.kept or self.used > 16 * self.kept:
+        if self.known > self.kept or self.used > 8 * self.kept:
             self.clear()
-        place = self.place
-        new = list(dict.fromkeys(p for p in every if p not in place))
-        if new:
-            self.learn(new)
-        index = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
-        lengths = self.counts[index]
-        sizes = np.array([len(x) for x in pieces], np.int64)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)] if len(sizes) else sizes
-        return pick_runs(self.flat, self.starts[index], lengths), np.diff(ends, prepend=0)
-
-
-def library_memory(path: str) -> ChunkMemory:
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        sizes = np.array([len(x) for x in raw], np.int64)
+        whole = b"".join(raw)
+        data = np.frombuffer(whole, np.uint8)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        begins = part_starts(data, sizes, np.array([is_regular(t) for t in texts], bool))
+        ends = np.append(begins[1:], len(data))
+        keys = span_hashes(data, begins, ends)
+        place = self.table(keys)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            own = missing[first]
+            places = self.learn([whole[a:b].decode() for a, b in zip(begins[own].tolist(), ends[own].tolist(), strict=True)])
+            place[missing] = places[back]
+            keep = ends[own] - begins[own] <= LONGEST
+            self.table.add(new[keep], places[keep])
+        lengths = self.counts[place]
+        upto = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(begins, np.cumsum(sizes))]
+        return pick_runs(self.flat, self.starts[place], lengths), np.diff(upto, prepend=0)
+
+
+_MEMORIES: dict[tuple, WordMemory] = {}
+
+
+def shared_memory(key: tuple, build: Callable[[], Encoder]) -> WordMemory:
+    """The memory of this worker process for a vocabulary: tasks that run in the process one after the other share it."""
+    if key not in _MEMORIES:
+        _MEMORIES[key] = WordMemory(build())
+    return _MEMORIES[key]
+
+
+def library_memory(path: str) -> WordMemory:
     return shared_memory(("library", path), lambda: library_encoder(path))
 
 
+def byte_letters() -> dict[int, str]:
+    """The fixed letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the others
+    for the letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def library_encoder(path: str) -> Encoder:
-    """The tokenizers library with the vocabulary at ``path``; strings of special tokens are ordinary text."""
+    """The tokenizers library with the vocabulary at ``path``; strings of special tokens are ordinary text.
+
+    Parts of letters and closing signs skip the library's general normalizing and splitting, whose outcome for them is
+    plain; their pieces go to the library's model, thousands in a call. A probe at the start makes sure of that outcome.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-
-    def one_by_one(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    letters, lowers = byte_letters(), tokenizer.normalizer is not None
+
+    def pieces_of(space: str, word: str, signs: str) -> list[str]:
+        if lowers:
+            word, space = word.lower(), ""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(letters)
+        head = [letters[10], word] if space == "\n" else [letters[32] + word] if space else [word]
+        return [*head, signs] if signs else head
+
+    def general(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         counts = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((i for x in got for i in x), np.uint32, int(counts.sum())), counts
 
-    def together(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks in a row, told apart by the places of their ids: far fewer calls than one by one."""
-        got = tokenizer.encode("".join(chunks), add_special_tokens=False)
-        begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
-        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
-        counts = np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(chunks))
-        return np.array(got.ids, np.uint32), counts
-
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.array([len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks], bool)
-        counts, parts = np.zeros(len(chunks), np.int64), []
-        for where, how in ((np.flatnonzero(plain), together), (np.flatnonzero(~plain), one_by_one)):
+    def simple(matches: list) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [pieces_of(*m.groups()) for m in matches]
+        owner = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        got = bare.encode(" ".join([p for x in pieces for p in x]), add_special_tokens=False)
+        return np.array(got.ids, np.uint32), np.bincount(owner[np.array(got.word_ids, np.int64)], minlength=len(pieces))
+
+    probe = [" Straße,", " the", "\nThe", "thé;!", " don", "Ünder.", " ÀÉ...", "\nà?!", " be***", "z$$$", " Á%&#"]
+    want = [x.tolist() for x in general(probe)]
+    usable = [x.tolist() for x in simple([SIMPLE.fullmatch(p) for p in probe])] == want
+
+    def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        matches = [SIMPLE.fullmatch(p) for p in parts] if usable else [None] * len(parts)
+        easy = np.fromiter((m is not None for m in matches), bool, len(parts))
+        counts, made, order = np.zeros(len(parts), np.int64), [np.zeros(0, np.uint32)], []
+        for where, source, how in ((np.flatnonzero(easy), matches, simple), (np.flatnonzero(~easy), parts, general)):
             for k in range(0, len(where), 4096):
                 own = where[k : k + 4096]
-                ids, counts[own] = how([chunks[i] for i in own])
-                parts.append(ids)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        starts = np.zeros(len(chunks), np.int64)
-        starts[order] = np.cumsum(counts[order]) - counts[order]
-        return pick_runs(flat, starts, counts), counts
+                ids, counts[own] = how([source[i] for i in own.tolist()])
+                made.append(ids)
+            order.append(where)
+        places = np.concatenate(order)
+        starts = np.zeros(len(parts), np.int64)
+        starts[places] = np.cumsum(counts[places]) - counts[places]
+        return pick_runs(np.concatenate(made), starts, counts), counts
 
     return encode
