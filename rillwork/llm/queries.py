@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwork.llm import blocks, bpe, hosts, language, packing, secrets, sql
+from rillwork.llm import blocks, bpe, hosts, language, packing, secrets, sql, toxicity
 from rillwork.llm.common import crc_of
 from rillwork.llm.registry import ORACLES, QUERIES, query, table
 
@@ -50,3 +50,9 @@ def secret_ownership(spark, sf_dir):
 @query("op3_byte_trees")
 def byte_trees(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"), F.pmod(crc_of("doc_id"), F.lit(4)) == 2)
+
+
+@query("op2_restored_toxicity")
+def restored_toxicity(spark, sf_dir):
+    held_out = F.pmod(crc_of("doc_id"), F.lit(5)) == 0
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
