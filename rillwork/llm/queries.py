@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwork.llm import blocks, bpe, hosts, language, packing, secrets, sql, toxicity
+from rillwork.llm import blocks, bpe, covertree, hosts, language, packing, secrets, sql, toxicity
 from rillwork.llm.common import crc_of
 from rillwork.llm.registry import ORACLES, QUERIES, query, table
 
@@ -56,3 +56,8 @@ def byte_trees(spark, sf_dir):
 def restored_toxicity(spark, sf_dir):
     held_out = F.pmod(crc_of("doc_id"), F.lit(5)) == 0
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
+@query("op8_cover_tree_links")
+def cover_tree_links(spark, sf_dir):
+    return covertree.link_vectors(table(spark, sf_dir, "embeddings"), 0.98)
