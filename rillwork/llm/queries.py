@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwork.llm import blocks, bpe, covertree, hosts, language, packing, secrets, sql, toxicity
+from rillwork.llm import blocks, bpe, covertree, hilbert, hosts, language, packing, secrets, sql, toxicity
 from rillwork.llm.common import crc_of
 from rillwork.llm.registry import ORACLES, QUERIES, query, table
 
@@ -61,3 +61,8 @@ def restored_toxicity(spark, sf_dir):
 @query("op8_cover_tree_links")
 def cover_tree_links(spark, sf_dir):
     return covertree.link_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+@query("op5_hilbert_windows")
+def hilbert_windows(spark, sf_dir):
+    return hilbert.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
