@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwork.llm import blocks, bpe, covertree, hilbert, hosts, language, packing, secrets, sql, toxicity
+from rillwork.llm import blocks, bpe, chosen_path, covertree, hilbert, hosts, language, packing, secrets, sql, toxicity
 from rillwork.llm.common import crc_of
 from rillwork.llm.registry import ORACLES, QUERIES, query, table
 
@@ -66,3 +66,8 @@ def cover_tree_links(spark, sf_dir):
 @query("op5_hilbert_windows")
 def hilbert_windows(spark, sf_dir):
     return hilbert.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op7_chosen_path_join")
+def chosen_path_join(spark, sf_dir):
+    return chosen_path.jaccard_groups(table(spark, sf_dir, "documents"))
