@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillwork.llm.common import groups_of, renamed, starts_of, text_slices
 from rillwork.llm.components import stars
@@ -256,13 +257,15 @@ def met(reps: DataFrame) -> DataFrame:
 def jaccard_groups(
     docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int = RUNS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """doc_id, class_id, n_links, kept of every row. Two rows are linked at a Jaccard similarity of ``threshold`` or more
-    of their sets of ``words``-word shingles; class_id is the smallest doc_id that links lead to; n_links counts the other
-    rows linked directly.
+    """doc_id, class_id, n_links, kept, digest of every row. Two rows are linked at a Jaccard similarity of ``threshold``
+    or more of their sets of ``words``-word shingles; class_id is the smallest doc_id that links lead to; n_links counts
+    the other rows linked directly; the digest is that of the set; of each class the row with the smallest doc_id, then
+    digest, is kept.
 
     Words are what white space separates. A text of fewer words is one shingle. Null texts, texts without a word and rows
-    without doc_id have no links and are classes of their own. Rows that repeat a doc_id are rows like others. Other
-    columns are not read. An empty table has no rows.
+    without doc_id have no links, a null digest, and are kept as classes of their own. Rows that repeat a doc_id are rows
+    like others; of those that repeat its set too, each is marked kept. Other columns are not read. An empty table has no
+    rows.
     """
     own = renamed(docs, doc_id=doc_id, text=text)
     rows = settle(signed(own, words, threshold, runs).withColumn("node", F.monotonically_increasing_id()), "signed")
@@ -296,9 +299,30 @@ def jaccard_groups(
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     placed = classes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = settle(placed, "placed")
-    firsts = settle(placed.groupBy("root").agg(F.min("first_id").alias("class_id")), "firsts")
-    told = settle(placed.join(firsts, "root").select("digest", "copies", "links", "class_id"), "told")
+    firsts = settle(placed.groupBy("root").agg(F.min(F.struct("first_id", "digest")).alias("best")), "firsts")
+    leads = F.col("digest") == F.col("best.digest")
+    told = settle(placed.join(firsts, "root").select("digest", "copies", "links", F.col("best.first_id").alias("class_id"), leads.alias("leads")), "told")
     out = rows.select("doc_id", "digest").join(told, "digest", "left")
     class_id = F.coalesce("class_id", "doc_id")
     n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
-    return out.select("doc_id", class_id.alias("class_id"), n_links.alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    kept = F.coalesce(F.col("leads") & (F.col("doc_id") == F.col("class_id")), F.lit(True))
+    return out.select("doc_id", class_id.alias("class_id"), n_links.alias("n_links"), kept.alias("kept"), "digest")
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int = RUNS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, others) that ``jaccard_groups`` keeps, one of those that repeat doc_id and set."""
+    columns = docs.columns
+    gone = jaccard_groups(docs, threshold, words, runs).filter("NOT kept").select("doc_id", F.hex("digest").alias("set_")).distinct()
+    schema = T.StructType([*docs.schema.fields, T.StructField("row_", T.LongType()), T.StructField("set_", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b in text_slices([t or "" for t in batch["text"]]):
+                part = batch.iloc[a:b]
+                sets = shingle_sets([t or "" for t in part["text"]], words)
+                own = [None if pd.isna(d) or not len(s) else hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest().upper() for d, s in zip(part["doc_id"], sets, strict=True)]
+                yield part.assign(set_=own)
+
+    marked = docs.withColumn("row_", F.monotonically_increasing_id()).mapInPandas(run, schema)
+    marked = marked.withColumn("set_", F.coalesce("set_", F.col("row_").cast("string")))  # rows without a set stay apart
+    return marked.join(settle(gone, "gone"), ["doc_id", "set_"], "left_anti").dropDuplicates(["doc_id", "set_"]).select(columns)

@@ -70,4 +70,4 @@ def hilbert_windows(spark, sf_dir):
 
 @query("op7_chosen_path_join")
 def chosen_path_join(spark, sf_dir):
-    return chosen_path.jaccard_groups(table(spark, sf_dir, "documents"))
+    return chosen_path.jaccard_groups(table(spark, sf_dir, "documents")).drop("digest")
