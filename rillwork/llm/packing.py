@@ -55,7 +55,7 @@ def fill(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(classes, kind="stable")
     own, used = classes[order], 0
     starts = np.flatnonzero(np.diff(own, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], len(own)], strict=True):
+    for a, b in zip(starts, np.append(starts, len(own))[1:], strict=True):
         k = int(own[a])
         full = (b - a) // k
         some = order[a : a + full * k]
