@@ -290,7 +290,8 @@ def jaccard_groups(
                 out = part[["group", "node", "copies"]].assign(tokens=[s.tobytes() for s in sets])
                 yield out[right]  # other texts under the same doc_id
 
-    told = own.filter("text IS NOT NULL").join(members, "doc_id").select("group", "node", "copies", "text", "digest")
+    # One plan at every size: with few members Spark would broadcast them, and the texts would be moved in large runs only.
+    told = own.filter("text IS NOT NULL").join(members.hint("merge"), "doc_id").select("group", "node", "copies", "text", "digest")
     sets = told.mapInPandas(tokens, "group bigint, node bigint, copies bigint, tokens binary")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
     dealt = dealt_in_blocks(settle(sets, "sets").join(sizes, "group"), "group", blocks)
