@@ -7,18 +7,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rillwork.session import settle
 
-# Rows that one task may sort. Below it no group can be too large for one task.
-ROWS_PER_TASK = 2_000_000
-# Split points sent to the tasks, and sampled keys per split point that come to the driver.
-MAX_SPLITS = 4_096
-KEYS_PER_SPLIT = 30
-# Spark trims the groups of a top-n window before the shuffle up to this n.
-WINDOW_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Rows that one task sorts, about.
+ROWS_PER_TASK = 500_000
+# Parts that a key is dealt to before its first rows are picked.
+SALTS = 32
+# Fixed layout of Spark's increasing ids: the partition above these bits, the row in the partition below them.
+PARTITION_BITS = 33
 
 
 def _window(group: Sequence[str], order: Sequence[str], descending: bool, *extra: Column):
@@ -26,37 +24,6 @@ def _window(group: Sequence[str], order: Sequence[str], descending: bool, *extra
     return Window.partitionBy(*extra, *group).orderBy(*by)
 
 
-def _portable(column: str, dtype: T.DataType) -> Column:
-    """A key column in a form that comes to the driver and back unchanged in any time zone."""
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(column).alias(column)
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.col(column).cast("string").alias(column)
-    return F.col(column)
-
-
-def _literal(value, dtype: T.DataType) -> Column:
-    """The literal of a collected key value."""
-    if isinstance(dtype, T.TimestampType):
-        return F.timestamp_micros(F.lit(value).cast("long"))
-    return F.lit(value).cast(dtype)
-
-
-def _with_slice(df: DataFrame, keys: Sequence[str], bounds: Column, size: int) -> DataFrame:
-    """Add the number of sorted bounds that are not above the key of a row.
-
-    A binary search with one projection per step, all inside generated code. The same search as a
-    lambda over the steps is interpreted and took ten times as long.
-    """
-    low = F.col("_slice")
-    df = df.withColumn("_key", F.struct(*keys)).withColumn("_slice", F.lit(0))
-    for power in reversed(range(size.bit_length())):
-        step = 1 << power
-        passed = F.get(bounds, low + F.lit(step - 1)) <= F.col("_key")
-        df = df.withColumn("_slice", F.when(passed, low + F.lit(step)).otherwise(low))
-    return df.drop("_key")
-
-
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
@@ -65,60 +32,28 @@ def number_rows(
     descending: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """1-based running number per group, for groups of any size.
-
-    ``order`` must be unique within a group. A frame of at most ``rows_per_task`` rows is numbered with
-    a plain window. A larger one is cut along the sort order (group, order) at sampled split points, so
-    that a group holding a third of all rows becomes many slices: rows are numbered inside their slice,
-    and the rows of the group in the slices before are added. Only groups that hold a split point can
-    lie in two slices, so the table of slice counts has at most a few rows per split point and is
-    broadcast. Numbering takes one shuffle; the sample and the counts read the key columns only. The
-    input is read more than once and must give the same rows each time (``settle`` it if unsure).
+    """1-based running number per group, for frames and groups of any size.
+
+    ``order`` must be unique within a group. The rows are cut along the sort order (group, order) into ranges, in
+    proportion to their number, so that a group holding a third of all rows becomes many ranges. The sorted ranges are
+    written once; a row's place in its range is then fixed. The number of a row is its place, less the first place of its
+    group there, plus the rows of the group in earlier ranges. These two come from one row per group and range, which is
+    joined back: a broadcast where that table is small, else a shuffled join whose keys hold the range, so that no key is
+    large. With no group the last step sums up one row per range.
     """
-    total = df.count()
-    if total <= rows_per_task:
-        return df.withColumn(alias, F.row_number().over(_window(group, order, descending)).cast("long"))
-
-    keys = [*group, *order]
-    key_frame = df.select(*keys)
-    n_splits = min(MAX_SPLITS, math.ceil(2 * total / rows_per_task))
-    types = {c: key_frame.schema[c].dataType for c in keys}
-    portable = [_portable(c, types[c]) for c in keys]
-    sample = key_frame.sample(min(1.0, KEYS_PER_SPLIT * n_splits / total), seed=7).distinct()
-    sampled = sample.sort(*keys).select(*portable).collect()
-    points = sampled[:: max(1, len(sampled) // n_splits)] or key_frame.limit(1).select(*portable).collect()
-    bounds = F.array(*[F.struct(*[_literal(row[c], types[c]).alias(c) for c in keys]) for row in points])
-
-    # Groups that hold a split point: the only ones that can lie in more than one slice.
-    if group:
-        values = {tuple(row[c] for c in group) for row in points}
-        cut_groups = [
-            F.struct(*[_literal(v, types[c]).alias(f"_cut_{c}") for v, c in zip(row, group)]) for row in values
-        ]
-        cut = F.broadcast(df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*cut_groups))))
-        on_cut = [F.col(c).eqNullSafe(F.col(f"_cut_{c}")) for c in group]
-        cut_keys = key_frame.join(cut, on_cut, "left_semi")
-    else:
-        cut_keys = key_frame
-    counted = _with_slice(cut_keys, keys, bounds, len(points)).groupBy("_slice", *group).agg(F.count("*").alias("_n"))
-    ahead = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(
-        F.desc("_slice") if descending else F.asc("_slice")
-    ).rowsBetween(Window.unboundedPreceding, -1)
+    slices = max(1, math.ceil(df.count() / rows_per_task))
+    by = [*[F.asc(c) for c in group], *[F.desc(c) if descending else F.asc(c) for c in order]]
+    ranged = df.repartitionByRange(slices, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    placed = settle(ranged.withColumn("_range", F.shiftright("_at", PARTITION_BITS)), "ranges")
+
+    per_range = placed.groupBy("_range", *group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
     offsets = settle(
-        counted.select(
-            F.col("_slice").alias("_at"),
-            *[F.col(c).alias(f"_of_{c}") for c in group],
-            F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"),
-        ),
-        "slice-offsets",
-    )
-
-    local = F.row_number().over(_window(group, order, descending, F.col("_slice")))
-    numbered = _with_slice(df, keys, bounds, len(points)).withColumn("_local", local)
-    same = [F.col("_slice") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]]
-    return numbered.join(F.broadcast(offsets), same, "left").select(
-        *df.columns, (F.col("_local") + F.coalesce("_ahead", F.lit(0))).cast("long").alias(alias)
+        per_range.select(F.col("_range").alias("_in"), *[F.col(c).alias(f"_of_{c}") for c in group], ahead.alias("_ahead")), "offsets"
     )
+    same = [F.col("_range") == F.col("_in"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]]
+    return placed.join(offsets, same).select(*df.columns, (F.col("_at") + F.col("_ahead")).cast("long").alias(alias))
 
 
 def chunk_rows(
@@ -160,13 +95,13 @@ def limit_per_key(
 ) -> DataFrame:
     """At most ``n`` rows per key.
 
-    Up to Spark's limit threshold every map task keeps only its own first ``n`` rows of a key, so a hot
-    key shrinks before the shuffle. For a larger ``n`` the rows are numbered slice by slice.
+    A key's rows are dealt to ``SALTS`` parts and each part keeps its first ``n``, so that no task sorts all rows of a
+    hot key; the key's first ``n`` are then picked from these. Up to Spark's own limit every map task trims its rows
+    beforehand as well.
     """
     name = alias or "_row"
-    if n <= int(df.sparkSession.conf.get(WINDOW_LIMIT_CONF, "1000")):
-        numbered = df.withColumn(name, F.row_number().over(_window(key, order, descending)))
-    else:
-        numbered = number_rows(df, key, order, name, descending)
-    limited = numbered.filter(F.col(name) <= n)
-    return limited.withColumn(alias, F.col(alias).cast("long")) if alias else limited.drop(name)
+    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS))
+    part = df.withColumn("_salt", salt).withColumn("_place", F.row_number().over(_window(key, order, descending, F.col("_salt"))))
+    kept = part.filter(F.col("_place") <= n).drop("_place", "_salt")
+    numbered = kept.withColumn(name, F.row_number().over(_window(key, order, descending))).filter(F.col(name) <= n)
+    return numbered.withColumn(alias, F.col(alias).cast("long")) if alias else numbered.drop(name)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 # State of streams on local disk instead of in executor memory.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 
 def build_session(app: str = "rillwork", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is written for.
@@ -45,21 +41,10 @@ def pin_utc(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, as named in ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a folder of its own; on a cluster a
-    machine-local folder would not be seen by the other executors, so the setting is required there.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/rillwork"
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.conf.get("spark.app.id")
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="rillwork-", dir=os.environ.get("TMPDIR", "/tmp"))
-    return _LOCAL_DIRS[app]
+    """The folder that all executors share, as named in ``spark.checkpoint.dir``. A session without that setting has its
+    warehouse, which they share as well."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/rillwork"
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -78,10 +63,3 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     path = fresh_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly expressions when the input comes in fewer partitions than there are
-    cores (a few files that cannot be split). With enough partitions nothing is shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

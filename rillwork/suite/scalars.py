@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from rillwork.functions import intervals, paths, urls
 from rillwork.functions.json_values import record_text
-from rillwork.session import spread
 from rillwork.suite.registry import query, table
 
 
@@ -14,13 +13,13 @@ from rillwork.suite.registry import query, table
     UNION ALL SELECT 'document', doc_id, md5(replace(url_encode(text), '%2F', '/')), md5(text) FROM documents""",
 )
 def url_columns(spark, sf):
-    pages = spread(table(spark, sf, "pages")).select(
+    pages = table(spark, sf, "pages").select(
         F.lit("page").alias("kind"),
         F.col("page_id").alias("id"),
         urls.quote("url").alias("quoted"),
         urls.unquote("url").alias("unquoted"),
     )
-    documents = spread(table(spark, sf, "documents")).select("doc_id", urls.quote("text").alias("quoted"))
+    documents = table(spark, sf, "documents").select("doc_id", urls.quote("text").alias("quoted"))
     return pages.unionByName(
         documents.select(
             F.lit("document").alias("kind"),
@@ -50,7 +49,7 @@ def file_name_columns(spark, sf):
         "path",
         F.concat(F.lit("/in/data_"), "o_orderstatus", F.lit("_x_"), intervals.file_stamp("o_orderdate"), F.lit(".tar.gz")),
     )
-    return spread(named).withColumn("name", paths.name("path")).select(
+    return named.withColumn("name", paths.name("path")).select(
         "o_orderkey",
         "name",
         paths.stem("name").alias("stem"),
@@ -73,7 +72,7 @@ def file_name_columns(spark, sf):
         o_orderkey % 5 = 0 AS null_kept, o_orderpriority AS from_line, o_orderpriority AS decoded FROM orders""",
 )
 def json_columns(spark, sf):
-    rows = spread(table(spark, sf, "orders")).select(
+    rows = table(spark, sf, "orders").select(
         "o_orderkey",
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice").cast("decimal(14,2)")).alias("price"),
         F.col("o_orderdate").alias("ordered"),

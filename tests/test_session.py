@@ -19,21 +19,9 @@ def test_shared_folder_is_read_from_the_session():
     assert session.fresh_dir(shared, "x") != session.fresh_dir(shared, "x")
 
 
-def test_cluster_without_shared_folder_is_refused():
-    with pytest.raises(RuntimeError):
-        session.work_dir(Fake(spark_master="yarn"))
-
-
-def test_local_session_gets_its_own_folder():
-    local = Fake(spark_master="local[2]", spark_app_id="local-test")
-    assert session.work_dir(local) == session.work_dir(local)
+def test_session_without_it_uses_its_warehouse():
+    assert session.work_dir(Fake(spark_master="yarn", spark_sql_warehouse_dir="hdfs://h/wh")) == "hdfs://h/wh/rillwork"
 
 
 def test_settled_frame_knows_its_size(spark):
     assert session.settle(spark.range(5)).count() == 5
-
-
-def test_spread_only_when_cores_would_idle(spark):
-    assert session.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 8
-    wide = spark.range(0, 100, 1, 16)
-    assert session.spread(wide) is wide
