@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillwork.functions.urls import quote
 
 # Characters that are not allowed in an identifier.
-IDENTIFIER_PUNCTUATION = " $'\",-/&#%@.<>|*?!"
+IDENTIFIER_PUNCTUATION = " $'\",-\\/&#%@.<>|*?!"
 
 
 def _col(c: Column | str) -> Column:

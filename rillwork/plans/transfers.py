@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions import paths
@@ -12,7 +12,8 @@ from rillwork.functions.intervals import ntz
 from rillwork.functions.json_values import record_text
 from rillwork.functions.urls import quote
 from rillwork.operators.batches import ROWS_PER_TASK, number_rows
-from rillwork.sinks.blobs import compress_files, write_blobs
+from rillwork.session import settle
+from rillwork.sinks.blobs import compress_files, write_blobs, write_gzip_lines
 from rillwork.sinks.landing import insert_by_position, reload_interval, swap_interval
 from rillwork.sources.files import STAMP
 from rillwork.sources.records import CSV_TEXT, read_csv
@@ -34,7 +35,8 @@ def table_to_files(
     """
     numbered = number_rows(df, [], order, "_row", rows_per_task=rows_per_task)
     header = F.to_csv(F.struct(*[F.lit(c).alias(c) for c in df.columns]), CSV_TEXT)
-    line = F.to_csv(F.struct(*df.columns), {**CSV_TEXT, "nullValue": "", "emptyValue": ""})
+    empty = '""' if len(df.columns) == 1 else ""  # a blank line would be skipped
+    line = F.to_csv(F.struct(*df.columns), {**CSV_TEXT, "nullValue": empty, "emptyValue": empty})
     number = F.floor((F.col("_row") - 1) / F.lit(batch_size)).cast("long") + F.lit(1)
     lines = numbered.select(number.alias("file_num"), F.struct("_row", line.alias("line")).alias("entry"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list("entry")), lambda e: e["line"]), "\n")
@@ -71,23 +73,35 @@ def table_to_warehouse(
     """Idempotent load of one interval into a landing table; returns the rows loaded.
 
     With ``stage`` the rows go through gzipped JSON files of ``part_rows`` records, as a warehouse that
-    copies from files needs, and ``_loaded_from`` is the name of the staged file. Without it they go
+    copies from files needs, named ``<table>_part001.json.gz`` and so on, and ``_loaded_from`` is
+    the path of the staged file; what was staged there before is replaced. Without it they go
     straight to the landing table, which saves writing and reading them once more.
     """
     if stage is None:
         return reload_interval(df, landing, start, end, F.lit(table), loaded_at)
     spark = df.sparkSession
-    staged = df.select(record_text(df).alias("value"))
-    staged.write.mode("overwrite").option("maxRecordsPerFile", part_rows).text(stage, compression="gzip")
+    number = F.shiftright("_id", 33)  # one part per task, and more where a task has more rows
+    within = F.floor(F.col("_id").bitwiseAND((1 << 33) - 1) / part_rows).cast("long")
+    if df.isEmpty():
+        return reload_interval(df, landing, start, end, F.lit(table), loaded_at)
+    staged = settle(df.select(record_text(df).alias("value"), F.monotonically_increasing_id().alias("_id")), "staged")
+    staged = staged.select("value", "_id", number.alias("_task"), within.alias("_within"))
+    # Parts are numbered in order; their list has one row per part.
+    parts = settle(staged.select("_task", "_within").distinct(), "parts")
+    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_task", "_within"))
+    numbered = settle(parts.withColumn("_part", order), "numbered-parts")
+    placed = staged.join(numbered, ["_task", "_within"])
+    name = F.format_string(f"{table}_part%03d.json.gz", "_part")
+    write_gzip_lines(placed.select(name.alias("name"), "_id", "value"), stage)
     at = loaded_at if loaded_at is not None else F.current_timestamp()
     rows = spark.read.text(stage).select(
         F.parse_json("value").alias("src"),
-        ntz(end).alias("_interval_end"),
         at.cast("timestamp_ntz").alias("_loaded_at"),
-        F.col("_metadata.file_name").alias("_loaded_from"),
+        F.concat(F.lit(stage.rstrip("/") + "/"), "_metadata.file_name").alias("_loaded_from"),
         ntz(start).alias("_interval_start"),
+        ntz(end).alias("_interval_end"),
     )
-    return swap_interval(rows, landing, start)
+    return swap_interval(rows, landing, start, end)
 
 
 def stage_folder(base: str, table: str, start: str) -> Column:
@@ -108,6 +122,7 @@ def compress_and_copy(
     """Compress all matching files and write them below the day of the run interval."""
     ending = ".gz" if compression == "gzip" else ".zz"
     day = ntz(start).cast("date").cast("string")
-    place = target if target is not None else F.concat(day, F.lit("/"), "name", F.lit(ending))
+    relative = paths.as_format("path", source, "relative")
+    place = target if target is not None else F.concat(day, F.lit("/"), relative, F.lit(ending))
     manifest = compress_files(spark, source, destination, place, pattern, compression)
     return manifest.withColumn("name", paths.name("path"))

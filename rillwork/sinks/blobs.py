@@ -6,6 +6,7 @@ reading the manifest twice does not write the files twice.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,7 +31,7 @@ def write_blobs(
 ) -> DataFrame:
     """One file per row at ``base/path``; text is written as UTF-8, folders are created.
 
-    Returns path, bytes written and metadata. ``append`` adds to an existing file; it needs one row per
+    Returns path, bytes written and metadata; two rows for one path are an error. ``append`` adds to an existing file; it needs one row per
     path and is not safe against a task that runs twice, overwriting is.
     """
     path = F.col(path) if isinstance(path, str) else path
@@ -41,6 +42,9 @@ def write_blobs(
         (metadata if metadata is not None else F.lit(None)).cast("string").alias("metadata"),
     )
 
+    if not append:
+        _refuse_repeats(rows, F.col("path"))
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = []
@@ -54,6 +58,43 @@ def write_blobs(
     return written.withColumn("path", paths.as_format("path", base, path_format))
 
 
+def write_gzip_lines(rows: DataFrame, base: str) -> None:
+    """Gzipped text files named in ``name`` with the lines of ``value`` in the order of ``_id``, in place of what the
+    folder held. One task writes a file; it keeps the compressed bytes of one file at a time."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held = None, []
+        packer = zlib.compressobj(wbits=storage.WINDOW_BITS["gzip"])
+
+        def close() -> pd.DataFrame:
+            size = storage.write_chunks(f"{base.rstrip('/')}/{name}", [*held, packer.flush()])
+            return pd.DataFrame({"name": [name], "size": [size]})
+
+        for batch in batches:
+            for own, lines in batch.groupby("name", sort=True)["value"]:
+                if own != name:
+                    if name is not None:
+                        yield close()
+                    name, held, packer = own, [], zlib.compressobj(wbits=storage.WINDOW_BITS["gzip"])
+                held.append(packer.compress("".join(f"{x}\n" for x in lines).encode()))
+        if name is not None:
+            yield close()
+
+    system, path = storage.open_path(base)
+    system.create_dir(path, recursive=True)
+    system.delete_dir_contents(path)
+    ordered = rows.repartition(parts, "name").sortWithinPartitions("name", "_id")
+    settle(ordered.mapInPandas(write, "name string, size long"), "lines")
+
+
+def _refuse_repeats(listing: DataFrame, target: Column) -> None:
+    """Two files must not be written to one path."""
+    twice = listing.groupBy(target.alias("path")).agg(F.count("*").alias("n")).filter("n > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"several files would be written to {', '.join(r.path for r in twice)}")
+
+
 def _copy(listing: DataFrame, target: Column, transform: Callable | None, codec: str | None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,6 +104,7 @@ def _copy(listing: DataFrame, target: Column, transform: Callable | None, codec:
                 sizes.append(storage.write_chunks(dest, transform(chunks, codec) if transform else chunks))
             yield pd.DataFrame({"source": batch["source"], "path": batch["path"], "size": sizes})
 
+    _refuse_repeats(listing, target)
     named = listing.select(F.col("path").alias("source"), target.alias("path"))
     return settle(named.mapInPandas(run, "source string, path string, size long"), "manifest")
 

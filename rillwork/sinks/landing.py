@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.intervals import ntz, truncate
 from rillwork.functions.json_values import record_variant
+from rillwork.functions.paths import as_format
+from rillwork.functions.urls import unquote
 from rillwork.session import settle
+from rillwork.sources.files import list_files
 
 # The columns of a landing table.
 LANDING_SCHEMA = (
-    "src variant, _interval_end timestamp_ntz, _loaded_at timestamp_ntz, _loaded_from string, "
-    "_interval_start timestamp_ntz"
+    "src variant, _loaded_at timestamp_ntz, _loaded_from string, "
+    "_interval_start timestamp_ntz, _interval_end timestamp_ntz"
 )
+INTERVAL = ("_interval_start", "_interval_end")
 STAGED_SCHEMA = "data_var variant, etl_id string, etl_timestamp timestamp_ntz, etl_filename string"
 
 
@@ -45,34 +49,32 @@ def landing_rows(df: DataFrame, start: str, end: str, loaded_from: Column, loade
     at = loaded_at if loaded_at is not None else F.current_timestamp()
     return df.select(
         record_variant(df).alias("src"),
-        ntz(end).alias("_interval_end"),
         at.cast("timestamp_ntz").alias("_loaded_at"),
         loaded_from.alias("_loaded_from"),
         ntz(start).alias("_interval_start"),
+        ntz(end).alias("_interval_end"),
     )
 
 
-def swap_interval(rows: DataFrame, path: str, start: str) -> int:
-    """Replace one interval of a landing table by ``rows``; other intervals stay.
+def swap_interval(rows: DataFrame, path: str, start: str, end: str) -> int:
+    """Replace one interval, known by its start and its end, of a landing table by ``rows``; others stay.
 
     The interval is a partition, swapped when the new files are complete. An interval that has become
     empty gives the swap nothing to replace, so its partition is emptied explicitly. The row count
     comes from the write itself.
     """
     count = Observation()
-    writer = rows.observe(count, F.count(F.lit(1)).alias("n")).write.partitionBy("_interval_start")
+    writer = rows.observe(count, F.count(F.lit(1)).alias("n")).write.partitionBy(*INTERVAL)
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     loaded = int(count.get["n"])
     if loaded == 0:
         spark = rows.sparkSession
         nothing = spark.range(0).select(
-            F.parse_json(F.lit("null")).alias("src"),
-            ntz(start).alias("_interval_end"),
-            ntz(start).alias("_loaded_at"),
-            F.lit("").alias("_loaded_from"),
+            F.parse_json(F.lit("null")).alias("src"), ntz(start).alias("_loaded_at"), F.lit("").alias("_loaded_from")
         )
-        label = spark.range(1).select(ntz(start).cast("string")).first()[0]
-        nothing.write.mode("overwrite").parquet(f"{path}/_interval_start={quote(label, safe=' -.')}")
+        labels = spark.range(1).select(ntz(start).cast("string"), ntz(end).cast("string")).first()
+        folders = "/".join(f"{c}={quote(v, safe=' -.')}" for c, v in zip(INTERVAL, labels))
+        nothing.write.mode("overwrite").parquet(f"{path}/{folders}")
     return loaded
 
 
@@ -87,7 +89,7 @@ def reload_interval(
     """Load the rows of one interval in place of what the interval held. Running it again changes
     nothing."""
     origin = loaded_from if loaded_from is not None else F.lit(None).cast("string")
-    return swap_interval(landing_rows(df, start, end, origin, loaded_at), path, start)
+    return swap_interval(landing_rows(df, start, end, origin, loaded_at), path, start, end)
 
 
 def reload_all(df: DataFrame, path: str, ts: str, unit: str = "day", loaded_from: Column | None = None) -> None:
@@ -96,17 +98,17 @@ def reload_all(df: DataFrame, path: str, ts: str, unit: str = "day", loaded_from
     start = truncate(ts, unit)
     rows = df.select(
         record_variant(df).alias("src"),
-        (start + F.expr(f"INTERVAL 1 {unit}")).alias("_interval_end"),
         F.current_timestamp().cast("timestamp_ntz").alias("_loaded_at"),
         (loaded_from if loaded_from is not None else F.lit(None).cast("string")).alias("_loaded_from"),
         start.alias("_interval_start"),
+        (start + F.expr(f"INTERVAL 1 {unit}")).alias("_interval_end"),
     )
-    writer = rows.hint("rebalance", "_interval_start").write.partitionBy("_interval_start")
+    writer = rows.hint("rebalance", *INTERVAL).write.partitionBy(*INTERVAL)
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    """A landing table; the schema is given because the partition column would come back zoned."""
+    """A landing table; the schema is given because the partition columns would come back zoned."""
     return spark.read.schema(LANDING_SCHEMA).parquet(path)
 
 
@@ -115,19 +117,24 @@ def copy_into_table(
 ) -> None:
     """Append staged JSON lines (compressed or not) to a table with id, time and file name of the load.
 
-    Loading a file again adds it again, unless ``loaded`` (the table so far) is given: then files whose
-    name is already there are left out.
+    A file is known by its path below the stage, as names repeat from folder to folder. Loading a file
+    again adds it again, unless ``loaded`` (the table so far) is given: then the files that are there
+    are dropped from the listing, before anything is read.
     """
-    staged = spark.read.option("recursiveFileLookup", "true").text(stage)
-    lines = staged.select("value", F.col("_metadata.file_name").alias("etl_filename"))
+    files = list_files(spark, stage).select("path")
     if loaded is not None:
-        # One row per loaded file; settled, so that it is broadcast only if it is small.
-        known = settle(loaded.select("etl_filename").distinct(), "loaded-files")
-        lines = lines.join(known, "etl_filename", "left_anti")
+        # One row per loaded file on either side; settled, so that it is broadcast only if it is small.
+        known = settle(loaded.select(F.col("etl_filename").alias("path")).distinct(), "loaded-files")
+        files = files.join(known, "path", "left_anti")
+    # File names come to the driver, as they do for any listing that Spark reads.
+    fresh = [f"{stage.rstrip('/')}/{r.path}" for r in files.collect()]
+    if not fresh:
+        return
+    lines = spark.read.text(fresh)
     rows = lines.select(
         F.parse_json("value").alias("data_var"),
         F.lit(etl_id).alias("etl_id"),
         F.current_timestamp().cast("timestamp_ntz").alias("etl_timestamp"),
-        "etl_filename",
+        as_format(unquote("_metadata.file_path"), stage.rstrip("/"), "relative").alias("etl_filename"),
     )
     rows.write.mode("append").parquet(path)

@@ -27,9 +27,11 @@ def write_csv(
     mode: str = "errorifexists",
     compression: str = "none",
 ) -> None:
-    """CSV in one of two dialects: every field quoted, or quotes only where needed. Null is empty."""
-    options = {**CSV_TEXT, "sep": delimiter, "header": header, "quoteAll": quote_all, "compression": compression}
-    df.write.mode(mode).options(**options, nullValue="", emptyValue="").csv(path)
+    """CSV in one of two dialects: every field quoted, or quotes only where needed. Null is empty, and ``""`` where it
+    would leave a blank line, which readers skip. A frame without rows has no lines, not even a header."""
+    options = {**CSV_TEXT, "sep": delimiter, "header": header and not df.isEmpty(), "quoteAll": quote_all, "compression": compression}
+    empty = '""' if len(df.columns) == 1 and not quote_all else ""
+    df.write.mode(mode).options(**options, nullValue=empty, emptyValue=empty).csv(path)
 
 
 def write_by_template(

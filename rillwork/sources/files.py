@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,16 @@ STAMP = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]T[0-9][0-9]_[0-9][0-9]_[0-9][
 
 
 def _glob_text(glob: str) -> str:
-    """A glob without ``**`` as regular expression; wildcards stay inside one folder level."""
-    return "".join({"*": "[^/]*", "?": "[^/]"}.get(c, f"\\Q{c}\\E") for c in glob)
+    """A glob without ``**`` as regular expression; wildcards and classes (``[a-z]``, ``[!a-z]``) stay inside one folder
+    level, and a ``[`` without its ``]`` is a plain character."""
+    out = []
+    for token in re.findall(r"\[!?\]?[^\]/]*\]|.", glob, re.DOTALL):
+        if len(token) > 1:
+            inner = token[1:-1].replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]").replace("&&", "&\\&").replace("^", "\\^")
+            out.append(f"(?!/)[{'^' + inner[1:] if inner.startswith('!') else inner}]")
+        else:
+            out.append({"*": "[^/]*", "?": "[^/]"}.get(token, f"\\Q{token}\\E"))
+    return "".join(out)
 
 
 def matching(spark: SparkSession, base: str, pattern: str = "**/*") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rillwork.functions import paths
 from rillwork.functions.json_values import pick, record_text
 from rillwork.plans import transfers
-from rillwork.session import fresh_dir, spread
+from rillwork.session import fresh_dir
 from rillwork.sinks import blobs, landing, records as out
 from rillwork.sources import files, records, tables
 from rillwork.suite.registry import query, table
@@ -84,9 +84,11 @@ def compress_copy_files(spark, sf):
 @query("compress_and_copy", "SELECT doc_id, text FROM documents")
 def compress_and_copy(spark, sf):
     source, packed = fresh_dir(spark, "shelves"), fresh_dir(spark, "packed")
-    blobs.write_blobs(_shelves(spark, sf, _json_lines(spark, sf)), source, "path", "body")
+    # The names repeat from room to room.
+    place = F.concat_ws("/", F.substring_index("path", "/", 1), F.format_string("part_%d.txt", F.floor(F.col("shelf") / 4)))
+    blobs.write_blobs(_shelves(spark, sf, _json_lines(spark, sf)).withColumn("path", place), source, "path", "body")
     transfers.compress_and_copy(spark, source, packed, "2024-01-05 00:00:00", "**/*.txt")
-    return records.read_json_lines(spark, f"{packed}/2024-01-05", "doc_id long, text string")
+    return records.read_json_lines(spark, f"{packed}/2024-01-05/*", "doc_id long, text string")
 
 
 @query("scan_csv_typed", "SELECT * FROM customer")
@@ -175,7 +177,7 @@ def run_sql_template(spark, sf):
         strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate, o_orderpriority FROM orders""",
 )
 def write_json_records(spark, sf):
-    orders = spread(table(spark, sf, "orders")).select(
+    orders = table(spark, sf, "orders").select(
         "o_orderkey",
         F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice").cast("decimal(14,2)")).alias("price"),
         F.encode("o_orderstatus", "UTF-8").alias("status"),
@@ -189,7 +191,7 @@ def write_json_records(spark, sf):
 
 
 def _csv_round_trip(spark, sf, quote_all):
-    documents = spread(table(spark, sf, "documents"))
+    documents = table(spark, sf, "documents")
     base = fresh_dir(spark, "csv")
     out.write_csv(documents, base, quote_all=quote_all, compression="gzip")
     return records.read_csv(spark, base, documents.schema, multi_line=True)
@@ -290,22 +292,27 @@ def files_to_table(spark, sf):
 
 @query(
     "reload_interval",
-    """SELECT date_trunc('day', ts)::TIMESTAMP AS interval_start, event_type, count(*) AS n_rows,
-        CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2""",
+    """SELECT date_trunc('day', ts)::TIMESTAMP AS interval_start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS interval_end,
+        event_type, count(*) AS n_rows, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM events GROUP BY ALL
+    UNION ALL SELECT TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-05 01:00:00', event_type, count(*),
+        CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) FROM events
+    WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-05 01:00:00' GROUP BY ALL""",
 )
 def reload_interval(spark, sf):
     events = table(spark, sf, "events")
     base = fresh_dir(spark, "landing")
     landing.reload_all(events, base, "ts", "day", F.lit("events"))
-    for start, end in (("2024-01-05 00:00:00", "2024-01-06 00:00:00"), ("2024-01-06 00:00:00", "2024-01-07 00:00:00")):
+    # A day again, then an hour that begins with it: an interval is known by its start and its end.
+    for start, end in (("2024-01-05 00:00:00", "2024-01-06 00:00:00"), ("2024-01-05 00:00:00", "2024-01-05 01:00:00")):
         landing.reload_interval(tables.read_interval(events, "ts", start, end), base, start, end, F.lit("again"))
     src = F.col("src")
     typed = landing.read_landing(spark, base).select(
         F.col("_interval_start").alias("interval_start"),
+        F.col("_interval_end").alias("interval_end"),
         pick(src, "$.event_type").alias("event_type"),
         pick(src, "$.value", "decimal(18,2)").alias("value"),
     )
-    return typed.groupBy("interval_start", "event_type").agg(
+    return typed.groupBy("interval_start", "interval_end", "event_type").agg(
         F.count("*").alias("n_rows"), F.sum("value").cast("double").alias("total")
     )
 
@@ -316,7 +323,7 @@ def reload_interval(spark, sf):
     UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, TIMESTAMP '2024-01-02', false FROM orders""",
 )
 def table_to_warehouse(spark, sf):
-    orders = spread(table(spark, sf, "orders"))
+    orders = table(spark, sf, "orders")
     base = fresh_dir(spark, "landing")
     stage = f"{fresh_dir(spark, 'staging')}/orders/2024-01-01"
     for _ in range(2):
@@ -334,14 +341,18 @@ def table_to_warehouse(spark, sf):
 
 @query(
     "copy_into_table",
-    "SELECT c_custkey, c_name, c_acctbal, 'load-1' AS etl_id FROM customer",
+    """SELECT c_custkey, c_name, c_acctbal, 'load-' || (1 + c_custkey % 2) AS etl_id FROM customer""",
 )
 def copy_into_table(spark, sf):
     stage, target = fresh_dir(spark, "stage"), fresh_dir(spark, "copied")
-    out.write_json_records(table(spark, sf, "customer"), stage, compression="gzip")
-    landing.copy_into_table(spark, stage, target, "load-1")
-    so_far = spark.read.schema(landing.STAGED_SCHEMA).parquet(target)
-    landing.copy_into_table(spark, stage, target, "load-2", loaded=so_far)
+    so_far = None
+    for day in (1, 2):  # both days stage files of the same names
+        rows = table(spark, sf, "customer").filter(F.col("c_custkey") % 2 == day - 1)
+        lines = rows.select(F.format_string("customer_part%03d.json.gz", F.col("c_custkey") % 3 + 1).alias("name"), F.col("c_custkey").alias("_id"), record_text(rows).alias("value"))
+        blobs.write_gzip_lines(lines, f"{stage}/day{day}")
+        landing.copy_into_table(spark, stage, target, f"load-{day}", loaded=so_far)
+        so_far = spark.read.schema(landing.STAGED_SCHEMA).parquet(target)
+    landing.copy_into_table(spark, stage, target, "load-3", loaded=so_far)
     var = F.col("data_var")
     return spark.read.schema(landing.STAGED_SCHEMA).parquet(target).select(
         pick(var, "$.c_custkey", "long").alias("c_custkey"),

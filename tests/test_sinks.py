@@ -135,7 +135,8 @@ def test_staged_load_names_its_file(spark, folder):
     loaded = transfers.table_to_warehouse(df, "t", f"{folder}/land", *DAYS[0], stage=f"{folder}/stage")
     assert loaded == 5
     origin = landing.read_landing(spark, f"{folder}/land").select("_loaded_from").distinct().collect()
-    assert all(r[0].endswith(".txt.gz") for r in origin)
+    names = sorted(r[0] for r in origin)
+    assert names == [f"{folder}/stage/t_part{n:03d}.json.gz" for n in range(1, len(names) + 1)]
 
 
 def test_copy_into_may_load_again(spark, folder):
@@ -303,3 +304,64 @@ def test_interval_of_a_table_by_day(spark, folder):
     assert "PartitionFilters: [isnotnull(day" in plan
     edge = tables.read_interval(table, "ts", "2024-01-03 00:00:00", "2024-01-04 00:00:00", day_column="day")
     assert edge.count() == 24
+
+
+def test_equal_file_names_in_two_folders_are_two_files(spark, folder):
+    for day, value in (("day1", 1), ("day2", 2)):
+        rows_ = spark.createDataFrame([('{"a": %d}' % value, 0)], "value string, _id long").withColumn("name", F.lit(f"{day}/t_part001.json.gz"))
+        blobs.write_gzip_lines(rows_.select("name", "_id", "value"), f"{folder}/stage/{day}-tmp")
+    stage = f"{folder}/both"
+    for day in ("day1", "day2"):
+        blobs.copy_files(spark, f"{folder}/stage/{day}-tmp", stage)
+        so_far = spark.read.schema(landing.STAGED_SCHEMA).parquet(f"{folder}/t") if day == "day2" else None
+        landing.copy_into_table(spark, stage, f"{folder}/t", day, loaded=so_far)
+    got = spark.read.schema(landing.STAGED_SCHEMA).parquet(f"{folder}/t")
+    assert rows(got, "etl_id", "etl_filename") == [("day1", "day1/t_part001.json.gz"), ("day2", "day2/t_part001.json.gz")]
+
+
+def test_two_intervals_with_one_start(spark, folder):
+    df = spark.range(5)
+    landing.reload_interval(df, folder, "2024-01-01 00:00:00", "2024-01-02 00:00:00")
+    for n in (2, 3):
+        landing.reload_interval(df.limit(n), folder, "2024-01-01 00:00:00", "2024-01-01 01:00:00")
+    counts = landing.read_landing(spark, folder).groupBy("_interval_end").count()
+    assert sorted(r["count"] for r in counts.collect()) == [3, 5]
+    landing.reload_interval(df.limit(0), folder, "2024-01-01 00:00:00", "2024-01-02 00:00:00")
+    assert landing.read_landing(spark, folder).count() == 3
+
+
+def test_equal_names_are_compressed_to_two_files(spark, folder):
+    for place in ("a", "b"):
+        blobs.write_blobs(spark.range(1).select(F.lit(f"{place}/x.txt").alias("p"), F.lit(place).alias("d")), f"{folder}/in", "p", "d")
+    made = transfers.compress_and_copy(spark, f"{folder}/in", f"{folder}/out", "2024-01-01 00:00:00")
+    assert made.count() == 2 == files.list_files(spark, f"{folder}/out").count()
+    with pytest.raises(ValueError):
+        transfers.compress_and_copy(spark, f"{folder}/in", f"{folder}/out", "2024-01-01 00:00:00", target=F.col("name"))
+
+
+@pytest.mark.parametrize("quote_all", [True, False])
+def test_null_in_the_only_column_keeps_its_row(spark, folder, quote_all):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "x string")
+    out.write_csv(df, f"{folder}/csv", quote_all=quote_all)
+    assert records.read_csv(spark, f"{folder}/csv", df.schema).count() == 3
+    transfers.table_to_files(df, f"{folder}/files", "t", ["x"])
+    assert records.read_csv(spark, f"{folder}/files", df.schema).count() == 3
+    out.write_csv(df.limit(0), f"{folder}/none", quote_all=quote_all)
+    assert spark.read.text(f"{folder}/none").count() == 0
+
+
+def test_skipped_lines_and_quoted_breaks(spark, folder):
+    text = 'junk\nmore junk\na,b\n1,"two\nlines"\n2,plain\n'
+    blobs.write_blobs(spark.range(1).select(F.lit("f.csv").alias("p"), F.lit(text).alias("d")), folder, "p", "d")
+    got = records.read_csv(spark, f"{folder}/f.csv", "a int, b string", multi_line=True, skip_rows=2)
+    assert rows(got) == [(1, "two\nlines"), (2, "plain")]
+
+
+def test_glob_classes(spark, folder):
+    names = spark.createDataFrame([(f"d/{c}.txt",) for c in "wxyz[^"], "p string")
+    blobs.write_blobs(names, folder, "p", "p")
+    found = lambda glob: {r.name for r in files.list_files(spark, folder, glob).collect()}
+    assert found("**/[x-z].txt") == {"x.txt", "y.txt", "z.txt"}
+    assert found("d/[!x-z].txt") == {"w.txt", "[.txt", "^.txt"}
+    assert found("d/[w^].txt") == {"w.txt", "^.txt"}
+    assert found("d/[.txt") == {"[.txt"}
