@@ -85,6 +85,19 @@ def interval_tick(ts: Column | str, schedule: str) -> Column:
     return _at(F.make_date(F.year(ts), F.month(ts), _step(F.dayofmonth(ts), n, 1)))
 
 
+def next_tick(tick: Column | str, schedule: str) -> Column:
+    """The tick after ``tick``, which is one itself: a step on, or where the next larger field starts over."""
+    tick = _col(tick)
+    calendar_steps = {"@hourly": "1 HOUR", "@daily": "1 DAY", "@weekly": "7 DAY", "@monthly": "1 MONTH", "@quarterly": "3 MONTH", "@yearly": "1 YEAR"}
+    if schedule in calendar_steps:
+        return tick + F.expr(f"INTERVAL {calendar_steps[schedule]}")
+    interval_tick(tick, schedule)  # refuses what has no grid
+    n, unit = re.search(r"(\d+)\s+(minute|hour|day)", schedule).groups()
+    larger = {"minute": "hour", "hour": "day", "day": "month"}[unit]
+    start_over = truncate(tick, larger) + F.expr(f"INTERVAL 1 {larger}")
+    return F.least(tick + F.expr(f"INTERVAL {n} {unit}"), start_over)
+
+
 def with_previous_interval(df: DataFrame, ts: str, schedule: str, prefix: str = "") -> DataFrame:
     """Add the complete interval that a run at ``ts`` handles: its end is the latest tick, its start
     the tick before that one."""
@@ -126,10 +139,23 @@ def iso_weekday(ts: Column | str) -> Column:
 def calendar(bounds: DataFrame, first: str, last: str, unit: str = "day") -> DataFrame:
     """Every [start, end) interval between two ticks, also the empty ones.
 
-    ``bounds`` is a one-row frame with the first and the last tick; the row count of the result
-    depends on the covered time only, not on the data.
+    ``bounds`` is a one-row frame with the first and the last tick; the row count of the result depends on the covered
+    time only, not on the data. The days, months or years are a distributed range; units below a day are made from each
+    day by the task that holds it.
     """
-    step = F.expr(f"INTERVAL 1 {unit}")
-    return bounds.select(F.explode(F.sequence(F.col(first), F.col(last), step)).alias("interval_start")).withColumn(
-        "interval_end", F.col("interval_start") + step
-    )
+    spark, step = bounds.sparkSession, F.expr(f"INTERVAL 1 {unit}")
+    ends = bounds.select(F.col(first).cast("timestamp_ntz").alias("a"), F.col(last).cast("timestamp_ntz").alias("b"))
+    row = ends.select(F.year("a"), F.month("a"), F.datediff("a", F.lit("1970-01-01").cast("date")), F.year("b"), F.month("b"), F.datediff("b", F.lit("1970-01-01").cast("date")), F.col("a").cast("string"), F.col("b").cast("string")).first()
+    if row is None or None in tuple(row):
+        empty = spark.range(0).select(F.lit(None).cast("timestamp_ntz").alias("interval_start"))
+        return empty.withColumn("interval_end", F.col("interval_start") + step)
+    if unit in ("year", "month"):
+        months = {"year": 12, "month": 1}[unit]
+        begin, end = row[0] * 12 + (row[1] - 1 if unit == "month" else 0), row[3] * 12 + (row[4] - 1 if unit == "month" else 0)
+        starts = spark.range(begin, end + 1, months).select(F.make_timestamp_ntz(F.floor(F.col("id") / 12).cast("int"), (F.col("id") % 12 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("interval_start"))
+    else:
+        days = spark.range(row[2], row[5] + 1).select(_at(F.date_add(F.lit("1970-01-01").cast("date"), F.col("id").cast("int"))).alias("day"))
+        inside = F.sequence(F.col("day"), F.col("day") + F.expr("INTERVAL 1 DAY") - step, step)
+        starts = days.select(F.explode(inside).alias("interval_start"))
+    held = starts.filter((F.col("interval_start") >= F.lit(row[6]).cast("timestamp_ntz")) & (F.col("interval_start") <= F.lit(row[7]).cast("timestamp_ntz")))
+    return held.withColumn("interval_end", F.col("interval_start") + step)

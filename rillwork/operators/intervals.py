@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.functions.intervals import calendar, truncate
+from rillwork.functions.intervals import calendar, interval_tick, next_tick, truncate
 from rillwork.session import settle
 
 
-def tumbling(df: DataFrame, ts: str, length: str, *aggregates: Column) -> DataFrame:
-    """Aggregate per tumbling interval."""
-    grouped = df.groupBy(F.window(ts, length)).agg(*aggregates)
-    return grouped.select(
-        F.col("window.start").cast("timestamp_ntz").alias("interval_start"),
-        F.col("window.end").cast("timestamp_ntz").alias("interval_end"),
-        *grouped.columns[1:],
-    )
+def tumbling(df: DataFrame, ts: str, schedule: str, *aggregates: Column) -> DataFrame:
+    """Aggregate per run interval of a schedule: ``rate(45 minutes)``, ``@weekly``, ``@monthly`` and so on."""
+    grouped = df.groupBy(interval_tick(ts, schedule).alias("interval_start")).agg(*aggregates)
+    return grouped.select("interval_start", next_tick("interval_start", schedule).alias("interval_end"), *grouped.columns[1:])
 
 
 def interval_calendar(df: DataFrame, ts: str, unit: str, *aggregates: Column) -> DataFrame:

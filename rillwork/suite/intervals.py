@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.intervals import interval_tick, with_previous_interval
 from rillwork.operators import intervals
+from rillwork.operators.flow import union_inputs
 from rillwork.plans.daily import landed_per_type
 from rillwork.sources.tables import read_interval
 from rillwork.suite.registry import query, table
@@ -77,41 +78,45 @@ def previous_interval(spark, sf):
 
 @query(
     "interval_calendar",
-    """WITH rare AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS d, count(*) AS n FROM orders
-        WHERE o_totalprice > 499000 GROUP BY 1),
-    days AS (SELECT unnest(generate_series((SELECT min(d) FROM rare), (SELECT max(d) FROM rare), INTERVAL 1 DAY)) AS interval_start)
+    """WITH seen AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS d, count(*) AS n FROM orders GROUP BY 1),
+    days AS (SELECT unnest(generate_series((SELECT min(d) FROM seen), (SELECT max(d) FROM seen), INTERVAL 1 DAY)) AS interval_start)
     SELECT interval_start, interval_start + INTERVAL 1 DAY AS interval_end, coalesce(n, 0) AS n_rows
-    FROM days LEFT JOIN rare ON d = interval_start""",
+    FROM days LEFT JOIN seen ON d = interval_start""",
 )
 def calendar(spark, sf):
-    dear = table(spark, sf, "orders").filter("o_totalprice > 499000")
-    return intervals.interval_calendar(dear, "o_orderdate", "day", F.count("*").alias("n_rows")).na.fill(0, ["n_rows"])
+    orders = table(spark, sf, "orders")
+    return intervals.interval_calendar(orders, "o_orderdate", "day", F.count("*").alias("n_rows")).na.fill(0, ["n_rows"])
 
 
 @query(
     "tumbling_interval_agg",
-    """SELECT date_trunc('hour', ts)::TIMESTAMP AS interval_start, (date_trunc('hour', ts) + INTERVAL 1 HOUR)::TIMESTAMP AS interval_end,
-        count(*) AS n_rows, max(value) AS top FROM events GROUP BY 1, 2""",
+    """SELECT '45min' AS schedule, s::TIMESTAMP AS interval_start,
+        (CASE WHEN minute(s) = 0 THEN s + INTERVAL 45 MINUTE ELSE s + INTERVAL 15 MINUTE END)::TIMESTAMP AS interval_end, n_rows, top
+    FROM (SELECT date_trunc('hour', ts) + CASE WHEN minute(ts) >= 45 THEN INTERVAL 45 MINUTE ELSE INTERVAL 0 MINUTE END AS s,
+        count(*) AS n_rows, max(value) AS top FROM events GROUP BY 1)
+    UNION ALL SELECT 'week', (date_trunc('week', ts + INTERVAL 1 DAY) - INTERVAL 1 DAY)::TIMESTAMP,
+        (date_trunc('week', ts + INTERVAL 1 DAY) + INTERVAL 6 DAY)::TIMESTAMP, count(*), max(value) FROM events GROUP BY 2, 3
+    UNION ALL SELECT 'month', date_trunc('month', ts)::TIMESTAMP, (date_trunc('month', ts) + INTERVAL 1 MONTH)::TIMESTAMP,
+        count(*), max(value) FROM events GROUP BY 2, 3""",
 )
 def tumbling(spark, sf):
-    return intervals.tumbling(
-        table(spark, sf, "events"), "ts", "1 hour", F.count("*").alias("n_rows"), F.max("value").alias("top")
-    )
+    schedules = {"45min": "rate(45 minutes)", "week": "@weekly", "month": "@monthly"}
+    events = table(spark, sf, "events")
+    parts = {n: intervals.tumbling(events, "ts", s, F.count("*").alias("n_rows"), F.max("value").alias("top")) for n, s in schedules.items()}
+    return union_inputs(parts, column="schedule")
 
 
 @query(
     "resample_series",
-    """WITH rare AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS d, round(avg(o_totalprice), 4) AS m FROM orders
-        WHERE o_totalprice > 498000 GROUP BY 1),
-    days AS (SELECT unnest(generate_series((SELECT min(d) FROM rare), (SELECT max(d) FROM rare), INTERVAL 1 DAY)) AS interval_start)
+    """WITH seen AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS d, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE / count(*) AS m FROM orders GROUP BY 1),
+    days AS (SELECT unnest(generate_series((SELECT min(d) FROM seen), (SELECT max(d) FROM seen), INTERVAL 1 DAY)) AS interval_start)
     SELECT interval_start, interval_start + INTERVAL 1 DAY AS interval_end, m AS mean_price
-    FROM days LEFT JOIN rare ON d = interval_start""",
+    FROM days LEFT JOIN seen ON d = interval_start""",
 )
 def resample(spark, sf):
-    dear = table(spark, sf, "orders").filter("o_totalprice > 498000")
-    return intervals.interval_calendar(
-        dear, "o_orderdate", "day", F.round(F.avg("o_totalprice"), 4).alias("mean_price")
-    )
+    orders = table(spark, sf, "orders")
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")  # exact in any order
+    return intervals.interval_calendar(orders, "o_orderdate", "day", (total / F.count("*")).alias("mean_price"))
 
 
 @query(
