@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillwork.storage import open_path
 from rillwork.streaming.ingest import each_batch
 
 
@@ -30,17 +32,35 @@ def tumbling_stream(stream: DataFrame, ts: str, length: str, delay: str, *aggreg
     )
 
 
-def write_changes(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Write the rows each micro-batch changed to a folder named after the batch."""
+def write_changes(df: DataFrame, path: str, checkpoint: str, key: Sequence[str]) -> None:
+    """Write the rows each micro-batch changed to a folder named after the batch, then, once per run, a snapshot of the
+    newest version of every row up to the last batch."""
+    spark, last = df.sparkSession, -1
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/_batch_id={batch_id}")
+        nonlocal last
+        batch.write.mode("overwrite").parquet(f"{path}/changes/_batch_id={batch_id}")
+        last = max(last, batch_id)
 
     each_batch(df, write, checkpoint, mode="update")
+    if last >= 0:
+        read_current(spark, path, df.schema, key).write.mode("overwrite").parquet(f"{path}/snapshots/_upto={last}")
 
 
 def read_current(spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str]) -> DataFrame:
-    """The newest version of every row in a change log."""
-    log = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch_id", T.LongType())])).parquet(path)
+    """The newest version of every row: the last snapshot, and the changes of the batches after it."""
+    snapshots = list_snapshots(f"{path}/snapshots")
+    upto = max(snapshots, default=-1)
+    log = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch_id", T.LongType())])).parquet(f"{path}/changes")
+    log = log.filter(F.col("_batch_id") > upto)
+    if snapshots:
+        log = log.unionByName(spark.read.schema(schema).parquet(f"{path}/snapshots/_upto={upto}").withColumn("_batch_id", F.lit(upto).cast("long")))
     values = [c for c in log.columns if c not in (*key, "_batch_id")]
     return latest_state(log, key, ["_batch_id"], values)
+
+
+def list_snapshots(folder: str) -> list[int]:
+    """Numbers of the complete snapshots."""
+    system, path = open_path(folder)
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=True))
+    return [int(f.path.rsplit("/", 2)[1].partition("=")[2]) for f in found if f.path.endswith("/_SUCCESS")]

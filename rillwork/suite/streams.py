@@ -16,13 +16,13 @@ def _events(spark, sf):
     return ingest.stream_files(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema)
 
 
-def _three_batches(spark, sf):
-    """The events out of order in three micro-batches."""
+def _batches(spark, sf, parts=3):
+    """The events out of order in so many micro-batches."""
     base = fresh_dir(spark, "arrivals")
-    arrivals = table(spark, sf, "events").withColumn("arrival", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    arrivals = table(spark, sf, "events").withColumn("arrival", F.pmod(F.xxhash64("event_id"), F.lit(parts)))
     arrivals.write.partitionBy("arrival").parquet(base)
     files = list_files(spark, base, "**/part-*").count()
-    return ingest.stream_files(spark, base, arrivals.schema, pattern="part-*", files_per_batch=-(-files // 3)).drop("arrival")
+    return ingest.stream_files(spark, base, arrivals.schema, pattern="part-*", files_per_batch=-(-files // parts)).drop("arrival")
 
 
 @query("stream_file_ingest", "SELECT * FROM events")
@@ -56,7 +56,8 @@ def stream_csv_to_tables(spark, sf):
 )
 def stream_interval_reload(spark, sf):
     path = fresh_dir(spark, "reloaded")
-    ingest.reload_from_stream(_three_batches(spark, sf), path, fresh_dir(spark, "checkpoint"), "ts")
+    for parts in (3, 2):  # again with a new checkpoint and other batches: nothing changes
+        ingest.reload_from_stream(_batches(spark, sf, parts), path, fresh_dir(spark, "checkpoint"), "ts")
     rows = ingest.read_reloaded(spark, path, table(spark, sf, "events").schema)
     return rows.groupBy(F.col("_interval_start").alias("interval_start")).agg(
         F.count("*").alias("n_rows"), F.sum("event_id").alias("ids")
@@ -88,9 +89,9 @@ def latest_state(spark, sf):
 @query("stream_latest_state", LATEST_SQL)
 def stream_latest_state(spark, sf):
     values = ["event_type", "props", "ts", "event_id"]
-    latest = state.latest_state(_three_batches(spark, sf), ["user_id"], ["ts", "event_id"], values)
+    latest = state.latest_state(_batches(spark, sf), ["user_id"], ["ts", "event_id"], values)
     path = fresh_dir(spark, "states")
-    state.write_changes(latest, path, fresh_dir(spark, "checkpoint"))
+    state.write_changes(latest, path, fresh_dir(spark, "checkpoint"), ["user_id"])
     return state.read_current(spark, path, latest.schema, ["user_id"])
 
 
@@ -102,10 +103,10 @@ def stream_latest_state(spark, sf):
 def stream_tumbling_agg(spark, sf):
     # The arrivals are in no order, so rows may be late by the whole span of the table.
     daily = state.tumbling_stream(
-        _three_batches(spark, sf), "ts", "1 day", "400 days", F.count("*").alias("n_rows"), F.max("value").alias("top")
+        _batches(spark, sf), "ts", "1 day", "400 days", F.count("*").alias("n_rows"), F.max("value").alias("top")
     )
     path = fresh_dir(spark, "windows")
-    state.write_changes(daily, path, fresh_dir(spark, "checkpoint"))
+    state.write_changes(daily, path, fresh_dir(spark, "checkpoint"), ["interval_start", "interval_end"])
     return state.read_current(spark, path, daily.schema, ["interval_start", "interval_end"])
 
 

@@ -43,13 +43,24 @@ def test_replayed_batch_is_not_doubled(spark, folder):
     assert ingest.read_reloaded(spark, target, spark.read.parquet(source).schema).count() == 2
 
 
+def test_new_run_with_other_batches_takes_the_place_of_the_old(spark, folder):
+    source, target = f"{folder}/in", f"{folder}/out"
+    for i in range(4):
+        arrive(spark, source, (i, 1, "a"), (10 + i, 2, "b"))
+    for run, per_batch in enumerate((1, 3)):
+        stream = ingest.stream_files(spark, source, SCHEMA, files_per_batch=per_batch)
+        ingest.reload_from_stream(stream, target, f"{folder}/check{run}", "ts")
+    got = ingest.read_reloaded(spark, target, spark.read.parquet(source).schema)
+    assert rows(got, "id") == [(i,) for i in (0, 1, 2, 3, 10, 11, 12, 13)]
+
+
 def test_state_is_the_last_row_per_key(spark, folder):
     source, target, checkpoint = (f"{folder}/{n}" for n in ("in", "out", "check"))
     schema = None
     for items in ([(1, 1, "a"), (2, 5, "b")], [(3, 3, "a")], [(4, 2, "a")]):
         arrive(spark, source, *items)
         latest = state.latest_state(ingest.stream_files(spark, source, SCHEMA), ["kind"], ["ts", "id"], ["id", "ts"])
-        state.write_changes(latest, target, checkpoint)
+        state.write_changes(latest, target, checkpoint, ["kind"])
         schema = latest.schema
     assert rows(state.read_current(spark, target, schema, ["kind"]), "kind", "id") == [("a", 3), ("b", 2)]
 
@@ -60,7 +71,7 @@ def test_window_counts_grow(spark, folder):
     for items in ([(1, 1, "a"), (2, 2, "a")], [(3, 1, "a")]):
         arrive(spark, source, *items)
         daily = state.tumbling_stream(ingest.stream_files(spark, source, SCHEMA), "ts", "1 day", "30 days", F.count("*").alias("n"))
-        state.write_changes(daily, target, checkpoint)
+        state.write_changes(daily, target, checkpoint, ["interval_start", "interval_end"])
         schema = daily.schema
     got = state.read_current(spark, target, schema, ["interval_start", "interval_end"])
     assert rows(got, "interval_start", "n") == [(datetime(2024, 1, 1), 2), (datetime(2024, 1, 2), 1)]
