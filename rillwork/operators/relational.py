@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.operators.batches import limit_per_key
-from rillwork.session import settle
 
 
 def group_mean(df: DataFrame, key: str, value: str, alias: str) -> DataFrame:
@@ -19,11 +18,10 @@ def group_mean(df: DataFrame, key: str, value: str, alias: str) -> DataFrame:
 def join_group_stat(df: DataFrame, key: str, value: str, alias: str) -> DataFrame:
     """Every row with the mean of its group; rows without key drop out.
 
-    The means are computed with partial aggregation and settled first. The join then knows their true
-    size: small means are broadcast and the rows never shuffle, large ones are joined by shuffle with
-    AQE splitting hot keys. A window would send every row of a group to one task.
+    The means are computed with partial aggregation. AQE sees their true size before it joins: small means are broadcast
+    and the rows never sorted, large ones are joined by shuffle. A window would send every row of a group to one task.
     """
-    return df.join(settle(group_mean(df, key, value, alias), "group-stat"), key, "inner")
+    return df.join(group_mean(df, key, value, alias), key, "inner")
 
 
 def chained_lookup(
@@ -37,10 +35,11 @@ def chained_lookup(
 ) -> DataFrame:
     """Up to ``limit`` child rows for each parent.
 
-    Children are limited before the join: the limit trims each key on the map side, and the join
-    reuses the partitioning of the limited rows.
+    Children without a parent are dropped first, the others limited: the limit trims each key on the map side, and the
+    join reuses the partitioning of the limited rows.
     """
-    limited = limit_per_key(children, [child_key], order, limit, descending, alias="child_num")
+    wanted = children.join(parents.select(F.col(parent_key).alias(child_key)), child_key, "left_semi").select(*children.columns)
+    limited = limit_per_key(wanted, [child_key], order, limit, descending, alias="child_num")
     return parents.join(limited, F.col(parent_key) == F.col(child_key), "inner")
 
 

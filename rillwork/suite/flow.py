@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from rillwork.functions import extensions
-from rillwork.functions.json_values import items_of, pick, pick_fields
+from rillwork.functions.json_values import search
 from rillwork.operators import batches, flow
-from rillwork.session import spread
 from rillwork.suite.registry import query, table
 
 
@@ -27,8 +26,9 @@ def filter_rows(spark, sf):
 )
 def split_if_then(spark, sf):
     balance = F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal"))
-    # Both outputs from one pass; `flow.split_if_then` gives them as two frames.
-    return flow.label_routes(table(spark, sf, "customer"), {"then": balance > 0}, "otherwise").select("c_custkey", "route")
+    customers = table(spark, sf, "customer").withColumn("balance", balance)
+    outputs = flow.split_if_then(customers, F.col("balance") > 0)
+    return flow.branch_tables({n: df.select("c_custkey") for n, df in outputs.items()}, column="route")
 
 
 @query(
@@ -64,22 +64,20 @@ def branch_tables(spark, sf):
     WHERE event_type IN ('click', 'view', 'purchase') GROUP BY event_type""",
 )
 def route_by_type(spark, sf):
-    routes = {kind: F.col("event_type") == kind for kind in ("click", "view", "purchase")}
-    # All outputs from one pass; `flow.route_by_type` gives them as three frames.
-    routed = flow.label_routes(table(spark, sf, "events"), routes)
+    routed = flow.branch_tables(flow.route_by_type(table(spark, sf, "events"), ["click", "view", "purchase"], "event_type"), column="route")
     return routed.groupBy("route").agg(F.count("*").alias("n_rows"), F.max("event_id").alias("last_id"))
 
 
 @query(
     "fan_out",
     """WITH shared AS (SELECT l_suppkey, l_returnflag, sum(CAST(l_quantity AS BIGINT)) AS qty
-        FROM lineitem WHERE l_discount < 0.08 GROUP BY 1, 2)
+        FROM lineitem GROUP BY 1, 2)
     SELECT 'by_flag' AS branch, l_returnflag AS item, CAST(sum(qty) AS BIGINT) AS qty FROM shared GROUP BY 2
     UNION ALL
     SELECT 'by_supplier', CAST(l_suppkey AS VARCHAR), CAST(sum(qty) AS BIGINT) FROM shared GROUP BY 2""",
 )
 def fan_out(spark, sf):
-    lines = table(spark, sf, "lineitem").filter(F.col("l_discount") < 0.08)
+    lines = table(spark, sf, "lineitem")
     shared = lines.groupBy("l_suppkey", "l_returnflag").agg(F.sum(F.col("l_quantity").cast("long")).alias("qty"))
     parts = flow.fan_out(
         shared,
@@ -117,14 +115,10 @@ def json_search(spark, sf):
         F.lit('{"props": '), "props", F.lit(', "tags": ["'), "event_type", F.lit('", "'),
         F.get_json_object("props", "$.k"), F.lit('"]}'),
     )
-    found = spread(events).select("event_id", F.parse_json(text).alias("v"))
-    picked = found.select(
-        "event_id",
-        pick_fields(F.col("v"), {"k": ("$.props.k", "int")}).alias("picked"),
-        pick(F.col("v"), "$.props.none").alias("missing"),
-        F.explode(items_of(F.col("v"), "$.tags")).alias("item"),
-    )
-    return picked.select("event_id", "picked.k", "missing", pick(F.col("item"), "$").alias("item"))
+    found = events.select("event_id", text.alias("text"))
+    for path, kind, alias in (("$.props.k", "int", "k"), ("$.props.none", "string", "missing"), ("$.tags", "string", "item")):
+        found = search(found, "text", path, kind, alias, explode_lists=alias == "item")
+    return found.drop("text")
 
 
 @query(
@@ -282,8 +276,7 @@ def udf_on_column(spark, sf):
 
 @query(
     "map_batches",
-    """SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem
-    WHERE l_returnflag = 'A'""",
+    """SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem""",
 )
 def map_batches(spark, sf):
     def revenue(batch):
@@ -291,6 +284,6 @@ def map_batches(spark, sf):
         out["revenue"] = batch["l_extendedprice"] * (1 - batch["l_discount"])
         return out
 
-    lines = table(spark, sf, "lineitem").filter("l_returnflag = 'A'")
+    lines = table(spark, sf, "lineitem")
     needed = lines.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
     return extensions.map_batches(needed, revenue, "l_orderkey long, l_linenumber int, revenue double")

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.text import similarity, word_count
 from rillwork.operators import relational
+from rillwork.plans import matching
 from rillwork.plans.matching import match_and_enrich
-from rillwork.session import spread
 from rillwork.suite.registry import query, table
 
 # The pairs of names: equal but for case, one letter more, the brand added, the type added.
@@ -24,7 +24,7 @@ def _pairs(spark, sf):
         .when(kind == 2, F.concat_ws(" ", name, "p_brand"))
         .otherwise(F.concat_ws(" ", name, "p_type"))
     )
-    return spread(table(spark, sf, "part")).select("p_partkey", name.alias("requested"), returned.alias("returned"))
+    return table(spark, sf, "part").select("p_partkey", name.alias("requested"), returned.alias("returned"))
 
 
 @query(
@@ -42,10 +42,10 @@ def join_group_stat(spark, sf):
     "chained_lookup",
     """SELECT c_custkey, c_name, o_orderkey, o_orderdate, child_num FROM customer JOIN (
         SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS child_num
-        FROM orders) ON c_custkey = o_custkey WHERE c_acctbal > 5000 AND child_num <= 5""",
+        FROM orders) ON c_custkey = o_custkey WHERE child_num <= 5""",
 )
 def chained_lookup(spark, sf):
-    parents = table(spark, sf, "customer").filter("c_acctbal > 5000").select("c_custkey", "c_name")
+    parents = table(spark, sf, "customer").select("c_custkey", "c_name")
     children = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     found = relational.chained_lookup(
         parents, children, "c_custkey", "o_custkey", ["o_orderdate", "o_orderkey"], 5, descending=True
@@ -59,8 +59,8 @@ def chained_lookup(spark, sf):
         CASE WHEN {SCORE_SQL} > 96 THEN 'valid' ELSE 'error' END AS route FROM ({PAIRS_SQL})""",
 )
 def fuzzy_match(spark, sf):
-    scored = _pairs(spark, sf).withColumn("score", similarity("requested", "returned"))
-    return scored.withColumn("route", F.when(F.col("score") > 96, "valid").otherwise("error"))
+    scored = _pairs(spark, sf).withColumn("score", similarity("returned", "requested"))
+    return matching.fuzzy_match(scored, "requested", "returned", 96)
 
 
 @query(
@@ -106,7 +106,7 @@ def group_mean(spark, sf):
         AS n_words FROM documents""",
 )
 def count_words(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", word_count("text").alias("n_words"))
+    return table(spark, sf, "documents").select("doc_id", word_count("text").alias("n_words"))
 
 
 @query(
@@ -128,11 +128,12 @@ def compare_frames(spark, sf):
 @query(
     "pivot_rows",
     """SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS "1-URGENT",
-        count(*) FILTER (o_orderpriority = '2-HIGH') AS "2-HIGH", count(*) FILTER (o_orderpriority = '5-LOW') AS "5-LOW"
+        count(*) FILTER (o_orderpriority = '2-HIGH') AS "2-HIGH", count(*) FILTER (o_orderpriority = '3-MEDIUM') AS "3-MEDIUM",
+        count(*) FILTER (o_orderpriority = '4-NOT SPECIFIED') AS "4-NOT SPECIFIED", count(*) FILTER (o_orderpriority = '5-LOW') AS "5-LOW"
     FROM orders GROUP BY 1""",
 )
 def pivot_rows(spark, sf):
-    values = ["1-URGENT", "2-HIGH", "5-LOW"]
+    values = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     pivoted = relational.pivot_rows(table(spark, sf, "orders"), ["o_orderstatus"], "o_orderpriority", values, F.count(F.lit(1)))
     return pivoted.na.fill(0)
 
