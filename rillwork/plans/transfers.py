@@ -45,11 +45,11 @@ def table_to_files(
     return write_blobs(files, base, name, F.concat(header, F.lit("\n"), "body", F.lit("\n")))
 
 
-def files_to_table(spark: SparkSession, files: str | list[str], table: str, multi_line: bool = True) -> None:
+def files_to_table(spark: SparkSession, files: str | list[str], table: str, multi_line: bool = False) -> None:
     """Append CSV files to a table, columns matched by position. The table's types are used to read.
 
-    Line breaks inside quotes are allowed, which keeps a file in one task; switch ``multi_line`` off for
-    large files that have none, and they are split.
+    Files are split among tasks. Switch ``multi_line`` on for files with line breaks inside quotes, which keeps each file
+    in one task.
     """
     insert_by_position(read_csv(spark, files, spark.table(table).schema, multi_line=multi_line), table)
 

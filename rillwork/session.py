@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +15,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def build_session(app: str = "rillwork", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is written for.
 
-    AQE stays on: it coalesces small shuffle partitions, splits skewed join partitions and turns a
+    Python workers of a local session find this package wherever the program was started; on a cluster install it, or
+    send it along with ``spark.submit.pyFiles``. AQE stays on: it coalesces small shuffle partitions, splits skewed join partitions and turns a
     shuffled join into a broadcast join once the real size of a side is known.
     """
     settings = {
@@ -26,6 +29,10 @@ def build_session(app: str = "rillwork", master: str | None = None, **conf: str)
         "spark.ui.enabled": "false",
         **conf,
     }
+    if SparkSession.getActiveSession() is None:  # the JVM that starts now hands this on to Python workers
+        root = str(Path(__file__).resolve().parent.parent)
+        known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+        os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, known)]))
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

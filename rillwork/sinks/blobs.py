@@ -58,34 +58,50 @@ def write_blobs(
     return written.withColumn("path", paths.as_format("path", base, path_format))
 
 
-def write_gzip_lines(rows: DataFrame, base: str) -> None:
-    """Gzipped text files named in ``name`` with the lines of ``value`` in the order of ``_id``, in place of what the
-    folder held. One task writes a file; it keeps the compressed bytes of one file at a time."""
+def write_lines(rows: DataFrame, base: str, codec: str | None = None, heads: str = "", clear: bool = False) -> DataFrame:
+    """Text files named in ``name`` with the lines of ``value`` in the order of ``_id``; returns the manifest of the files
+    written (path below ``base``, rows, bytes).
+
+    One task writes a file, as one name is one file; it keeps the packed bytes of one file at a time. ``heads`` is the
+    first line of each file. ``clear`` empties the folder first.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, held = None, []
-        packer = zlib.compressobj(wbits=storage.WINDOW_BITS["gzip"])
+        name, held, count, packer = None, [], 0, None
+
+        def add(text: str) -> None:
+            held.append(packer.compress(text.encode()) if packer else text.encode())
 
         def close() -> pd.DataFrame:
-            size = storage.write_chunks(f"{base.rstrip('/')}/{name}", [*held, packer.flush()])
-            return pd.DataFrame({"name": [name], "size": [size]})
+            size = storage.write_chunks(f"{base.rstrip('/')}/{name}", [*held, packer.flush()] if packer else held)
+            return pd.DataFrame({"path": [name], "n_rows": [count], "size": [size]})
 
         for batch in batches:
             for own, lines in batch.groupby("name", sort=True)["value"]:
                 if own != name:
                     if name is not None:
                         yield close()
-                    name, held, packer = own, [], zlib.compressobj(wbits=storage.WINDOW_BITS["gzip"])
-                held.append(packer.compress("".join(f"{x}\n" for x in lines).encode()))
+                    name, held, count = own, [], 0
+                    packer = zlib.compressobj(wbits=storage.WINDOW_BITS[codec]) if codec else None
+                    if heads:
+                        add(heads + "\n")
+                add("".join(f"{x}\n" for x in lines))
+                count += len(lines)
         if name is not None:
             yield close()
 
-    system, path = storage.open_path(base)
-    system.create_dir(path, recursive=True)
-    system.delete_dir_contents(path)
-    ordered = rows.repartition(parts, "name").sortWithinPartitions("name", "_id")
-    settle(ordered.mapInPandas(write, "name string, size long"), "lines")
+    if clear:
+        system, path = storage.open_path(base)
+        system.create_dir(path, recursive=True)
+        system.delete_dir_contents(path)
+    ordered = rows.select("name", "_id", "value").repartition(parts, "name").sortWithinPartitions("name", "_id")
+    return settle(ordered.mapInPandas(write, "path string, n_rows long, size long"), "manifest")
+
+
+def write_gzip_lines(rows: DataFrame, base: str) -> DataFrame:
+    """``write_lines`` with gzip, in place of what the folder held."""
+    return write_lines(rows, base, "gzip", clear=True)
 
 
 def _refuse_repeats(listing: DataFrame, target: Column) -> None:

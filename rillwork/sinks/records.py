@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from rillwork.functions.json_values import safe_columns
+from rillwork.functions.json_values import record_text, safe_columns
 from rillwork.operators.batches import ROWS_PER_TASK, chunk_rows
+from rillwork.session import settle
+from rillwork.sinks.blobs import write_lines
 from rillwork.sources.files import list_files
 from rillwork.sources.records import CSV_TEXT
+from rillwork.storage import open_path
 
 
 def write_json_records(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
@@ -43,18 +48,45 @@ def write_by_template(
     path_format: str = "relative",
     **options: str,
 ) -> DataFrame:
-    """One folder per combination of key values, ``base/key=value/...``; returns the files below it.
+    """One folder per combination of key values, ``base/key=value/...``; returns the files of this write.
 
     Without ``append`` only the folders that get rows are replaced. The rebalance hint brings the rows
     of a key together so that a folder gets few files, and lets AQE split a key that is too large for
     one task.
     """
+    spark = df.sparkSession
+    before = settle(list_files(spark, base, "**/part-*", path_format=path_format).select("path"), "before") if _exists(base) else None
     writer = df.hint("rebalance", *keys).write.partitionBy(*keys).format(file_format).options(**options)
     if append:
         writer.mode("append").save(base)
     else:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(base)
-    return list_files(df.sparkSession, base, pattern="**/part-*", path_format=path_format)
+    after = list_files(spark, base, "**/part-*", path_format=path_format)
+    # Names of earlier writes do not come again.
+    return after if before is None else after.join(before, "path", "left_anti")
+
+
+def _exists(base: str) -> bool:
+    system, path = open_path(base)
+    return system.get_file_info(path).type == fs.FileType.Directory
+
+
+def write_to_paths(df: DataFrame, base: str, path: Column, order: Sequence[str], file_format: str = "json", columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows as JSON lines or CSV in files whose whole path below ``base`` is made from each row; rows of one path are one
+    file, in the given order. Returns the manifest of the files written (path, n_rows, size).
+
+    One file is written by one task. Where a path gets more rows than that, make its parts explicit with ``chunk_rows``
+    and name the part in the path.
+    """
+    names = list(columns or df.columns)
+    kept = df.select(*names)
+    if file_format == "json":
+        value, heads = record_text(kept), ""
+    else:
+        value = F.to_csv(F.struct(*names), {**CSV_TEXT, "nullValue": "", "emptyValue": ""})
+        heads = ",".join(names)
+    rows = df.select(path.alias("name"), F.struct(*order).alias("_id"), value.alias("value"))
+    return write_lines(rows, base, heads=heads)
 
 
 def write_chunks_csv(

@@ -20,10 +20,12 @@ def latest_state(df: DataFrame, key: Sequence[str], order: Sequence[str], values
     return df.groupBy(*key).agg(last).select(*key, "_last.*")
 
 
-def tumbling_stream(stream: DataFrame, ts: str, length: str, delay: str, *aggregates: Column) -> DataFrame:
-    """Aggregate a stream per tumbling interval. Rows later than ``delay`` behind the newest row are not
-    counted any more; choose it as long as rows may be late. The zone of the session must be UTC."""
-    timed = stream.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
+def tumbling_stream(stream: DataFrame, ts: str, length: str, *aggregates: Column, delay: str | None = None) -> DataFrame:
+    """Aggregate a stream per tumbling interval. Late rows count, however late they are, and the state of every interval
+    is kept on disk. With ``delay`` the state of older intervals is dropped, and rows later than that are not counted any
+    more. The zone of the session must be UTC."""
+    timed = stream.withColumn("_at", F.col(ts).cast("timestamp"))
+    timed = timed.withWatermark("_at", delay) if delay else timed
     grouped = timed.groupBy(F.window("_at", length)).agg(*aggregates)
     return grouped.select(
         F.col("window.start").cast("timestamp_ntz").alias("interval_start"),

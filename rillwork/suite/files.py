@@ -207,6 +207,22 @@ def write_csv_minimal(spark, sf):
     return _csv_round_trip(spark, sf, quote_all=False)
 
 
+@query(
+    "write_free_paths",
+    """SELECT event_type || '/' || strftime(ts, '%Y/%m/%d') || '.json' AS path, count(*) AS n_rows, sum(event_id)::BIGINT AS ids
+    FROM events GROUP BY 1""",
+)
+def write_free_paths(spark, sf):
+    events = table(spark, sf, "events")
+    base = fresh_dir(spark, "free")
+    place = F.concat("event_type", F.lit("/"), F.date_format("ts", "yyyy/MM/dd"), F.lit(".json"))
+    manifest = out.write_to_paths(events, base, place, ["event_id"])
+    read = records.read_json_lines(spark, f"{base}/*/*/*", "event_id long, event_type string")
+    name = F.col("_metadata.file_path")
+    found = read.select("event_id", paths.as_format(name, base, "relative").alias("path")).groupBy("path").agg(F.sum("event_id").alias("ids"))
+    return manifest.select("path", "n_rows").join(found, "path")
+
+
 @query(
     "write_path_template",
     """SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_rows, sum(event_id)::BIGINT AS ids

@@ -365,3 +365,22 @@ def test_glob_classes(spark, folder):
     assert found("d/[!x-z].txt") == {"w.txt", "[.txt", "^.txt"}
     assert found("d/[w^].txt") == {"w.txt", "^.txt"}
     assert found("d/[.txt") == {"[.txt"}
+
+
+def test_free_paths_and_their_manifest(spark, folder):
+    df = spark.range(6).withColumn("kind", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    place = F.concat("kind", F.lit("/of/"), (F.col("id") % 3).cast("string"), F.lit(".json"))
+    got = out.write_to_paths(df, folder, place, ["id"])
+    assert rows(got, "path", "n_rows") == sorted((f"{k}/of/{i}.json", 1) for k in ("even", "odd") for i in range(3))
+    assert files.list_files(spark, folder).count() == 6
+    csv_files = out.write_to_paths(df, f"{folder}-csv", F.lit("all.csv"), ["id"], "csv", ["id", "kind"])
+    assert rows(csv_files, "path", "n_rows") == [("all.csv", 6)]
+    assert records.read_csv(spark, f"{folder}-csv/all.csv", "id long, kind string").count() == 6
+
+
+def test_manifest_of_an_append_has_its_own_files_only(spark, folder):
+    df = spark.range(4).withColumn("k", F.col("id") % 2).coalesce(1)
+    first = out.write_by_template(df, folder, ["k"])
+    assert first.count() == 2
+    more = out.write_by_template(df.filter("k = 0"), folder, ["k"], append=True)
+    assert more.count() == 1 and files.list_files(spark, folder, "**/part-*").count() == 3

@@ -70,7 +70,7 @@ def test_window_counts_grow(spark, folder):
     schema = None
     for items in ([(1, 1, "a"), (2, 2, "a")], [(3, 1, "a")]):
         arrive(spark, source, *items)
-        daily = state.tumbling_stream(ingest.stream_files(spark, source, SCHEMA), "ts", "1 day", "30 days", F.count("*").alias("n"))
+        daily = state.tumbling_stream(ingest.stream_files(spark, source, SCHEMA), "ts", "1 day", F.count("*").alias("n"))
         state.write_changes(daily, target, checkpoint, ["interval_start", "interval_end"])
         schema = daily.schema
     got = state.read_current(spark, target, schema, ["interval_start", "interval_end"])
