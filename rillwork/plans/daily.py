@@ -9,25 +9,23 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.json_values import pick
 from rillwork.session import fresh_dir
-from rillwork.sinks.landing import read_landing, reload_interval
-from rillwork.sources.tables import read_interval
+from rillwork.sinks.landing import read_landing, reload_intervals
 
 
 def extract_route_reload(
     df: DataFrame, ts: str, type_column: str, kinds: Sequence[str], intervals: Sequence[tuple[str, str]], landing: str
 ) -> None:
-    """One reload per interval; the type is a field of the landed record, so one landing table serves
+    """All intervals from one pass over the table; the type is a field of the landed record, so one landing table serves
     all types."""
-    for start, end in intervals:
-        rows = read_interval(df, ts, start, end).filter(F.col(type_column).isin(*kinds))
-        reload_interval(rows, landing, start, end)
+    reload_intervals(df.filter(F.col(type_column).isin(*kinds)), landing, ts, intervals)
 
 
 def landed_per_type(df: DataFrame, kinds: Sequence[str], intervals: Sequence[tuple[str, str]]) -> DataFrame:
     """Load the intervals of an event table, the last one twice, and count what the table holds."""
     spark = df.sparkSession
     landing = fresh_dir(spark, "landing")
-    extract_route_reload(df, "ts", "event_type", kinds, [*intervals, intervals[-1]], landing)
+    for some in (intervals, intervals[-1:]):
+        extract_route_reload(df, "ts", "event_type", kinds, some, landing)
     return read_landing(spark, landing).groupBy(
         "_interval_start", pick(F.col("src"), "$.event_type").alias("event_type")
     ).agg(F.count("*").alias("n_rows"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.functions.intervals import ntz, truncate
+from rillwork.functions.intervals import ntz, truncate, within
 from rillwork.functions.json_values import record_variant
 from rillwork.functions.paths import as_format
 from rillwork.functions.urls import unquote
@@ -68,13 +69,43 @@ def swap_interval(rows: DataFrame, path: str, start: str, end: str) -> int:
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     loaded = int(count.get["n"])
     if loaded == 0:
-        spark = rows.sparkSession
-        nothing = spark.range(0).select(
-            F.parse_json(F.lit("null")).alias("src"), ntz(start).alias("_loaded_at"), F.lit("").alias("_loaded_from")
-        )
-        labels = spark.range(1).select(ntz(start).cast("string"), ntz(end).cast("string")).first()
-        folders = "/".join(f"{c}={quote(v, safe=' -.')}" for c, v in zip(INTERVAL, labels))
-        nothing.write.mode("overwrite").parquet(f"{path}/{folders}")
+        empty_interval(rows.sparkSession, path, start, end)
+    return loaded
+
+
+def empty_interval(spark: SparkSession, path: str, start: str, end: str) -> None:
+    """Take the rows of one interval away."""
+    nothing = spark.range(0).select(
+        F.parse_json(F.lit("null")).alias("src"), ntz(start).alias("_loaded_at"), F.lit("").alias("_loaded_from")
+    )
+    labels = spark.range(1).select(ntz(start).cast("string"), ntz(end).cast("string")).first()
+    folders = "/".join(f"{c}={quote(v, safe=' -.')}" for c, v in zip(INTERVAL, labels))
+    nothing.write.mode("overwrite").parquet(f"{path}/{folders}")
+
+
+def reload_intervals(
+    df: DataFrame, path: str, ts: str, intervals: Sequence[tuple[str, str]], loaded_from: Column | None = None
+) -> list[int]:
+    """Replace several intervals by the rows of ``df`` whose time lies in them, in one pass over the input; returns the
+    rows loaded per interval. A row in overlapping intervals belongs to each. The intervals are a short literal list."""
+    spans = F.array(*[F.struct(ntz(a).alias("a"), ntz(b).alias("b")) for a, b in intervals])
+    held = F.filter(spans, lambda i: within(ts, i["a"], i["b"]))
+    rows = df.select("*", F.explode(held).alias("_span")).select(
+        record_variant(df).alias("src"),
+        F.current_timestamp().cast("timestamp_ntz").alias("_loaded_at"),
+        (loaded_from if loaded_from is not None else F.lit(None).cast("string")).alias("_loaded_from"),
+        F.col("_span.a").alias("_interval_start"),
+        F.col("_span.b").alias("_interval_end"),
+    )
+    counts = Observation()
+    is_one = [(F.col("_interval_start") == ntz(a)) & (F.col("_interval_end") == ntz(b)) for a, b in intervals]
+    seen = rows.observe(counts, *[F.count(F.when(c, 1)).alias(f"n{k}") for k, c in enumerate(is_one)])
+    writer = seen.hint("rebalance", *INTERVAL).write.partitionBy(*INTERVAL)
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    loaded = [int(counts.get[f"n{k}"]) for k in range(len(intervals))]
+    for (start, end), n in zip(intervals, loaded):
+        if n == 0:
+            empty_interval(df.sparkSession, path, start, end)
     return loaded
 
 

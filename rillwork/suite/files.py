@@ -319,8 +319,10 @@ def reload_interval(spark, sf):
     base = fresh_dir(spark, "landing")
     landing.reload_all(events, base, "ts", "day", F.lit("events"))
     # A day again, then an hour that begins with it: an interval is known by its start and its end.
-    for start, end in (("2024-01-05 00:00:00", "2024-01-06 00:00:00"), ("2024-01-05 00:00:00", "2024-01-05 01:00:00")):
-        landing.reload_interval(tables.read_interval(events, "ts", start, end), base, start, end, F.lit("again"))
+    again = [("2024-01-05 00:00:00", "2024-01-06 00:00:00"), ("2024-01-05 00:00:00", "2024-01-05 01:00:00")]
+    landing.reload_intervals(events, base, "ts", again, F.lit("again"))
+    start, end = again[1]
+    landing.reload_interval(tables.read_interval(events, "ts", start, end), base, start, end, F.lit("alone"))
     src = F.col("src")
     typed = landing.read_landing(spark, base).select(
         F.col("_interval_start").alias("interval_start"),

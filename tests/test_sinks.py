@@ -384,3 +384,13 @@ def test_manifest_of_an_append_has_its_own_files_only(spark, folder):
     assert first.count() == 2
     more = out.write_by_template(df.filter("k = 0"), folder, ["k"], append=True)
     assert more.count() == 1 and files.list_files(spark, folder, "**/part-*").count() == 3
+
+
+def test_several_intervals_in_one_pass(spark, folder):
+    df = spark.range(48).select("id", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours="id")).alias("ts"))
+    spans = [("2024-01-01 00:00:00", "2024-01-02 00:00:00"), ("2024-01-01 12:00:00", "2024-01-02 12:00:00"), ("2024-01-03 00:00:00", "2024-01-04 00:00:00")]
+    for _ in range(2):
+        assert landing.reload_intervals(df, folder, "ts", spans) == [24, 24, 0]
+    assert landing.read_landing(spark, folder).count() == 48
+    assert landing.reload_intervals(df.filter("id >= 24"), folder, "ts", spans) == [0, 12, 0]
+    assert landing.read_landing(spark, folder).count() == 12
