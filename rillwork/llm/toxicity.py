@@ -45,7 +45,8 @@ LOWER = {c: i + 1 for i, c in enumerate(LETTERS)}  # 0: the edge of a word
 N = len(LETTERS) + 1
 EDGES = " \t\n\r\v\f.,;:!?\"()[]{}<>«»„“”…'`"
 WRAPS = EDGES + "*_-~#&%=^$@|+"
-SPACED = re.compile(r"(?<!\S)(?:\S[ .*_-]{1,2}){2,}\S(?!\S)")
+#: Single characters with signs or spaces between them; a character is never such a sign, so there is one way to match.
+SPACED = re.compile(r"(?<!\S)(?:[^\s.*_-][ .*_-]{1,2}){2,}[^\s.*_-](?!\S)")
 DOUBLE = re.compile(r"(.)\1+")
 #: Lengths of the beginnings of words that are learnt beside whole words: stems with many endings.
 STEMS = (4, 5, 6)
@@ -164,8 +165,8 @@ class Model:
         out = [w for t in tokens if (w := known[t])]
         for match in SPACED.finditer(text):
             letters = folded(re.sub(r"[ .*_-]", "", match[0]))
-            tries = {letters, *[self.restore(letters[i : i + LONGEST]) for i in range(0, len(letters), LONGEST)]}
-            out += [max((self.look_up(x[i:]) for x in tries), default=0.0) for i in range(len(letters))]
+            tries = [letters, "".join(self.restore(letters[i : i + LONGEST]) for i in range(0, len(letters), LONGEST))]
+            out += [max(self.look_up(x[i : i + LONGEST]) for x in tries) for i in range(len(letters))]
         return sorted(w for w in out if w)
 
     def evidence(self, text: str | None) -> list[float]:

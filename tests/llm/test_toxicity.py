@@ -71,3 +71,8 @@ def test_odd_rows(spark):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert toxicity.judge(no_docs(spark), labels, held_out).count() == 0
     assert toxicity.judge(docs, labels.limit(0), held_out).count() == docs.count()
+
+
+def test_runs_of_signs_take_no_time(model):
+    for text in ("_" * 5000 + "x y" + "." * 5000 + "abc", "a " * 20_000, "*." * 5000 + "word", "i d i o t " * 2000):
+        model.score(text)
