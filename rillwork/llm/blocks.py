@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillwork.llm.common import ranges, renamed, text_slices
+from rillwork.llm.common import renamed, text_slices
 from rillwork.llm.tokens import library_memory
 from rillwork.session import fresh_dir, settle
 from rillwork.storage import open_path

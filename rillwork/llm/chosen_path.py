@@ -72,6 +72,10 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def digest_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
 def sketch_of(tokens: np.ndarray) -> bytes:
     """Per bin a byte of its smallest token, after a list of the bins that have one."""
     own = np.sort(mix(tokens, 1))
@@ -120,7 +124,7 @@ def signed(docs: DataFrame, words: int, threshold: float, runs: int) -> DataFram
                     if pd.isna(doc_id) or not len(tokens):
                         rows.append((None if pd.isna(doc_id) else int(doc_id), None, 0, None, None, None, None))
                         continue
-                    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+                    digest = digest_of(tokens)
                     paths = [p.astype(np.int64) for p in paths_of(tokens, threshold, runs)]
                     rows.append((int(doc_id), digest, len(tokens), sketch_of(tokens), *paths))
                 frame = pd.DataFrame(rows, columns=["doc_id", "digest", "size", "sketch", "first", "parents", "seconds"])
@@ -132,7 +136,10 @@ def signed(docs: DataFrame, words: int, threshold: float, runs: int) -> DataFram
 def dealt_in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
     """Rows once for each pair of blocks (i <= j) that theirs belongs to, ``side`` 1 where it is the second one."""
     own = rows.withColumn("blocks_", F.greatest(blocks.cast("long"), F.lit(1))).withColumn("own_", F.pmod(F.xxhash64("node"), F.col("blocks_")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks_") - 1), lambda x: F.struct(F.least(x, "own_").alias("i"), F.greatest(x, "own_").alias("j"), (F.col("own_") > x).cast("int").alias("side")))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks_") - 1),
+        lambda x: F.struct(F.least(x, "own_").alias("i"), F.greatest(x, "own_").alias("j"), (F.col("own_") > x).cast("int").alias("side")),
+    )
     out = own.withColumn("pair_", F.explode(pairs))
     out = out.select(F.col(key).alias("key"), "pair_.i", "pair_.j", "pair_.side", *[c for c in rows.columns if c != key])
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -247,7 +254,8 @@ def met(reps: DataFrame) -> DataFrame:
     one = reps.select("node", F.explode(F.array_distinct("first")).alias("bucket"))
     counts = settle(summed(one), "buckets")
     large = counts.filter(F.col("n") > LARGE).select(F.col("bucket").alias("parent"))
-    steps = reps.select("node", F.explode(F.arrays_zip("parents", "seconds")).alias("s")).select("node", F.col("s.parents").alias("parent"), F.col("s.seconds").alias("bucket"))
+    steps = reps.select("node", F.explode(F.arrays_zip("parents", "seconds")).alias("s"))
+    steps = steps.select("node", F.col("s.parents").alias("parent"), F.col("s.seconds").alias("bucket"))
     two = settle(steps.join(large, "parent").select("bucket", "node").distinct(), "second-step")
     every = counts.filter(F.col("n") <= LARGE).unionByName(summed(two))
     kept = settle(every.groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "kept")
@@ -277,7 +285,8 @@ def jaccard_groups(
     entries = met(reps).join(reps.select("node", "size", "sketch"), "node").select("bucket", "n", "node", "size", "sketch")
     paired = dealt_in_blocks(entries, "bucket", F.ceil(F.col("n") / BLOCK)).mapInPandas(lambda b: candidates(b, threshold), "u bigint, v bigint")
     tied = settle(stars(settle(paired, "candidates")), "tied")
-    groups = tied.select(F.col("u").alias("node"), F.col("v").alias("group")).unionByName(tied.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
+    own_groups = tied.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct()
+    groups = tied.select(F.col("u").alias("node"), F.col("v").alias("group")).unionByName(own_groups)
     members = settle(groups.join(reps.select("node", "doc_id", "copies", "size"), "node").join(classes.select("node", "digest"), "node"), "members")
     sizes = settle(members.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "groups")
 
@@ -286,7 +295,7 @@ def jaccard_groups(
             for a, b in text_slices(batch["text"].tolist()):
                 part = batch.iloc[a:b]
                 sets = shingle_sets(part["text"].tolist(), words)
-                right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, part["digest"], strict=True)]
+                right = [digest_of(s) == d for s, d in zip(sets, part["digest"], strict=True)]
                 out = part[["group", "node", "copies"]].assign(tokens=[s.tobytes() for s in sets])
                 yield out[right]  # other texts under the same doc_id
 
@@ -321,7 +330,7 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, words: int
             for a, b in text_slices([t or "" for t in batch["text"]]):
                 part = batch.iloc[a:b]
                 sets = shingle_sets([t or "" for t in part["text"]], words)
-                own = [None if pd.isna(d) or not len(s) else hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest().upper() for d, s in zip(part["doc_id"], sets, strict=True)]
+                own = [None if pd.isna(d) or not len(s) else digest_of(s).hex().upper() for d, s in zip(part["doc_id"], sets, strict=True)]
                 yield part.assign(set_=own)
 
     marked = docs.withColumn("row_", F.monotonically_increasing_id()).mapInPandas(run, schema)

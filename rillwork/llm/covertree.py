@@ -140,7 +140,6 @@ def plant(nodes: DataFrame, reach: float) -> Forest:
 
 
 HOMES = "node bigint, label string, size int, copies bigint, unit binary, home bigint, far double"
-COMPARED = "host bigint, kind int, i bigint, j bigint, side int, node bigint, copies bigint, size int, unit binary"
 FOUND = "node bigint, links bigint, root bigint"
 
 
@@ -236,8 +235,12 @@ def links_of(nodes: DataFrame, reach: float, threshold: float) -> tuple[DataFram
     held = homes.join(sizes.select("home", "radius", F.col("n").alias("members"), F.col("copies").alias("mass")), "home")
     held = held.withColumn("core", (F.col("home") >= 0) & (F.col("far") + F.col("radius") <= reach - SLACK))
     held = settle(held, "held")
-    cores = settle(held.groupBy("home").agg(F.sum(F.when(F.col("core"), F.col("copies"))).alias("core_mass"), F.min(F.when(F.col("core"), F.col("node"))).alias("leader"),
-                                     F.count(F.when(~F.col("core"), 1)).alias("outer")), "cores")
+    cores = held.groupBy("home").agg(
+        F.sum(F.when(F.col("core"), F.col("copies"))).alias("core_mass"),
+        F.min(F.when(F.col("core"), F.col("node"))).alias("leader"),
+        F.count(F.when(~F.col("core"), 1)).alias("outer"),
+    )
+    cores = settle(cores, "cores")
     counted = held.join(cores.filter("leader IS NOT NULL"), "home")
     sure = counted.select("node", F.when(F.col("core"), F.col("mass") - F.col("copies")).otherwise(F.col("core_mass")).alias("links"), F.col("leader").alias("root"))
 
@@ -266,14 +269,23 @@ def links_of(nodes: DataFrame, reach: float, threshold: float) -> tuple[DataFram
     def block(count: Column) -> Column:
         return F.pmod(F.xxhash64("node"), F.greatest(blocks(count), F.lit(1)))
 
-    keys = ["host", "kind", "i", "j", "side", "node", "copies", "size", "unit"]
+    def upto(count: Column) -> Column:
+        return F.sequence(F.lit(0).cast("long"), blocks(count) - 1)
+
+    rest = ["node", "copies", "size", "unit"]
+    keys = ["host", "kind", "i", "j", "side", *rest]
     outer = held.filter(~F.col("core")).join(cores.select("home", "outer"), "home").withColumn("own", block(F.col("outer")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks(F.col("outer")) - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j"), (F.col("own") > x).cast("int").alias("side")))
-    within = outer.select(F.col("home").alias("host"), F.lit(0).alias("kind"), F.explode(pairs).alias("p"), "node", "copies", "size", "unit").select("host", "kind", "p.i", "p.j", "p.side", "node", "copies", "size", "unit")
+    pairs = F.transform(
+        upto(F.col("outer")),
+        lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j"), (F.col("own") > x).cast("int").alias("side")),
+    )
+    within = outer.select(F.col("home").alias("host"), F.lit(0).alias("kind"), F.explode(pairs).alias("p"), *rest)
+    within = within.select("host", "kind", "p.i", "p.j", "p.side", *rest)
     met = held.withColumnRenamed("home", "host").join(visitors, "host").withColumn("i", block(F.col("members")))
-    met = met.select("host", F.lit(1).alias("kind"), "i", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("guests")) - 1)).alias("j"), F.lit(0).alias("side"), "node", "copies", "size", "unit")
-    guests = visits.join(visitors, "host").join(sizes.select(F.col("home").alias("host"), F.col("n").alias("members")), "host").withColumn("j", block(F.col("guests")))
-    guests = guests.select("host", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("members")) - 1)).alias("i"), "j", F.lit(1).alias("side"), "node", "copies", "size", "unit")
+    met = met.select("host", F.lit(1).alias("kind"), "i", F.explode(upto(F.col("guests"))).alias("j"), F.lit(0).alias("side"), *rest)
+    guests = visits.join(visitors, "host").join(sizes.select(F.col("home").alias("host"), F.col("n").alias("members")), "host")
+    guests = guests.withColumn("j", block(F.col("guests")))
+    guests = guests.select("host", F.lit(1).alias("kind"), F.explode(upto(F.col("members"))).alias("i"), "j", F.lit(1).alias("side"), *rest)
     every = within.select(*keys).unionByName(met.select(*keys)).unionByName(guests.select(*keys))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = every.repartition(parts, "host", "kind", "i", "j").sortWithinPartitions("host", "kind", "i", "j")

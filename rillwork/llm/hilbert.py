@@ -124,7 +124,16 @@ def merged(batches: Iterator[pd.DataFrame], keep: int) -> Iterator[pd.DataFrame]
             node, first, score = (np.concatenate([np.asarray(x) for x in part[c]]) for c in ("nodes", "firsts", "scores"))
             _, alone = np.unique(node, return_index=True)  # several curves may have found it
             order = alone[np.lexsort((first[alone], score[alone]))][:keep]
-            yield pd.DataFrame({"query_id": [part["query_id"].iloc[0]], "size": [part["size"].iloc[0]], "nodes": [node[order]], "firsts": [first[order]], "scores": [score[order]]})
+            yield pd.DataFrame({
+                "query_id": [part["query_id"].iloc[0]], "size": [part["size"].iloc[0]],
+                "nodes": [node[order]], "firsts": [first[order]], "scores": [score[order]],
+            })
+
+
+def found_by(query_ids, size: int, nodes: np.ndarray, firsts: np.ndarray, found: list) -> pd.DataFrame:
+    """What ``best`` found for these queries, as rows."""
+    places, scores = [p for p, _ in found], [s for _, s in found]
+    return pd.DataFrame({"query_id": query_ids, "size": size, "nodes": [nodes[p] for p in places], "firsts": [firsts[p] for p in places], "scores": scores})
 
 
 def matrix(binary) -> np.ndarray:
@@ -166,7 +175,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
                 data, nodes = np.array(group["embedding"].tolist(), np.float64), group["node"].to_numpy()
                 curves = shared.value.get(size)
                 slots = np.stack([c.slots(data, nodes) for c in curves], axis=1) if curves else np.zeros((len(group), CURVES), np.int64)
-                yield pd.DataFrame({"node": nodes, "first": [x[0] for x in group["ids"]], "size": size, "vector": [x.tobytes() for x in data], "slots": list(slots)})
+                firsts, vectors = [x[0] for x in group["ids"]], [x.tobytes() for x in data]
+                yield pd.DataFrame({"node": nodes, "first": firsts, "size": size, "vector": vectors, "slots": list(slots)})
 
     placed = settle(points.mapInPandas(place, POINTS), "placed")
     asked = rows.filter(is_query).distinct().join(points.select("embedding", "node"), "embedding").select(F.col("vec_id").alias("query_id"), "node")
@@ -192,13 +202,14 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
                 own, ask = group[is_point], group[~is_point]
                 nodes, firsts = own["node"].to_numpy(), own["first"].to_numpy()
                 found = best(matrix(ask["vector"]), matrix(own["vector"]), firsts, keep)
-                yield pd.DataFrame({"query_id": ask["query_id"].to_numpy(np.int64), "size": group["size"].iloc[0], "nodes": [nodes[p] for p, _ in found], "firsts": [firsts[p] for p, _ in found], "scores": [s for _, s in found]})
+                yield found_by(ask["query_id"].to_numpy(np.int64), group["size"].iloc[0], nodes, firsts, found)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = settle(held.unionByName(sent), "windows").repartitionByRange(parts, "size", "curve", "slot").sortWithinPartitions("size", "curve", "slot")
     some = dealt.mapInPandas(search, BEST)
     final = some.repartition(parts, "query_id").sortWithinPartitions("query_id", "size").mapInPandas(lambda b: merged(b, keep), BEST)
-    pairs = settle(final.select("query_id", F.explode(F.arrays_zip("nodes", "scores")).alias("x")).select("query_id", F.col("x.nodes").alias("node"), F.col("x.scores").alias("score")), "pairs")
+    pairs = final.select("query_id", F.explode(F.arrays_zip("nodes", "scores")).alias("x"))
+    pairs = settle(pairs.select("query_id", F.col("x.nodes").alias("node"), F.col("x.scores").alias("score")), "pairs")
     listed = pairs.join(points.select("node", "ids"), "node").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     once = listed.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
@@ -221,7 +232,7 @@ def measured_window(asked: DataFrame, placed: DataFrame, keep: int, k: int, reca
                 if own:
                     nodes, firsts = group["node"].to_numpy(), group["first"].to_numpy()
                     found = best(matrix([r.vector for r in own]), matrix(group["vector"]), firsts, keep)
-                    yield pd.DataFrame({"query_id": [r.query_id for r in own], "size": size, "nodes": [nodes[p] for p, _ in found], "firsts": [firsts[p] for p, _ in found], "scores": [s for _, s in found]})
+                    yield found_by([r.query_id for r in own], size, nodes, firsts, found)
 
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     truth = placed.mapInPandas(run, BEST).repartition(parts, "query_id").sortWithinPartitions("query_id", "size").mapInPandas(lambda b: merged(b, k + 1), BEST)

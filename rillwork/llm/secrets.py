@@ -82,7 +82,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
                     counts.append(Counter(s[0] for s in base))
                     shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
                     spans = sorted(base + random_spans(t, base), key=lambda s: (s[1], KINDS.index(s[0])))
-                    found.append([{"kind": k, "start": a, "stop": b, "value_start": v, "value_hash": hashlib.sha256(t[v:b].encode()).hexdigest()} for k, a, b, v in spans])
+                    found.append([(k, a, b, v, hashlib.sha256(t[v:b].encode()).hexdigest()) for k, a, b, v in spans])
                 yield part.assign(**{f"n_{k}": [c[k] for c in counts] for k in KINDS[:3]}, base_sha256=shas, found=found)
 
     return docs.mapInPandas(run, schema)
@@ -107,19 +107,25 @@ def weigh_secrets(
     text has no spans; null owners are one owner; each row is judged for itself, repeated ones too; columns outside
     ``keep`` are not read; an empty table has no rows.
     """
-    own = docs.select(*[docs[f"`{c}`"].alias(f"k_{c}") for c in keep], docs[f"`{text}`"].alias("k_text_"), docs[f"`{repository}`"].cast("string").alias("k_repository_"), docs[f"`{owner}`"].cast("string").alias("k_owner_"))
+    named = {"k_text_": text, "k_repository_": repository, "k_owner_": owner}
+    own = docs.select(*[docs[f"`{c}`"].alias(f"k_{c}") for c in keep], *[docs[f"`{c}`"].cast("string").alias(n) for n, c in named.items()])
     scanned = find_secrets(own, "k_text_").drop("k_text_").withColumn("row", F.monotonically_increasing_id())
     scanned = settle(scanned, "secrets")  # once written, the row numbers are fixed
-    spans = scanned.filter(F.size("found") > 0).select("row", F.col("k_repository_").alias("repository"), F.col("k_owner_").alias("owner"), F.explode("found").alias("span"))
+    origin = [F.col("k_repository_").alias("repository"), F.col("k_owner_").alias("owner")]
+    spans = scanned.filter(F.size("found") > 0).select("row", *origin, F.explode("found").alias("span"))
     values = settle(ownership(spans.select(F.col("span.value_hash").alias("value_hash"), "owner", "repository")), "ownership")
     live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
     judged = spans.select("row", "span", F.col("span.value_hash").alias("value_hash")).join(values, "value_hash")
-    judged = judged.select("row", F.struct("span.start", "span.kind", "span.stop", "span.value_start", "span.value_hash", live.alias("live")).alias("span"))
+    fields = ["span.start", "span.kind", "span.stop", "span.value_start", "span.value_hash"]
+    judged = judged.select("row", F.struct(*fields, live.alias("live")).alias("span"))
     judged = judged.filter("span.live OR span.kind != 'random'")
     per_row = judged.groupBy("row").agg(F.collect_list("span").alias("spans"))
-    order = F.lit(list(KINDS))
-    spans = F.array_sort("spans", lambda x, y: F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.array_position(order, x["kind"]) - F.array_position(order, y["kind"])).cast("int"))
-    counted = per_row.select("row", spans.alias("judged"))
+
+    def before(x: Column, y: Column) -> Column:
+        by_kind = F.array_position(F.lit(list(KINDS)), x["kind"]) - F.array_position(F.lit(list(KINDS)), y["kind"])
+        return F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(by_kind).cast("int")
+
+    counted = per_row.select("row", F.array_sort("spans", before).alias("judged"))
     none = F.expr("CAST(array() AS array<struct<start:bigint,kind:string,stop:bigint,value_start:bigint,value_hash:string,live:boolean>>)")
     out = scanned.join(counted, "row", "left").withColumn("judged", F.coalesce("judged", none))
     return out.select(
