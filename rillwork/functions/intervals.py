@@ -145,17 +145,21 @@ def calendar(bounds: DataFrame, first: str, last: str, unit: str = "day") -> Dat
     """
     spark, step = bounds.sparkSession, F.expr(f"INTERVAL 1 {unit}")
     ends = bounds.select(F.col(first).cast("timestamp_ntz").alias("a"), F.col(last).cast("timestamp_ntz").alias("b"))
-    row = ends.select(F.year("a"), F.month("a"), F.datediff("a", F.lit("1970-01-01").cast("date")), F.year("b"), F.month("b"), F.datediff("b", F.lit("1970-01-01").cast("date")), F.col("a").cast("string"), F.col("b").cast("string")).first()
+    epoch = F.lit("1970-01-01").cast("date")
+    parts = [x for e in ("a", "b") for x in (F.year(e), F.month(e), F.datediff(e, epoch), F.col(e).cast("string"))]
+    row = ends.select(*parts).first()
     if row is None or None in tuple(row):
         empty = spark.range(0).select(F.lit(None).cast("timestamp_ntz").alias("interval_start"))
         return empty.withColumn("interval_end", F.col("interval_start") + step)
+    year, month, day, text, last_year, last_month, last_day, last_text = row
     if unit in ("year", "month"):
         months = {"year": 12, "month": 1}[unit]
-        begin, end = row[0] * 12 + (row[1] - 1 if unit == "month" else 0), row[3] * 12 + (row[4] - 1 if unit == "month" else 0)
-        starts = spark.range(begin, end + 1, months).select(F.make_timestamp_ntz(F.floor(F.col("id") / 12).cast("int"), (F.col("id") % 12 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("interval_start"))
+        begin, end = (y * 12 + (m - 1 if unit == "month" else 0) for y, m in ((year, month), (last_year, last_month)))
+        first_of = F.make_date(F.floor(F.col("id") / 12).cast("int"), (F.col("id") % 12 + 1).cast("int"), F.lit(1))
+        starts = spark.range(begin, end + 1, months).select(_at(first_of).alias("interval_start"))
     else:
-        days = spark.range(row[2], row[5] + 1).select(_at(F.date_add(F.lit("1970-01-01").cast("date"), F.col("id").cast("int"))).alias("day"))
+        days = spark.range(day, last_day + 1).select(_at(F.date_add(epoch, F.col("id").cast("int"))).alias("day"))
         inside = F.sequence(F.col("day"), F.col("day") + F.expr("INTERVAL 1 DAY") - step, step)
         starts = days.select(F.explode(inside).alias("interval_start"))
-    held = starts.filter((F.col("interval_start") >= F.lit(row[6]).cast("timestamp_ntz")) & (F.col("interval_start") <= F.lit(row[7]).cast("timestamp_ntz")))
+    held = starts.filter(F.col("interval_start").between(F.lit(text).cast("timestamp_ntz"), F.lit(last_text).cast("timestamp_ntz")))
     return held.withColumn("interval_end", F.col("interval_start") + step)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions import intervals, paths, text, urls
 from rillwork.functions.json_values import items_of, pick_each, record_text, search
+from rillwork.plans.matching import fuzzy_match
 from tests.conftest import rows
 
 
@@ -181,3 +182,37 @@ def test_search_results(spark):
     nested = spark.createDataFrame([('{"a": [{"x": 1}, {"y": 2}, {"x": 3}]}',)], "j string")
     assert nested.select(pick_each(F.parse_json("j"), "$.a", "$.x", "int")).first()[0] == [1, 3]
     assert nested.select(F.size(items_of(F.parse_json("j"), "$.a"))).first()[0] == 3
+
+
+@pytest.mark.parametrize("unit", ["second", "minute", "hour", "day", "month", "year"])
+def test_calendar_units(spark, unit):
+    first, last = {"second": ("2024-02-28 23:59:50", "2024-02-29 00:00:10"), "minute": ("2024-02-28 23:55:00", "2024-02-29 00:03:00")}.get(
+        unit, ("2023-11-01 00:00:00" if unit != "year" else "2023-01-01 00:00:00", "2024-03-01 00:00:00" if unit != "year" else "2026-01-01 00:00:00")
+    )
+    bounds = spark.range(1).select(*[F.lit(x).cast("timestamp_ntz").alias(n) for n, x in (("a", first), ("b", last))])
+    got = [r.interval_start for r in intervals.calendar(bounds, "a", "b", unit).orderBy("interval_start").collect()]
+    want = spark.sql(f"SELECT explode(sequence(TIMESTAMP_NTZ '{first}', TIMESTAMP_NTZ '{last}', INTERVAL 1 {unit})) AS t").collect()
+    assert got == [r.t for r in want] and got[0] == datetime.fromisoformat(first)
+    assert intervals.calendar(bounds.limit(0), "a", "b", unit).count() == 0
+
+
+@pytest.mark.parametrize("schedule", ["rate(45 minutes)", "rate(90 minutes)", "rate(5 hours)", "rate(10 days)", "@hourly", "@weekly", "@monthly", "@quarterly", "@yearly"])
+def test_next_tick_is_the_first_one_after(spark, schedule):
+    times = spark.range(2000).select((F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id") * 317)).alias("ts"))
+    ticks = times.select(intervals.interval_tick("ts", schedule).alias("tick")).distinct()
+    after = ticks.withColumn("after", intervals.next_tick("tick", schedule))
+    just = F.expr("INTERVAL '0.000001' SECOND")
+    checked = after.select((intervals.interval_tick("after", schedule) == F.col("after")) & (intervals.interval_tick(F.col("after") - just, schedule) == F.col("tick")) & (F.col("after") > F.col("tick")))
+    assert {r[0] for r in checked.collect()} == {True}
+
+
+def test_identifier_without_a_backslash(spark):
+    assert spark.range(1).select(paths.clean_identifier(F.lit("a\\b c"))).first()[0] == "a_b_c"
+
+
+def test_route_and_score_take_the_names_in_one_order(spark):
+    pairs = [("ecru lace", "lace ecru"), ("abcdabxx", "bxxabcda"), ("private", "priavte"), ("tidal", "tidall"), ("same", "SAME"), ("aab", "aba")]
+    df = spark.createDataFrame(pairs, "requested string, returned string").withColumn("score", text.similarity("returned", "requested"))
+    for r in fuzzy_match(df, "requested", "returned", 80).collect():
+        want = int(round(SequenceMatcher(None, r.returned.lower(), r.requested.lower()).ratio() * 100))
+        assert abs(r.score - want) <= 1 and (r.route == "valid") == (r.score > 80)
