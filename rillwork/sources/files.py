@@ -71,8 +71,10 @@ def list_files(
 
 
 def list_directory(spark: SparkSession, base: str, path_format: str = "relative") -> DataFrame:
-    """Paths of the files in one folder, without the folders below it."""
-    return list_files(spark, base, "*", path_format=path_format).select("path")
+    """Paths of what one folder holds: its files, and the folders below it that hold files at any depth."""
+    relative, full = (paths.as_format("path", base, how) for how in ("relative", path_format))
+    above = F.substr(full, F.lit(1), F.length(full) - F.length(relative))
+    return matching(spark, base).select(F.concat(above, F.substring_index(relative, "/", 1)).alias("path")).distinct()
 
 
 def read_blobs(spark: SparkSession, base: str, pattern: str = "**/*") -> DataFrame:

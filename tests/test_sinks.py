@@ -262,8 +262,8 @@ def test_globs_and_listings(spark, folder):
     assert found("sub/*.txt") == ["sub/y.txt"]
     assert found("s*/**/?.txt") == ["sub/deep/z.txt", "sub/y.txt"]
     assert found("**/deep/*") == ["sub/deep/z.txt"]
-    assert rows(files.list_directory(spark, folder)) == [("x.txt",), ("y.csv",)]
-    assert rows(files.list_directory(spark, f"{folder}/sub", "url")) == [(f"file:{folder}/sub/y.txt",)]
+    assert rows(files.list_directory(spark, folder)) == [("k=1",), ("sub",), ("x.txt",), ("y.csv",)]
+    assert rows(files.list_directory(spark, f"{folder}/sub", "url")) == [(f"file:{folder}/sub/deep",), (f"file:{folder}/sub/y.txt",)]
     assert rows(files.read_blobs(spark, folder, "sub/*"), "name") == [("y.txt",)]
 
     odd = ["a b+c é%41.txt", "a b/x.txt"]
