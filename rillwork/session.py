@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from rillwork.storage import open_path
+
 # State of streams on local disk instead of in executor memory.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Folders named so far, in order.
+_MADE: list[str] = []
+
 
 def build_session(app: str = "rillwork", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is written for.
@@ -56,7 +64,32 @@ def work_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A folder name below the shared folder that no other run uses."""
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the folders that ``fresh_dir`` names inside the block once it ends: for a step whose result is written."""
+    begun = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[begun:]:
+            system, place = open_path(path)
+            if system.get_file_info(place).type == fs.FileType.Directory:
+                system.delete_dir(place)
+        del _MADE[begun:]
+
+
+def written(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The frame that ``make`` gives, written once; what its making left in the shared folder is deleted."""
+    path = fresh_dir(spark, label)
+    with scratch():
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:

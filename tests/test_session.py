@@ -1,3 +1,5 @@
+import pytest
+
 from rillwork import session
 
 
@@ -23,3 +25,17 @@ def test_session_without_it_uses_its_warehouse():
 
 def test_settled_frame_knows_its_size(spark):
     assert session.settle(spark.range(5)).count() == 5
+
+
+def test_scratch_of_a_written_step_is_deleted(spark):
+    inner = []
+
+    def make():
+        inner.append(session.settle(spark.range(3)))
+        return inner[0].filter("id > 0")
+
+    outer = session.settle(spark.range(2))
+    assert session.written(spark, make, "step").count() == 2
+    assert outer.count() == 2
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        inner[0].collect()
