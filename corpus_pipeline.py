@@ -13,13 +13,15 @@ toxicity, the labels beside it.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.llm import chosen_path, language, packing, secrets, toxicity
 from rillwork.llm.common import crc_of
-from rillwork.session import settle
+from rillwork.session import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with a clearer language than this stay.
@@ -68,5 +70,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(spark, partial(stage, spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
