@@ -25,7 +25,7 @@ from rillwork.session import settle
 #: Rests below this class are cut at the slot of the next class. 16: a slot wastes 7 of 2048 tokens at most.
 LEAST_CLASS = 16
 #: Workers whose left-over pieces meet in one task; each leaves fewer than 10,000 of them (the sum of k - 1 over classes).
-WORKERS = 32
+WORKERS = 8
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
