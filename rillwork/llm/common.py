@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in an Arrow batch: whole texts go to Python, and two batches must fit beside a worker's own memory.
+ROWS_PER_BATCH = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session send no more than ``ROWS_PER_BATCH`` rows to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: whatever else the input has cannot clash."""
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])

@@ -13,7 +13,7 @@ class KeyTable:
     """Open addressing: the place of a key among those given, -1 where it is not there. Keys are not negative."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(8, int(len(keys) * 4).bit_length())
+        self.bits = max(8, int(len(keys) * 2).bit_length())
         self.keys, self.places = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
         slot, todo, self.probes = mixed(keys, self.bits), np.arange(len(keys)), 0
         while len(todo):

@@ -20,7 +20,7 @@ from rillwork.llm.common import pick_runs
 from rillwork.llm.hashing import GrowingTable
 
 #: Parts whose ids a worker keeps, and 8 times as many ids; a full memory is begun anew. It changes no result.
-KEPT = 1_000_000
+KEPT = 700_000
 #: Longer parts, in bytes, are not kept.
 LONGEST = 64
 

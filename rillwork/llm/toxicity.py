@@ -41,6 +41,9 @@ DOCS_PER_CLASS, OWN_SHARE = 2000, 0.5
 #: Words of the lexicon: least weight (a log ratio of rates, less one standard error), least contexts, how many at most.
 LEAST_WEIGHT, LEAST_CONTEXTS, MOST_WORDS = 2.0, 8, 1000
 
+#: Tokens whose weights a worker keeps; a full memory is begun anew. It changes no result.
+KNOWN = 200_000
+
 LOWER = {c: i + 1 for i, c in enumerate(LETTERS)}  # 0: the edge of a word
 N = len(LETTERS) + 1
 EDGES = " \t\n\r\v\f.,;:!?\"()[]{}<>«»„“”…'`"
@@ -156,7 +159,7 @@ class Model:
 
     def weights(self, text: str) -> list[float]:
         """Of all tokens of the text that stand for words of the lexicon."""
-        if len(self.known) > 500_000:
+        if len(self.known) > KNOWN:
             self.known = {}
         known = self.known
         tokens = text.split()
