@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.llm import chosen_path, language, packing, secrets, toxicity
-from rillwork.llm.common import crc_of
+from rillwork.llm.common import bounded_batches, crc_of
 from rillwork.session import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,6 +29,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     own = docs.select(COLUMNS)
     trees = language.train(own, F.pmod(crc_of("doc_id"), F.lit(4)) != 2)
     judged = language.predict(own, trees)
@@ -36,6 +37,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     own = docs.select(COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(own.select("doc_id", "text"), labels, F.pmod(crc_of("doc_id"), F.lit(5)) != 0)
@@ -43,15 +45,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return chosen_path.one_of_each_group(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     own = docs.select(*COLUMNS, F.concat_ws("/", "source", "lang").alias("repository"))
     return secrets.mask_live(own, repository="repository").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
