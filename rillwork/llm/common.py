@@ -16,7 +16,7 @@ ROWS_PER_BATCH = 2000
 def bounded_batches(spark: SparkSession) -> None:
     """Let the session send no more than ``ROWS_PER_BATCH`` rows to Python at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ROWS_PER_BATCH:
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
