@@ -198,17 +198,21 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids and of the decoded bytes; cases as in ``encode_texts``."""
+    """doc_id, n_tokens, and the SHA-256 of the ids and of the decoded bytes; cases as in ``encode_texts``. Both ways run in
+    one Python worker per task: in two, each would come to hold the vocabulary and a memory of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = coder(path, pattern)
+        own, memory = coder(path, pattern), shared_memory(("ranks", path, pattern), lambda: coder(path, pattern).encode)
         for batch in batches:
-            decoded = [own.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in batch["ids"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].array,
-                "n_tokens": [len(x) // 4 for x in batch["ids"]],
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in batch["ids"]],
-                "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decoded],
-            })
-
-    return encode_texts(docs, path, pattern, doc_id, text).mapInPandas(run, SCHEMA)
+            texts = [t or "" for t in batch["text"]]
+            for a, b in text_slices(texts):
+                flat, counts = memory.ids(texts[a:b])
+                ids = [x.astype("<u4") for x in np.split(flat, np.cumsum(counts)[:-1])]
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].iloc[a:b].array,
+                    "n_tokens": counts,
+                    "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
+                    "decoded_sha256": [hashlib.sha256(own.decode(x.astype(np.int64))).hexdigest() for x in ids],
+                })
+
+    return renamed(docs, doc_id=doc_id, text=text).mapInPandas(run, SCHEMA)
