@@ -48,6 +48,9 @@ LOWER = {c: i + 1 for i, c in enumerate(LETTERS)}  # 0: the edge of a word
 N = len(LETTERS) + 1
 EDGES = " \t\n\r\v\f.,;:!?\"()[]{}<>«»„“”…'`"
 WRAPS = EDGES + "*_-~#&%=^$@|+"
+#: Signs that are only punctuation: those that may also stand for a first letter are not among them.
+OPENS = "".join(c for c in EDGES if c not in STANDS_FOR)
+SIGNS = frozenset(c for c in STANDS_FOR if not c.isalnum())
 #: Single characters with signs or spaces between them; a character is never such a sign, so there is one way to match.
 SPACED = re.compile(r"(?<!\S)(?:[^\s.*_-][ .*_-]{1,2}){2,}[^\s.*_-](?!\S)")
 DOUBLE = re.compile(r"(.)\1+")
@@ -61,6 +64,21 @@ def folded(word: str) -> str:
     return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
+def stripped(token: str, signs: str, first: str | None = None) -> str:
+    """Without the characters at both ends that are in ``signs``, or neither letters, digits nor known disguises;
+    ``first``: the signs of the beginning, if others."""
+
+    def goes(ch: str, signs: str) -> bool:
+        return ch in signs or not (ch.isalnum() or ch in STANDS_FOR or ch in ANY)
+
+    a, b = 0, len(token)
+    while a < b and goes(token[a], signs if first is None else first):
+        a += 1
+    while a < b and goes(token[b - 1], signs):
+        b -= 1
+    return token[a:b]
+
+
 def once(word: str) -> str:
     """Without repeated characters."""
     return DOUBLE.sub(r"\1", word)
@@ -125,15 +143,16 @@ class Model:
         """Whether any path of the lattice can lead to a word of the lexicon: letters only stand for themselves, so up
         to the word's end they come in its order, and signs must make up for what is missing."""
         first = token[0]
-        starts = first if first in LOWER else STANDS_FOR.get(first, "") if first not in ANY and first not in BETWEEN else LETTERS
+        starts = first if first in LOWER else STANDS_FOR.get(first, LETTERS)  # what is neither may be dropped
         for letter in starts:
             for word in self.targets.get(letter, ()):
                 at = signs = 0
-                last = ""
+                last = letter = ""
                 for ch in token:
-                    if ch not in LOWER:
+                    if ch not in LOWER or (ch == letter and ch != last):  # signs between equal letters may be dropped
                         signs += 1
                     elif ch != last:
+                        letter = ch
                         found = word.find(ch, at)
                         if found < 0 or found - at > signs:
                             break
@@ -146,14 +165,14 @@ class Model:
 
     def weight(self, token: str) -> float:
         """Weight of the word that the token stands for, 0 where it is not in the lexicon."""
-        word = folded(token.strip(WRAPS))
+        word = folded(stripped(token, WRAPS))
         if plain := word.isascii() and word.isalpha():
             found = self.look_up(word)
-            if found or not DOUBLE.search(word):
+            if found or not (DOUBLE.search(word) or any(c in SIGNS for c in token)):
                 return found
         if len(word) > LONGEST:
             return max((self.weight(x) for x in re.split(r"[^\w$@!|*]+", token) if 2 <= len(x) <= LONGEST), default=0.0)
-        tries = {word} if plain else {word, folded(token.strip(EDGES)), folded(token.strip())}
+        tries = {word, *[folded(x) for x in (stripped(token, EDGES), stripped(token, EDGES, OPENS), token.strip())]}
         tries = [x for x in tries if len(x) > 1 and any(c in LOWER for c in x) and len(x) <= 2 * LONGEST and self.may_be(x)]
         return max((self.look_up_restored(self.restore(x)) for x in sorted(tries)), default=0.0)
 
@@ -246,7 +265,7 @@ def learn_lexicon(docs: DataFrame) -> dict[str, float]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                words = [folded(w.strip(WRAPS)) for w in text.split()]
+                words = [folded(stripped(w, WRAPS)) for w in text.split()]
                 pairs = {(w, v) for v, w in zip(["", *words], words, strict=False) if len(w) > 2 and w.isascii() and w.isalpha()}
                 pairs = sorted({(f, v) for w, v in pairs for f in features(w)})
                 yield pd.DataFrame(pairs, columns=["word", "before"]).assign(toxic=int(toxic))

@@ -76,3 +76,24 @@ def test_odd_rows(spark):
 def test_runs_of_signs_take_no_time(model):
     for text in ("_" * 5000 + "x y" + "." * 5000 + "abc", "a " * 20_000, "*." * 5000 + "word", "i d i o t " * 2000):
         model.score(text)
+
+
+@pytest.mark.parametrize("token", ["¡idiota!", "¿idiota?", "—idiota", "\U0001f92cidiota", "¡1d10ta!", "¿!diota?", "–stup!d–", "\U0001f621$tup1d\U0001f621", "日id1ot", "​idiot", "i.idiot", "id1.iot", "$tupid", "¡$tupid!"])
+def test_signs_around_a_word_do_not_hide_it(token):
+    words = WORDS | {"idiota": 5.0}
+    own = toxicity.Model(toxicity.letter_costs(np.zeros(toxicity.N**3), list(words)), words, [-5.0, 2.0, 2.0, 0.0, 0.0])
+    assert own.weight(token) > 0
+
+
+def test_words_are_learnt_between_any_signs(spark):
+    rows = [(f"{before} ¡idiota! y", 1) for before in "abcdefghijklmnopqrstuvwxyz"] + [(f"{before} casa y", 0) for before in "abcdefghijklmnopqrstuvwxyz"]
+    assert "idiota" in toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+
+
+def test_the_quick_test_drops_what_restoring_drops(model):
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        word = str(rng.choice(["idiot", "stupid", "worthless"]))
+        made = str(rng.choice(["", "¡", "—", "日", "\U0001f621", "."])) + "".join(str(rng.choice([c, c, c + "1" + c, c + "." + c, c + "¿"])) for c in word)
+        if model.look_up_restored(model.restore(made)):
+            assert model.may_be(made), made
