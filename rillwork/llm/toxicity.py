@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 from math import exp, log, log1p
 
 import numpy as np
@@ -34,7 +35,7 @@ BETWEEN, ANY = set(".-_*~'`·•,:;/\\ "), set("*#?_")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Costs of the channel, as -log probabilities.
 SWAP, DROP, REPEAT, WILD, WILD_DROP = 1.0, 0.5, 0.7, 2.0, 2.0
-#: Longer tokens are no single words: they are cut at signs instead.
+#: Longer tokens are no single words: repeats are cut short, then they are cut at signs or into overlapping windows.
 LONGEST = 60
 #: Labelled documents of each class that the lexicon is learnt from, about; the weight of the lexicon in the model.
 DOCS_PER_CLASS, OWN_SHARE = 2000, 0.5
@@ -51,8 +52,14 @@ WRAPS = EDGES + "*_-~#&%=^$@|+"
 #: Signs that are only punctuation: those that may also stand for a first letter are not among them.
 OPENS = "".join(c for c in EDGES if c not in STANDS_FOR)
 SIGNS = frozenset(c for c in STANDS_FOR if not c.isalnum())
-#: Single characters with signs or spaces between them; a character is never such a sign, so there is one way to match.
-SPACED = re.compile(r"(?<!\S)(?:[^\s.*_-][ .*_-]{1,2}){2,}[^\s.*_-](?!\S)")
+#: Single characters with signs or spaces between them, in any punctuation; a character is never such a sign, so there is
+#: one way to match. ITEMS: its characters, each with the gap behind it.
+SPACED = re.compile(r"(?<![^\W_])(?:[^\s.*_-][\s.*_-]++){2,}[^\s.*_-](?![^\W_])")
+ITEMS = re.compile(r"([^\s.*_-])([\s.*_-]*+)")
+#: Signs that may join words, and disguise them as well: long tokens are cut at each choice of them.
+JOINERS = "_$@!|*"
+CUTS = [re.compile(r"[^\w$@!|*]+")] + [re.compile(f"(?:[^\\w$@!|*]|[{re.escape(''.join(c))}])+") for n in range(1, 7) for c in combinations(JOINERS, n)]
+MANY = re.compile(r"(.)\1{2,}", re.DOTALL)
 DOUBLE = re.compile(r"(.)\1+")
 #: Lengths of the beginnings of words that are learnt beside whole words: stems with many endings.
 STEMS = (4, 5, 6)
@@ -103,6 +110,7 @@ class Model:
         self.steps = self.costs.tolist()
         self.targets: dict[str, list[str]] = {}
         self.short = {once(w): p for w, p in sorted(self.lexicon.items())}
+        self.sizes = sorted({len(w) for w in [*self.lexicon, *self.short] if not w.endswith("~")})
         for word in sorted({w.rstrip("~") for w in self.short}):
             self.targets.setdefault(word[0], []).append(word)
 
@@ -139,6 +147,16 @@ class Model:
         """Restored words may have lost one of two equal letters."""
         return max(self.look_up(word), *[self.short.get(f, 0.0) for f in features(once(word))])
 
+    def look_inside(self, text: str) -> float:
+        """The weightiest word anywhere in a text without gaps."""
+        get, short = self.lexicon.get, self.short.get
+        found = 0.0
+        for x in {text, once(text)}:
+            for i in range(len(x)):
+                parts = [x[i : i + n] for n in self.sizes if i + n <= len(x)] + [x[i : i + n] + "~" for n in STEMS if i + n < len(x)]
+                found = max(found, *[max(get(p, 0.0), short(p, 0.0)) for p in parts], 0.0)
+        return found
+
     def may_be(self, token: str) -> bool:
         """Whether any path of the lattice can lead to a word of the lexicon: letters only stand for themselves, so up
         to the word's end they come in its order, and signs must make up for what is missing."""
@@ -165,17 +183,51 @@ class Model:
 
     def weight(self, token: str) -> float:
         """Weight of the word that the token stands for, 0 where it is not in the lexicon."""
+        if len(token) > LONGEST:
+            token = MANY.sub(r"\1\1", token)
         word = folded(stripped(token, WRAPS))
         if plain := word.isascii() and word.isalpha():
             found = self.look_up(word)
-            if found or not (DOUBLE.search(word) or any(c in SIGNS for c in token)):
+            if found or len(word) <= LONGEST and not (DOUBLE.search(word) or any(c in SIGNS for c in token)):
                 return found
         if len(word) > LONGEST:
-            return max((self.weight(x) for x in re.split(r"[^\w$@!|*]+", token) if 2 <= len(x) <= LONGEST), default=0.0)
+            return self.weight_of_long(token)
         tries = {word, *[folded(x) for x in (stripped(token, EDGES), stripped(token, EDGES, OPENS), token.strip())]}
         tries = [x for x in tries if len(x) > 1 and any(c in LOWER for c in x) and len(x) <= 2 * LONGEST and self.may_be(x)]
         return max((self.look_up_restored(self.restore(x)) for x in sorted(tries)), default=0.0)
 
+    def weight_of_long(self, token: str) -> float:
+        """The largest weight of what a long token is joined of: its parts between signs, for each choice of the signs that
+        join words rather than disguise them, and windows of parts that no sign cuts, each sharing half with the next."""
+        parts = {x for cut in CUTS for x in cut.split(token) if len(x) > 1}
+        found = max((self.weight(x) for x in sorted(parts) if len(x) <= LONGEST), default=0.0)
+        for part in {folded(x) for x in CUTS[-1].split(token) if len(x) > LONGEST}:
+            windows = [part[k : k + 2 * LONGEST] for k in range(0, max(1, len(part) - LONGEST), LONGEST)]
+            found = max(found, *[self.look_inside(x) for w in windows for x in {w, self.restore(w)}])
+        return found
+
+    def spaced_weights(self, run: str) -> list[float]:
+        """Of the words in a run of spaced-out characters: of all of them, or of what wider gaps and signs leave together."""
+        items = ITEMS.findall(run)
+        least = min(len(gap) for _, gap in items[:-1])
+        words, word = [], ""
+        for ch, gap in items:
+            letter = ch.isalnum() or ch in STANDS_FOR or ch in ANY
+            word += ch if letter else ""
+            if (not letter or len(gap) > least) and word:
+                words.append(word)
+                word = ""
+        words += [word] if word else []
+
+        def found(word: str) -> list[float]:
+            tries = []
+            for letters in {folded(word), folded(stripped(word, EDGES))}:
+                tries += [letters, "".join(self.restore(letters[i : i + LONGEST]) for i in range(0, len(letters), LONGEST))]
+            return [max(self.look_up(x[i : i + LONGEST]) for x in tries) for i in range(max(map(len, tries)))]
+
+        whole, apart = found("".join(ch for ch, _ in items)), [w for x in words for w in found(x)]
+        return max(whole, apart, key=sum)
+
     def weights(self, text: str) -> list[float]:
         """Of all tokens of the text that stand for words of the lexicon."""
         if len(self.known) > KNOWN:
@@ -186,9 +238,7 @@ class Model:
             known[token] = self.weight(token)
         out = [w for t in tokens if (w := known[t])]
         for match in SPACED.finditer(text):
-            letters = folded(re.sub(r"[ .*_-]", "", match[0]))
-            tries = [letters, "".join(self.restore(letters[i : i + LONGEST]) for i in range(0, len(letters), LONGEST))]
-            out += [max(self.look_up(x[i : i + LONGEST]) for x in tries) for i in range(len(letters))]
+            out += self.spaced_weights(match[0])
         return sorted(w for w in out if w)
 
     def evidence(self, text: str | None) -> list[float]:

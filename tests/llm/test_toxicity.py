@@ -97,3 +97,29 @@ def test_the_quick_test_drops_what_restoring_drops(model):
         made = str(rng.choice(["", "¡", "—", "日", "\U0001f621", "."])) + "".join(str(rng.choice([c, c, c + "1" + c, c + "." + c, c + "¿"])) for c in word)
         if model.look_up_restored(model.restore(made)):
             assert model.may_be(made), made
+
+
+@pytest.mark.parametrize("text", ["you i d i o t.", "i d i o t, yes", "an i d i o t! yes", 'a "i d i o t" here', "¡i d i o t!", "you i   d   i   o   t now", "y o u   i d i o t   n o w",
+                                  "(1 d 1 0 t)", "i\td\ti\to\tt", "so i d i o t: you", "i d i o t ! now", "i.d.i.o.t, yes", "i   d  i   o  t"])
+def test_spaced_letters_in_any_punctuation(model, text):
+    assert 5.0 in model.weights(text)
+
+
+@pytest.mark.parametrize("token", ["st" + "u" * 70 + "pid", "stup" + "!" * 200 + "d", "plainwords_" * 6 + "stupid", "some*" * 13 + "stup1d", "more!" * 13 + "worthless!" + "x" * 9, "words|" * 12 + "id1ot|and",
+                                   "some_" * 13 + "st*pid", "wordsofatext" * 6 + "stupid" + "andmore" * 9, "wordsofatext" * 6 + "5tup1d" + "andmore" * 9, "1d10t" + "$" * 200, "abcdefghij" * 5 + "worthl3ss" + "abcdefghij" * 9])
+def test_long_tokens_are_taken_apart(model, token):
+    assert model.weight(token) > 0
+
+
+def test_long_tokens_of_other_words_weigh_nothing(model):
+    for token in ("plainwords_" * 9, "abcdefghij" * 30, "a1" * 200, "https://example.org/" + "some/path/" * 20):
+        assert model.weight(token) == 0
+
+
+def test_long_tokens_take_no_time(model):
+    from time import process_time
+
+    start = process_time()
+    for text in ("*_" * 5000 + "word", "a_b*c!" * 3000, "x1y2" * 5000, "i\t" * 5000, "i d i o t, " * 3000, "x" + "." * 50_000 + "abc", "a" + " ." * 20_000 + "b"):
+        model.score(text)
+    assert process_time() - start < 30
