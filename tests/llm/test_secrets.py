@@ -44,3 +44,14 @@ def test_odd_rows(spark):
     assert len(got) == docs.count() and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
     assert sorted(map(str, secrets.mask_live(docs).collect())) == sorted(map(str, docs.collect()))
     assert secrets.weigh_secrets(no_docs(spark), keep=("doc_id",)).count() == 0
+
+
+def test_long_runs_are_spans(spark):
+    long = "Zk3v9Qp7Lm2Xc8Rt5Yb1Wd6/" * 40
+    rows = [(1, f"key {long} end", "s0"), (2, f"jwt eyJhbGci.{long[:500]}.sig", "s1"), (3, "z" * 300, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.weigh_secrets(docs, keep=("doc_id",)).collect()}
+    assert [(got[i].n_live, got[i].n_copied) for i in (1, 2, 3)] == [(1, 0), (1, 0), (0, 0)]
+    assert [(s["start"], s["stop"]) for s in got[1].found] == [(4, 4 + len(long))]
+    masked = {r.doc_id: r.text for r in secrets.mask_live(docs).collect()}
+    assert masked == {1: "key [SECRET] end", 2: "jwt eyJhbGci.[SECRET].sig", 3: "z" * 300}
