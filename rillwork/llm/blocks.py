@@ -124,8 +124,11 @@ class TokenFile:
 MANIFEST = T.StructType([T.StructField("name", T.StringType()), T.StructField("partition", T.LongType()), T.StructField("n_ids", T.LongType())])
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode whole texts with the library's vocabulary at ``path``, append ``end_id`` to each, and write the files.
+def write_tokens(
+    docs: DataFrame, folder: str, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", special: bool = False
+) -> DataFrame:
+    """Encode whole texts with the library's vocabulary at ``path`` (strings of its special tokens as these tokens if
+    ``special``, else as ordinary text), append ``end_id`` to each, and write the files.
 
     Returns the written manifest: a row per file with its partition and its number of ids. Rows are range-partitioned
     and sorted by doc_id (null first) before they are encoded, once; rows of one doc_id follow their text's order. A
@@ -136,7 +139,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 1, doc_i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        memory, partition = library_memory(path), TaskContext.get().partitionId()
+        memory, partition = library_memory(path, special), TaskContext.get().partitionId()
         names, sizes, before = [], [], 0
         doc_ids, counts, ids, held = [], [], [], 0
 
@@ -203,11 +206,13 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
     return decoded.join(bases, "partition").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def written_and_read(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def written_and_read(
+    docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", special: bool = False
+) -> DataFrame:
     """``write_tokens`` into a new folder of the shared scratch space, then ``read_documents``; an empty table has no rows."""
     spark = docs.sparkSession
     folder = fresh_dir(spark, "tokens")
-    manifest = write_tokens(docs, folder, path, end_id, doc_id, text)
+    manifest = write_tokens(docs, folder, path, end_id, doc_id, text, special)
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return read_documents(spark, folder, manifest)

@@ -86,11 +86,12 @@ def first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
 
 
 def pack_documents(
-    docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, least: int = LEAST_CLASS, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, least: int = LEAST_CLASS, doc_id: str = "doc_id", text: str = "text", special: bool = False
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Whole texts are encoded with the library's vocabulary at ``path`` and end with ``end_id``; a null or empty text has
+    Whole texts are encoded with the library's vocabulary at ``path`` (strings of its special tokens as these tokens if
+    ``special``, else as ordinary text) and end with ``end_id``; a null or empty text has
     that id alone. Every row is packed for itself, so null or repeated doc_ids and repeated rows stay apart; an empty
     table has no pieces; other columns are not read. Each id lies in one piece, each piece in one sequence. The pieces
     are written once: sequences of a repeated task are those of the first try.
@@ -99,7 +100,7 @@ def pack_documents(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        memory, worker, used = library_memory(path), TaskContext.get().partitionId(), 0
+        memory, worker, used = library_memory(path, special), TaskContext.get().partitionId(), 0
         rest: pd.DataFrame | None = None
         for batch in batches:
             texts = [t or "" for t in batch["text"]]

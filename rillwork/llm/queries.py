@@ -25,7 +25,7 @@ def host_reputation(spark, sf_dir):
 
 @query("op9_token_blocks")
 def token_blocks(spark, sf_dir):
-    return blocks.written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return blocks.written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), special=True)
 
 
 @query("op10_padded_bpe")
@@ -36,7 +36,7 @@ def padded_bpe(spark, sf_dir):
 
 @query("op6_harmonic_packing")
 def harmonic_packing(spark, sf_dir):
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 @query("op1_secret_ownership")

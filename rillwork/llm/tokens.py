@@ -3,7 +3,7 @@
 A tokenizer that splits a text before it merges gives the same ids for the text as for its parts one by one, if every
 cut lies where the tokenizer cuts anyway. In a text whose white space is single spaces and line breaks such places are
 before a space, before and after a line break, and between a letter and a sign other than an apostrophe; any other text
-is one part. Parts are told apart by a 64-bit hash that is computed for all of them at once, so that only new ones, which
+is one part, and so is a text that holds a string of the vocabulary's added tokens, where those count. Parts are told apart by a 64-bit hash that is computed for all of them at once, so that only new ones, which
 become rare, are ever cut out of the text and given to the tokenizer. Each worker process keeps what it has met.
 
 Two different parts of one memory share a hash with odds of about 3 in 100 million.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 
@@ -83,10 +84,11 @@ def is_regular(text: str) -> bool:
 
 
 class WordMemory:
-    """Ids of texts from ids of their parts; ``encode`` maps new parts to (all ids, count per part)."""
+    """Ids of texts from ids of their parts; ``encode`` maps new parts to (all ids, count per part). Texts for which
+    ``uncut`` holds are one part."""
 
-    def __init__(self, encode: Encoder, kept: int = KEPT):
-        self.encode, self.kept = encode, kept
+    def __init__(self, encode: Encoder, kept: int = KEPT, uncut: Callable[[str], bool] | None = None):
+        self.encode, self.kept, self.uncut = encode, kept, uncut or (lambda text: False)
         self.clear()
 
     def clear(self) -> None:
@@ -118,7 +120,7 @@ class WordMemory:
         data = np.frombuffer(whole, np.uint8)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        begins = part_starts(data, sizes, np.array([is_regular(t) for t in texts], bool))
+        begins = part_starts(data, sizes, np.array([is_regular(t) and not self.uncut(t) for t in texts], bool))
         ends = np.append(begins[1:], len(data))
         keys = span_hashes(data, begins, ends)
         place = self.table(keys)
@@ -145,8 +147,26 @@ def shared_memory(key: tuple, build: Callable[[], Encoder]) -> WordMemory:
     return _MEMORIES[key]
 
 
-def library_memory(path: str) -> WordMemory:
-    return shared_memory(("library", path), lambda: library_encoder(path))
+def library_memory(path: str, special: bool = False) -> WordMemory:
+    memory = shared_memory(("library", path, special), lambda: library_encoder(path, special))
+    if special:
+        memory.uncut = holder_of_added(path)
+    return memory
+
+
+@cache
+def holder_of_added(path: str) -> Callable[[str], bool]:
+    """Whether a text may hold a string of the added tokens of the vocabulary at ``path``."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    added = list(tokenizer.get_added_tokens_decoder().values())
+    plain, normal = [t.content for t in added], [t.content for t in added if t.normalized]
+    if not normal or tokenizer.normalizer is None:
+        return lambda text: any(s in text for s in plain)
+    normalize = tokenizer.normalizer.normalize_str
+    normal += [normalize(s) for s in normal]
+    return lambda text: any(s in text for s in plain) or any(s in normalize(text) for s in normal)
 
 
 def byte_letters() -> dict[int, str]:
@@ -157,8 +177,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def library_encoder(path: str) -> Encoder:
-    """The tokenizers library with the vocabulary at ``path``; strings of special tokens are ordinary text.
+def library_encoder(path: str, special: bool = False) -> Encoder:
+    """The tokenizers library with the vocabulary at ``path``. Strings of special tokens are ordinary text, or these
+    tokens if ``special``, as by the library's default.
 
     Parts of letters and closing signs skip the library's general normalizing and splitting, whose outcome for them is
     plain; their pieces go to the library's model, thousands in a call. A probe at the start makes sure of that outcome.
@@ -169,7 +190,8 @@ def library_encoder(path: str) -> Encoder:
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
+    held = holder_of_added(path) if special else lambda part: False
     bare = Tokenizer(tokenizer.model)
     bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     letters, lowers = byte_letters(), tokenizer.normalizer is not None
@@ -198,7 +220,7 @@ def library_encoder(path: str) -> Encoder:
     usable = [x.tolist() for x in simple([SIMPLE.fullmatch(p) for p in probe])] == want
 
     def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        matches = [SIMPLE.fullmatch(p) for p in parts] if usable else [None] * len(parts)
+        matches = [None if held(p) else SIMPLE.fullmatch(p) for p in parts] if usable else [None] * len(parts)
         easy = np.fromiter((m is not None for m in matches), bool, len(parts))
         counts, made, order = np.zeros(len(parts), np.int64), [np.zeros(0, np.uint32)], []
         for where, source, how in ((np.flatnonzero(easy), matches, simple), (np.flatnonzero(~easy), parts, general)):

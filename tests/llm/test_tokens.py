@@ -45,3 +45,27 @@ def test_span_hashes_depend_on_the_bytes_alone():
     data = np.frombuffer(b"abc abd abc", np.uint8)
     a, b, c = tokens.span_hashes(data, np.array([0, 4, 8]), np.array([3, 7, 11]))
     assert a == c != b
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|><|endoftext|>\nplain words", "a <|endoftext| > b", "plain words", "<|ENDOFTEXT|> a", "it's <|endoftext|>\n"]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_special_tokens_as_the_unaltered_library_has_them(name):
+    library, memory = Tokenizer.from_file(public_tokenizers.path(name)), tokens.library_memory(public_tokenizers.path(name), special=True)
+    for texts in (SPECIAL, TEXTS + SPECIAL, SPECIAL[::-1]):
+        ids, counts = memory.ids(texts)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("query, name", [("op6_harmonic_packing", "byte_bpe_50k.json"), ("op9_token_blocks", "word_bpe_49k.json")])
+def test_queries_encode_as_the_unaltered_library(spark, folder, query, name):
+    from zlib import crc32
+
+    from rillwork.llm.queries import QUERIES
+
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r.ids_crc32 for r in QUERIES[query](spark, folder).collect()}
+    assert got == {i: crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in enumerate(SPECIAL)}
