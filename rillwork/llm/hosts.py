@@ -66,11 +66,13 @@ def prior_weight(groups: DataFrame) -> DataFrame:
     return total.select("rate", F.greatest(F.lit(WEIGHTS[0]), F.least(F.lit(WEIGHTS[1]), weight)).alias("weight"))
 
 
-def reputation(outcomes: DataFrame, z: float = 1.64) -> DataFrame:
+def reputation(outcomes: DataFrame, z: float = 1.64, others: DataFrame | None = None) -> DataFrame:
     """Hosts with ``n`` labelled pages: posterior ``mean`` and lower ``bound`` of the rate of bad pages.
 
     ``outcomes`` has host and bad (0 or 1), one row per labelled page; null outcomes count for nothing. Pages are
-    pre-aggregated before the shuffle, so a host with a third of them costs one row per task.
+    pre-aggregated before the shuffle, so a host with a third of them costs one row per task. The hosts of ``others``
+    that have no labelled pages lean on their domain, else its suffix, else the overall rate, with ``n`` 0; without any
+    labelled page they are left out.
     """
     known = outcomes.filter("bad IS NOT NULL")
     hosts = settle(known.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "hosts")
@@ -87,6 +89,11 @@ def reputation(outcomes: DataFrame, z: float = 1.64) -> DataFrame:
     domains = domains.join(suffixes, "suffix").select("domain", lean(F.col("suffix_mean"), w_domain).alias("domain_mean"))
     mean = lean(F.col("domain_mean"), w_host)
     joined = hosts.join(domains, "domain").select("host", "n", mean.alias("mean"))
+    if others is not None and not hosts.isEmpty():
+        new = others.select("host").distinct().join(hosts, "host", "left_anti")
+        new = new.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+        new = new.join(domains, "domain", "left").join(suffixes, "suffix", "left")
+        joined = joined.unionByName(new.select("host", F.lit(0).cast("long").alias("n"), F.coalesce("domain_mean", "suffix_mean", F.lit(rate)).alias("mean")))
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + w_host + 1))
     return joined.select("host", "n", "mean", (F.col("mean") - z * sd).alias("bound"))
 
@@ -99,18 +106,21 @@ def judge_urls(
     url: str = "url",
     z: float = 1.64,
     limit: float = 0.35,
+    unlabelled: bool = False,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), bound: the verdict of the longest rule, else block if the
     host's posterior bound exceeds ``limit``.
 
     ``outcomes`` has page_id and bad (0 or 1). A null or odd url has empty host and path and is judged like any host;
-    hosts without labelled pages are allowed, with a null bound; repeated rows are judged each; a page that several
+    hosts without labelled pages are allowed, with a null bound, or with ``unlabelled`` judged by the bound that their
+    domain, suffix or the overall rate gives (still allowed if no page at all is labelled); repeated rows are judged each; a page that several
     outcomes name counts with each of them; other columns of the inputs are never touched.
     """
     own = renamed(pages, page_id=page_id, url=url)
     parts = own.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = renamed(outcomes, page_id="page_id", bad="bad").filter("page_id IS NOT NULL")
-    hosts = settle(reputation(parts.select("page_id", "host").join(labels, "page_id"), z), "reputation")
+    others = parts if unlabelled else None
+    hosts = settle(reputation(parts.select("page_id", "host").join(labels, "page_id"), z, others), "reputation")
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     learnt = F.when(F.col("bound") > limit, "block").otherwise("allow")
     joined = parts.join(hosts.select("host", F.round("bound", 6).alias("bound")), "host", "left")

@@ -41,3 +41,35 @@ def test_empty_tables(tables):
     assert hosts.judge_urls(pages.limit(0), outcomes(labels), URL_RULES).count() == 0
     rows = hosts.judge_urls(pages, outcomes(labels.limit(0)), URL_RULES).collect()
     assert len(rows) == pages.count() and all(r.bound is None for r in rows)
+
+
+def test_hosts_without_labels_lean_on_their_domain(spark):
+    urls = [(i, f"http://h{i % 4}.bad.zz/p{i}") for i in range(400)] + [(400 + i, f"http://h{i % 4}.good.zz/p{i}") for i in range(400)]
+    urls += [(800 + i, f"http://h{i % 4}.fine.yy/p{i}") for i in range(400)]
+    new = [(2000, "http://new.bad.zz/"), (2001, "http://new.good.zz/"), (2002, "http://x.other.zz/"), (2003, "http://x.other.xx/"), (2004, "http://new.fine.yy/")]
+    pages = spark.createDataFrame(urls + new, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 400)) for i, _ in urls], "page_id long, bad int")
+    got = {r.page_id: r for r in hosts.judge_urls(pages, labels, [], unlabelled=True).collect()}
+    kept = {r.page_id: r for r in hosts.judge_urls(pages, labels, []).collect()}
+    assert all(got[i] == kept[i] for i, _ in urls) and all(kept[i].bound is None for i, _ in new)
+    assert got[2000].verdict == "block" and got[2001].verdict == got[2004].verdict == "allow"
+    # by hand: prior weights and means of the three levels
+    clip = lambda rate, groups: max(1.0, min(10000.0, weight(rate, groups)))
+
+    def weight(rate, groups):
+        n, bad = sum(n for n, _ in groups), sum(b for _, b in groups)
+        between = (sum(b * b / k for k, b in groups) - bad * bad / n - (len(groups) - 1) * rate * (1 - rate)) / (n - sum(k * k for k, _ in groups) / n)
+        return rate * (1 - rate) / between - 1 if between > 0 else 10000.0
+
+    rate = 400.5 / 1201
+    w_suffix, w_domain = clip(rate, [(800, 400), (400, 0)]), clip(rate, [(400, 400), (400, 0), (400, 0)])
+    w_host = clip(rate, [(100, 100)] * 4 + [(100, 0)] * 8)
+    zz = (400 + w_suffix * rate) / (800 + w_suffix)
+    for page, mean in ((2000, (400 + w_domain * zz) / (400 + w_domain)), (2002, zz), (2003, rate)):
+        assert abs(got[page].bound - (mean - 1.64 * (mean * (1 - mean) / (w_host + 1)) ** 0.5)) < 2e-6
+
+
+def test_no_labels_at_all_block_nothing(tables):
+    pages, labels = tables
+    rows = hosts.judge_urls(pages, outcomes(labels.limit(0)), [], unlabelled=True).collect()
+    assert rows and all(r.verdict == "allow" and r.bound is None for r in rows)
