@@ -4,7 +4,8 @@ A document is the set of its shingles (n words each, hashed). A path is a row of
 the same hash function for all sets, so that similar sets sample the same ones: on average 1/threshold tokens a step,
 of which a pair at the threshold shares one. Sets with a path in common meet in its bucket. Buckets that are too large
 are split by one step more. Repeated runs bring the odds of a pair's never meeting below the target: with 16 runs a pair
-at the threshold meets with 1 - exp(-16) after one step and 1 - exp(-10.1) after two.
+at the threshold meets with 1 - exp(-16) after one step and 1 - exp(-10.1) after two. Sets of less than 20 tokens have all
+of them as first paths and sample more second ones, so that a pair of them meets with at least 1 - exp(-16) after two.
 
 Identical sets are one node. Pairs in a bucket that differ too much in size or in a short sketch are dropped; the others
 join groups, and within each group all sets are compared exactly, block against block, so that also pairs which never met
@@ -100,7 +101,8 @@ def paths_of(tokens: np.ndarray, threshold: float, runs: int) -> tuple[np.ndarra
         a, b = np.searchsorted(place, begin), np.searchsorted(place, begin + share)
         first = np.concatenate([own[order[x:y]] for x, y in zip(a, b, strict=True)])
     parents, seconds = [], []
-    limit = np.uint64(min(share, 1.0) * (2.0**64 - 2048))
+    # Where each token is a first path once, not run by run, the second step is drawn for all runs at once.
+    limit = np.uint64(min(max(share, runs * share**2), 1.0) * (2.0**64 - 2048))
     step = max(1, (1 << 20) // len(tokens))
     for k in range(0, len(first), step):
         some = first[k : k + step]

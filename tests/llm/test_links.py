@@ -123,3 +123,14 @@ def test_overlaps_are_exact():
     got = chosen_path.overlaps(sets, left, right)
     same = left[:, None] == right[None, :]
     assert np.array_equal(np.where(same, 0, got), np.where(same, 0, want))
+
+
+def test_small_sets_meet_in_split_buckets():
+    rng = np.random.default_rng(5)
+    for small, large in ((4, 5), (8, 10), (12, 15)):
+        missed = 0
+        for _ in range(1000):
+            tokens = rng.integers(0, 1 << 63, large, dtype=np.uint64)
+            a, b = (chosen_path.paths_of(np.sort(tokens[:n]), 0.8, 16)[2] for n in (small, large))
+            missed += not set(a.tolist()) & set(b.tolist())
+        assert not missed
