@@ -1,7 +1,8 @@
 """Byte-level BPE by ranks, as merges of length-bucketed padded numpy matrices.
 
 Each row of a matrix is one distinct piece of text. A round looks up the ranks of all adjacent pairs in a hash table,
-merges the leftmost pair of minimum rank in every row, closes the gap, and drops the rows that are finished.
+merges the leftmost pair of minimum rank in every row, closes the gap, and drops the rows that are finished. In wide
+matrices a round merges all occurrences of that pair in the rows where this gives the same ids.
 """
 
 from __future__ import annotations

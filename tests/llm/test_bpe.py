@@ -53,3 +53,12 @@ def test_round_trip_of_odd_rows(spark, reference):
     decoded = bpe.decode_ids(bpe.encode_texts(odd_docs(spark), PATH, PATTERN), PATH, PATTERN).collect()
     assert sorted(bytes(r.decoded) for r in decoded) == sorted((t or "").encode() for _, t, *_ in ODD)
     assert bpe.round_trip(no_docs(spark), PATH, PATTERN).count() == 0
+
+
+def test_wide_rows_give_the_ids_of_single_merges(monkeypatch):
+    ranked = bpe.RankedBytes(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(3)
+    pieces = [bytes(rng.choice(list(letters), n).astype(np.uint8)) for letters in (b"ab", b"aeinrst", bytes(range(97, 123))) for n in (65, 100, 200) for _ in range(20)]
+    wide = [x.tolist() for x in ranked.pieces(pieces)]
+    monkeypatch.setattr(bpe, "SHORT", 1 << 30)
+    assert wide == [x.tolist() for x in ranked.pieces(pieces)]
