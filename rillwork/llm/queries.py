@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwork.llm import blocks, bpe, chosen_path, covertree, hilbert, hosts, language, packing, secrets, sql, toxicity
+from rillwork.llm import blocks, bpe, chosen_path, compression, covertree, hilbert, hosts, language, packing, secrets, sql, toxicity
 from rillwork.llm.common import crc_of
 from rillwork.llm.registry import ORACLES, QUERIES, query, table
 
@@ -71,3 +71,8 @@ def hilbert_windows(spark, sf_dir):
 @query("op7_chosen_path_join")
 def chosen_path_join(spark, sf_dir):
     return chosen_path.jaccard_groups(table(spark, sf_dir, "documents")).drop("digest")
+
+
+@query("op11_compression_bands")
+def compression_bands(spark, sf_dir):
+    return compression.judge_texts(table(spark, sf_dir, "documents"))

@@ -19,6 +19,9 @@ COLUMNS = {
     "op8": ("embeddings", ["vec_id", "n_links", "component_id", "kept"]),
     "op9": ("documents", ["doc_id", "start", "n_tokens", "ids_crc32"]),
     "op10": ("documents", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
+    "op11": ("documents", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]),
+    "op12": (None, ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]),
+    "op13": ("documents", ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]),
 }
 
 
