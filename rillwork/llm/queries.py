@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwork.llm import blocks, bpe, chosen_path, compression, covertree, hilbert, hosts, language, packing, secrets, sql, toxicity
+from rillwork.llm import blocks, bpe, chosen_path, compression, covertree, hilbert, hosts, language, merkle, packing, secrets, sql, toxicity
 from rillwork.llm.common import crc_of
 from rillwork.llm.registry import ORACLES, QUERIES, query, table
 
@@ -76,3 +76,8 @@ def chosen_path_join(spark, sf_dir):
 @query("op11_compression_bands")
 def compression_bands(spark, sf_dir):
     return compression.judge_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op13_recomputed_proofs")
+def recomputed_proofs(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
