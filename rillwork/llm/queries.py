@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rillwork.llm import blocks, bpe, chosen_path, compression, covertree, hilbert, hosts, language, merkle, packing, secrets, sql, toxicity
+from rillwork.llm import blocks, bpe, chosen_path, compression, covertree, hilbert, hosts, language, merkle, negatives, packing, secrets, sql, toxicity
 from rillwork.llm.common import crc_of
 from rillwork.llm.registry import ORACLES, QUERIES, query, table
 
@@ -81,3 +81,8 @@ def compression_bands(spark, sf_dir):
 @query("op13_recomputed_proofs")
 def recomputed_proofs(spark, sf_dir):
     return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_rotated_codes")
+def rotated_codes(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
