@@ -78,7 +78,7 @@ def compression_bands(spark, sf_dir):
     return compression.judge_texts(table(spark, sf_dir, "documents"))
 
 
-@query("op13_recomputed_proofs")
+@query("op13_recomputed_proofs", sql.MERKLE_PROOFS)
 def recomputed_proofs(spark, sf_dir):
     return merkle.audit(table(spark, sf_dir, "documents"))
 

@@ -54,3 +54,52 @@ SELECT p.page_id, p.host, p.path, r.rule,
        coalesce(r.kind, CASE WHEN b.bound > 0.35::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, b.bound
 FROM parts p LEFT JOIN ruled r ON r.host = p.host AND r.path = p.path LEFT JOIN bounds b ON b.host = p.host
 """
+
+
+def merkle_proofs(levels: int = 8) -> str:
+    """Trees of up to 16**levels leaves, a step per level. A tree that is down to one node stays as it is."""
+    # crc32 of a number's decimal text, bit by bit; 3988292384 is the reversed polynomial.
+    byte_step = "list_reduce(list_prepend(xor(acc, b), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)"
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda acc, b: {byte_step}), 4294967295)"
+
+    def row_hash(text: str) -> str:
+        values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [f"""
+    hashed AS (SELECT doc_id, source, {row_hash("text")} AS leaf,
+        CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {row_hash(small)} ELSE {row_hash("text")} END AS now FROM documents),
+    docs AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot FROM hashed),
+    g0 AS (SELECT source AS tree, spot, leaf AS h, count(*) OVER (PARTITION BY source) AS w FROM docs)"""]
+
+    def climb(name: str) -> list[str]:
+        return [
+            f"""{name}{i}r AS (SELECT tree, spot // 16 AS run, list(h ORDER BY spot) AS hs, any_value(w) AS w FROM {name}{i} GROUP BY tree, spot // 16),
+    {name}{i + 1} AS (SELECT tree, run AS spot, CASE WHEN w > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, (w + 15) // 16 AS w FROM {name}{i}r)"""
+            for i in range(levels)
+        ]
+
+    def walk(begin: str, name: str, of: str) -> list[str]:
+        return [
+            f"""{name}p{i + 1} AS (SELECT p.* EXCLUDE (spot, node, proof), p.spot // 16 AS spot,
+        CASE WHEN w > 1 THEN sha256(array_to_string(hs[1:p.spot % 16], '') || node || array_to_string(hs[p.spot % 16 + 2:], '')) ELSE node END AS node,
+        CASE WHEN w > 1 THEN proof || array_to_string(hs[1:p.spot % 16], '') || array_to_string(hs[p.spot % 16 + 2:], '') ELSE proof END AS proof
+        FROM {f"{name}p{i}" if i else begin} p JOIN {name}{i}r r ON r.tree IS NOT DISTINCT FROM {of} AND r.run = p.spot // 16)"""
+            for i in range(levels)
+        ]
+
+    steps += climb("g")
+    steps.append(f"t0 AS (SELECT 'all' AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS spot, h, count(*) OVER () AS w, tree AS source FROM g{levels})")
+    steps += climb("t")
+    steps.append("begun AS (SELECT doc_id, source, leaf, spot, now AS node, '' AS proof FROM docs)")
+    steps += walk("begun", "g", "p.source")
+    steps.append(f"""placed AS (SELECT p.doc_id, p.leaf, t0.h AS subroot, t0.spot, p.node, p.proof
+        FROM gp{levels} p JOIN t0 ON t0.source IS NOT DISTINCT FROM p.source)""")
+    steps += walk("placed", "t", "'all'")
+    return "WITH " + ",\n    ".join(steps) + f"""
+    SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = t.h AS verified FROM tp{levels}, t{levels} t"""
+
+
+MERKLE_PROOFS = merkle_proofs()
