@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillwork.llm.common import renamed, text_slices
+from rillwork.llm.common import map_frames, renamed, text_slices
 from rillwork.llm.tokens import library_memory
 from rillwork.session import fresh_dir, settle
 from rillwork.storage import open_path
@@ -46,13 +46,13 @@ def pack(ids: np.ndarray, share: float = SHARE) -> list[bytes]:
         some = np.concatenate([some, np.full(rest, some[(count - 1) * BLOCK :].min())]).reshape(count, BLOCK)
         least = some.min(axis=1)
         some -= least[:, None]
-        bits = np.ceil(np.log2(some + 1.0)).astype(np.int64)
+        bits = np.frexp(some.astype(np.float64))[1]
         widths = np.sort(bits, axis=1)[:, int(share * (BLOCK - 1))]
         made: list[bytes] = [b""] * count
         for width in np.unique(widths):
             own = np.flatnonzero(widths == width)
-            low = (some[own, :, None] >> np.arange(width)) & 1 if width else np.zeros((len(own), 0))
-            body = np.packbits(low.astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+            low = np.unpackbits(some[own].astype("<u4").reshape(-1, 1).view(np.uint8), axis=1, bitorder="little")[:, :width]
+            body = np.packbits(low.reshape(len(own), BLOCK * width), axis=1, bitorder="little")
             for row, data in zip(own, body, strict=True):
                 at = np.flatnonzero(some[row] >> width)
                 high = some[row, at] >> width
@@ -65,7 +65,9 @@ def unpack_block(data: memoryview) -> np.ndarray:
     least, width, exceptions = HEAD.unpack_from(data)
     at = HEAD.size + packed_size(width)
     bits = np.unpackbits(np.frombuffer(data, np.uint8, packed_size(width), HEAD.size), bitorder="little")
-    out = bits.reshape(BLOCK, width).astype(np.int64) @ (1 << np.arange(width)) if width else np.zeros(BLOCK, np.int64)
+    full = np.zeros((BLOCK, 32), np.uint8)
+    full[:, :width] = bits.reshape(BLOCK, width)
+    out = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
     places = np.frombuffer(data, "<u2", exceptions, at)
     out[places] |= np.frombuffer(data, "<u4", exceptions, at + 2 * exceptions).astype(np.int64) << width
     return out + least
@@ -179,7 +181,7 @@ def write_tokens(
     own = renamed(docs, doc_id=doc_id, text=text)
     parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return settle(ordered.mapInPandas(run, MANIFEST), "manifest")
+    return settle(map_frames(ordered, run, MANIFEST), "manifest")
 
 
 ROWS = T.StructType([T.StructField("partition", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("local", T.LongType()),
@@ -195,14 +197,13 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
             for data in batch["content"]:
                 file = TokenFile(data)
                 rows = [(file.partition, d, at, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, at, x in file.documents()]
-                frame = pd.DataFrame(rows, columns=ROWS.names)
-                yield frame.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=ROWS.names, dtype=object)
 
     totals = manifest.groupBy("partition").agg(F.sum("n_ids").alias("n"))
     earlier = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("partition", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.pfor").load(folder).select("content")
-    decoded = files.mapInPandas(run, ROWS)
+    decoded = map_frames(files, run, ROWS)
     return decoded.join(bases, "partition").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rillwork.llm.common import pick_runs, ranges, renamed, text_slices
+from rillwork.llm.common import map_frames, pick_runs, ranges, renamed, text_slices
 from rillwork.llm.hashing import KeyTable
 from rillwork.llm.tokens import shared_memory
 
@@ -182,7 +182,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id
                 cuts = np.cumsum(counts)[:-1]
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, "ids": [x.astype("<u4").tobytes() for x in np.split(ids, cuts)]})
 
-    return renamed(docs, doc_id=doc_id, text=text).mapInPandas(run, IDS_SCHEMA)
+    return map_frames(renamed(docs, doc_id=doc_id, text=text), run, IDS_SCHEMA)
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -195,7 +195,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 some = batch.iloc[a : a + 256]
                 yield some.assign(decoded=[own.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in some["ids"]])
 
-    return encoded.mapInPandas(run, T.StructType([*IDS_SCHEMA.fields, T.StructField("decoded", T.BinaryType())]))
+    return map_frames(encoded, run, T.StructType([*IDS_SCHEMA.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,4 +216,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
                     "decoded_sha256": [hashlib.sha256(own.decode(x.astype(np.int64))).hexdigest() for x in ids],
                 })
 
-    return renamed(docs, doc_id=doc_id, text=text).mapInPandas(run, SCHEMA)
+    return map_frames(renamed(docs, doc_id=doc_id, text=text), run, SCHEMA)

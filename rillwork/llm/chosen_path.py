@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillwork.llm.common import groups_of, renamed, starts_of, text_slices
+from rillwork.llm.common import groups_of, map_frames, renamed, shielded, starts_of, text_slices
 from rillwork.llm.components import stars
 from rillwork.llm.covertree import merge
 from rillwork.llm.tokens import span_hashes
@@ -129,10 +129,10 @@ def signed(docs: DataFrame, words: int, threshold: float, runs: int) -> DataFram
                     digest = digest_of(tokens)
                     paths = [p.astype(np.int64) for p in paths_of(tokens, threshold, runs)]
                     rows.append((int(doc_id), digest, len(tokens), sketch_of(tokens), *paths))
-                frame = pd.DataFrame(rows, columns=["doc_id", "digest", "size", "sketch", "first", "parents", "seconds"])
-                yield frame.astype({"doc_id": "Int64"})
+                frame = pd.DataFrame(rows, columns=["doc_id", "digest", "size", "sketch", "first", "parents", "seconds"], dtype=object)
+                yield frame
 
-    return docs.mapInPandas(run, SIGNED)
+    return map_frames(docs, run, SIGNED)
 
 
 def dealt_in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
@@ -322,19 +322,21 @@ def jaccard_groups(
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, runs: int = RUNS) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, others) that ``jaccard_groups`` keeps, one of those that repeat doc_id and set."""
-    columns = docs.columns
-    gone = jaccard_groups(docs, threshold, words, runs).filter("NOT kept").select("doc_id", F.hex("digest").alias("set_")).distinct()
+    """The rows of ``docs`` (doc_id, text, others, whatever their names) that ``jaccard_groups`` keeps, one of those that
+    repeat doc_id and set."""
+    names, docs = docs.columns, shielded(docs)
+    columns, own_id, own_text = docs.columns, docs.columns[names.index("doc_id")], docs.columns[names.index("text")]
+    gone = jaccard_groups(docs, threshold, words, runs, own_id, own_text).filter("NOT kept").select(F.col("doc_id").alias(own_id), F.hex("digest").alias("set_")).distinct()
     schema = T.StructType([*docs.schema.fields, T.StructField("row_", T.LongType()), T.StructField("set_", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, b in text_slices([t or "" for t in batch["text"]]):
+            for a, b in text_slices([t or "" for t in batch[own_text]]):
                 part = batch.iloc[a:b]
-                sets = shingle_sets([t or "" for t in part["text"]], words)
-                own = [None if pd.isna(d) or not len(s) else digest_of(s).hex().upper() for d, s in zip(part["doc_id"], sets, strict=True)]
+                sets = shingle_sets([t or "" for t in part[own_text]], words)
+                own = [None if pd.isna(d) or not len(s) else digest_of(s).hex().upper() for d, s in zip(part[own_id], sets, strict=True)]
                 yield part.assign(set_=own)
 
-    marked = docs.withColumn("row_", F.monotonically_increasing_id()).mapInPandas(run, schema)
+    marked = map_frames(docs.withColumn("row_", F.monotonically_increasing_id()), run, schema)
     marked = marked.withColumn("set_", F.coalesce("set_", F.col("row_").cast("string")))  # rows without a set stay apart
-    return marked.join(settle(gone, "gone"), ["doc_id", "set_"], "left_anti").dropDuplicates(["doc_id", "set_"]).select(columns)
+    return marked.join(settle(gone, "gone"), [own_id, "set_"], "left_anti").dropDuplicates([own_id, "set_"]).select(columns).toDF(*names)

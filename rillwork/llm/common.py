@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 #: Rows in an Arrow batch: whole texts go to Python, and two batches must fit beside a worker's own memory.
@@ -20,11 +24,42 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType | str) -> DataFrame:
+    """``mapInPandas`` that keeps large integers beside nulls: such a column of a batch comes as ``Int64``, not as floats."""
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    target = to_arrow_schema(wanted)
+
+    def as_series(values: pa.Array) -> pd.Series:
+        whole = pa.types.is_integer(values.type) and values.null_count
+        return values.to_pandas(types_mapper=(lambda _: pd.Int64Dtype()) if whole else None)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({name: as_series(values) for name, values in zip(batch.schema.names, batch.columns, strict=True)})
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(frames(batches)):
+            yield pa.RecordBatch.from_pandas(frame[target.names], schema=target, preserve_index=False)
+
+    return df.mapInArrow(mapped, wanted)
+
+
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: whatever else the input has cannot clash."""
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
+def shielded(df: DataFrame) -> DataFrame:
+    """The same columns under names that no operator uses; ``toDF`` with the old names brings them back."""
+    return df.toDF(*[f"column {i}" for i in range(len(df.columns))])
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The columns but those that a result of these names takes the place of, upper and lower case alike."""
+    taken = {n.lower() for n in names}
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
+
+
 def crc_of(column: str) -> Column:
     """crc32 of a value as text; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -65,8 +100,6 @@ def groups_of(batches, columns: list[str]):
 
     The input is partitioned and sorted by these columns. Only the last, unfinished group of a batch is carried over.
     """
-    import pandas as pd
-
     rest = None
     for batch in batches:
         if rest is not None:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import groups_of, sampled_share, starts_of
+from rillwork.llm.common import groups_of, map_frames, sampled_share, starts_of
 from rillwork.llm.covertree import usable
 from rillwork.session import settle
 
@@ -206,7 +206,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = settle(held.unionByName(sent), "windows").repartitionByRange(parts, "size", "curve", "slot").sortWithinPartitions("size", "curve", "slot")
-    some = dealt.mapInPandas(search, BEST)
+    some = map_frames(dealt, search, BEST)
     final = some.repartition(parts, "query_id").sortWithinPartitions("query_id", "size").mapInPandas(lambda b: merged(b, keep), BEST)
     pairs = final.select("query_id", F.explode(F.arrays_zip("nodes", "scores")).alias("x"))
     pairs = settle(pairs.select("query_id", F.col("x.nodes").alias("node"), F.col("x.scores").alias("score")), "pairs")

@@ -3,7 +3,7 @@
 Labelled page outcomes are shrunk through beta-binomial priors from host to registered domain to suffix: the suffix
 leans on the overall rate, the domain on its suffix, the host on its domain. The weight of each prior is estimated from
 the spread of the rates one level below it (method of moments). A host is blocked when the lower bound of its posterior
-rate of bad pages exceeds a limit. Rules for hosts and path prefixes come first.
+rate of bad pages exceeds a limit; the bound is that of a normal approximation. Rules for hosts and path prefixes come first.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from rillwork.llm.common import renamed
 from rillwork.session import settle
 
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: What stands between user and port, and which of these are addresses: four numbers, or anything in brackets.
+NAME = r"(?s)^(?:.*@)?(\[[^\]]*\]|[^:]*)"
+ADDRESS = r"^(\[.*|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Weights of a prior, in pages, between which the estimate is kept.
 WEIGHTS = (1.0, 10000.0)
@@ -32,13 +35,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL_PARTS, 2), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_extract(host, NAME, 1)
+
+
+def is_address(name: Column) -> Column:
+    return F.rlike(name, F.lit(ADDRESS))
+
+
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The last label; an address has no labels and is its own suffix."""
+    name = name_of(host)
+    return F.when(is_address(name), name).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    """The registered domain, taken as the last two labels."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain, taken as the last two labels; an address is its own domain."""
+    name = name_of(host)
+    return F.when(is_address(name), name).otherwise(F.substring_index(name, ".", -2))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:

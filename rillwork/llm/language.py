@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillwork.llm.common import renamed, sampled_share, text_slices
+from rillwork.llm.common import map_frames, renamed, sampled_share, text_slices, without
 from rillwork.llm.hashing import KeyTable
 
 ORDER = 4
@@ -194,8 +194,10 @@ def predict(docs: DataFrame, trees: ByteTrees | None) -> DataFrame:
 
     A null text or one without a letter gets ``und`` and 0, as does every text when there are no trees. The score is the
     probability of the predicted language given the code lengths, all languages alike beforehand; equal code lengths go
-    to the first language by name. Rows are judged one by one, whatever their other columns hold.
+    to the first language by name. Rows are judged one by one, whatever their other columns hold; columns that are called
+    lang_pred or score already give way.
     """
+    docs = without(docs, "lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
@@ -213,7 +215,7 @@ def predict(docs: DataFrame, trees: ByteTrees | None) -> DataFrame:
                     langs[known], scores[known] = np.array(model.langs, object)[best], 1 / rest
                 yield part.assign(lang_pred=langs, score=scores)
 
-    return docs.mapInPandas(run, schema)
+    return map_frames(docs, run, schema)
 
 
 def identify(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillwork.llm.common import groups_of, renamed, text_slices
+from rillwork.llm.common import groups_of, map_frames, renamed, text_slices
 from rillwork.llm.tokens import library_memory
 from rillwork.session import settle
 
@@ -143,11 +143,11 @@ def pack_documents(
                 bins[loose] = own + bins.max(initial=-1) + 1
                 yield group.assign(bin=bins, offset=offsets)
 
-    pieces = settle(renamed(docs, doc_id=doc_id, text=text).mapInPandas(run, PIECES), "pieces")
+    pieces = settle(map_frames(renamed(docs, doc_id=doc_id, text=text), run, PIECES), "pieces")
     group = F.floor(F.col("worker") / WORKERS)
     loose = pieces.filter("bin IS NULL").withColumn("worker", group).repartition("worker").sortWithinPartitions("worker", "class", "doc_id", "start")
     columns = [F.col(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
     # Even numbers for sequences of one worker, odd ones for those of a group.
     local = pieces.filter("bin IS NOT NULL").select(*columns, ((F.col("worker") * (1 << 40) + F.col("bin")) * 2).alias("sequence_id"), "offset")
-    shared = loose.mapInPandas(finish, PIECES).select(*columns, ((F.col("worker") * (1 << 40) + F.col("bin")) * 2 + 1).alias("sequence_id"), "offset")
+    shared = map_frames(loose, finish, PIECES).select(*columns, ((F.col("worker") * (1 << 40) + F.col("bin")) * 2 + 1).alias("sequence_id"), "offset")
     return local.unionByName(shared)

@@ -17,10 +17,11 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 @query("op4_host_reputation", sql.HOST_REPUTATION)
 def host_reputation(spark, sf_dir):
-    """A page's outcome is the label that carries its number: bad if it is marked toxic or of low quality."""
+    """A page's outcome is the label that carries its number: bad if it is marked toxic or of low quality.
+    Hosts without labelled pages are judged by what their domain, suffix or the overall rate says."""
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return hosts.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    return hosts.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES, unlabelled=True)
 
 
 @query("op9_token_blocks")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillwork.llm.common import map_frames, shielded
 from rillwork.session import settle
 
 # Fixed patterns of the contract: kinds in their order.
@@ -85,7 +86,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
                     found.append([(k, a, b, v, hashlib.sha256(t[v:b].encode()).hexdigest()) for k, a, b, v in spans])
                 yield part.assign(**{f"n_{k}": [c[k] for c in counts] for k in KINDS[:3]}, base_sha256=shas, found=found)
 
-    return docs.mapInPandas(run, schema)
+    return map_frames(docs, run, schema)
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -143,9 +144,13 @@ def span_text(spans: Column) -> Column:
 
 def mask_live(docs: DataFrame, mask: str = "[SECRET]", **how) -> DataFrame:
     """``docs`` with the values of live-looking spans replaced in ``text`` and n_chars counted anew; other rows and
-    columns as they are. Overlapping spans are masked as one."""
+    columns as they are, whatever their names. Overlapping spans are masked as one."""
+    names, kinds, docs = docs.columns, docs.schema, shielded(docs)
     columns, types = docs.columns, docs.schema
-    weighed = weigh_secrets(docs, keep=tuple(columns), **how)
+    own = dict(zip(names, columns, strict=True))
+    body = own[how.get("text", "text")]
+    named = {k: own[how.get(k, v)] for k, v in {"text": "text", "repository": "source", "owner": "source"}.items()}
+    weighed = weigh_secrets(docs, keep=tuple(columns), **{**how, **named})
 
     def cut(text: str, spans) -> str:
         out, at = [], 0
@@ -159,10 +164,10 @@ def mask_live(docs: DataFrame, mask: str = "[SECRET]", **how) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [cut(t, s) if t else t for t, s in zip(batch["text"], batch["found"], strict=True)]
-            yield batch[columns].assign(text=texts)
+            texts = [cut(t, s) if t else t for t, s in zip(batch[body], batch["found"], strict=True)]
+            yield batch[columns].assign(**{body: texts})
 
-    hit = weighed.filter("n_live > 0").select(*columns, "found").mapInPandas(run, types)
-    if "n_chars" in columns:
-        hit = hit.withColumn("n_chars", F.length("text").cast(types["n_chars"].dataType)).select(*columns)
-    return weighed.filter("n_live = 0").select(*columns).unionByName(hit)
+    hit = map_frames(weighed.filter("n_live > 0").select(*columns, "found"), run, types)
+    if "n_chars" in own:
+        hit = hit.withColumn(own["n_chars"], F.length(F.col(body)).cast(kinds["n_chars"].dataType)).select(*columns)
+    return weighed.filter("n_live = 0").select(*columns).unionByName(hit).toDF(*names)

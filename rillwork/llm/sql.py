@@ -6,14 +6,18 @@ WITH parts AS (
            translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
            coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
     FROM pages),
+names AS (
+    SELECT host, CASE WHEN regexp_matches(name, '^(\[.*|[0-9]{1,3}(\.[0-9]{1,3}){3})$') THEN name
+                      ELSE array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') END AS domain,
+           CASE WHEN regexp_matches(name, '^(\[.*|[0-9]{1,3}(\.[0-9]{1,3}){3})$') THEN name ELSE list_extract(string_split(name, '.'), -1) END AS suffix
+    FROM (SELECT DISTINCT host, regexp_extract(host, '(?s)^(?:.*@)?(\[[^\]]*\]|[^:]*)', 1) AS name FROM parts)),
 outcomes AS (
     SELECT p.host, CASE WHEN l.toxic = 1 OR l.quality = 0 THEN 1 ELSE 0 END AS bad
     FROM parts p JOIN labels l ON l.doc_id = p.page_id
     WHERE l.toxic IS NOT NULL OR l.quality IS NOT NULL),
 host_counts AS (
-    SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix,
-           count(*) AS n, sum(bad)::BIGINT AS bad
-    FROM outcomes GROUP BY host),
+    SELECT host, domain, suffix, count(*) AS n, sum(bad)::BIGINT AS bad
+    FROM outcomes JOIN names USING (host) GROUP BY host, domain, suffix),
 domain_counts AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM host_counts GROUP BY domain, suffix),
 suffix_counts AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM host_counts GROUP BY suffix),
 grouped AS (
@@ -40,7 +44,11 @@ domain_means AS (
     FROM domain_counts d JOIN suffix_means s USING (suffix) JOIN weights w ON w.level = 'domain'),
 host_means AS (
     SELECT h.host, (h.bad + w.weight * d.m) / (h.n + w.weight) AS m, h.n + w.weight AS size
-    FROM host_counts h JOIN domain_means d USING (domain) JOIN weights w ON w.level = 'host'),
+    FROM host_counts h JOIN domain_means d USING (domain) JOIN weights w ON w.level = 'host'
+    UNION ALL
+    SELECT x.host, coalesce(d.m, s.m, w.rate), w.weight
+    FROM (SELECT * FROM names WHERE host NOT IN (SELECT host FROM host_counts)) x
+    JOIN weights w ON w.level = 'host' LEFT JOIN domain_means d USING (domain) LEFT JOIN suffix_means s ON s.suffix = x.suffix),
 bounds AS (SELECT host, round(m - 1.64::DOUBLE * sqrt(m * (1 - m) / (size + 1)), 6) AS bound FROM host_means),
 rules(kind, rule, rule_host, rule_path) AS (
     VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),

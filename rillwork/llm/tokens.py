@@ -35,6 +35,13 @@ LETTER, SIGN = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = True
 
+# White space other than space and line break, of one byte and of several, as numbers of their bytes.
+ODD_SPACE, LEADS = np.zeros(256, bool), np.zeros(256, bool)
+ODD_SPACE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE_SPACES = np.array([int.from_bytes(c.encode(), "big") for c in WIDE_SPACE])
+LEADS[[c.encode()[0] for c in WIDE_SPACE]] = True
+
 
 class Powers:
     """Powers of the hash's base and of its inverse modulo 2**64, as far as they were needed."""
@@ -78,9 +85,22 @@ def part_starts(data: np.ndarray, sizes: np.ndarray, regular: np.ndarray) -> np.
     return np.flatnonzero(cut[:-1])
 
 
-def is_regular(text: str) -> bool:
-    """White space is single spaces and line breaks inside the text."""
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+def regular_texts(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which texts of these sizes, one after the other, have no white space but single spaces and line breaks."""
+    regular = np.ones(len(sizes), bool)
+    ends = np.cumsum(sizes)
+    space = (data == 32) | (data == 10)
+    touching = space[:-1] & space[1:]
+    touching[ends[(ends > 0) & (ends < len(data))] - 1] = False  # of two texts
+    wide = np.flatnonzero(data >= 0xC2)
+    wide = wide[LEADS[data[wide]]]
+    codes = np.zeros(len(wide), np.int64)
+    for k in range(3):
+        codes = codes << 8 | np.where(wide + k < len(data), data[np.minimum(wide + k, len(data) - 1)], 0)
+    odd = np.isin(codes, WIDE_SPACES) | np.isin(codes >> 8, WIDE_SPACES)
+    for bad in (np.flatnonzero(touching), np.flatnonzero(ODD_SPACE[data]), wide[odd]):
+        regular[np.searchsorted(ends, bad, side="right")] = False
+    return regular
 
 
 class WordMemory:
@@ -120,7 +140,7 @@ class WordMemory:
         data = np.frombuffer(whole, np.uint8)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        begins = part_starts(data, sizes, np.array([is_regular(t) and not self.uncut(t) for t in texts], bool))
+        begins = part_starts(data, sizes, regular_texts(data, sizes) & ~np.array([self.uncut(t) for t in texts], bool))
         ends = np.append(begins[1:], len(data))
         keys = span_hashes(data, begins, ends)
         place = self.table(keys)

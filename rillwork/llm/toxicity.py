@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillwork.llm.common import renamed, sampled_share, text_slices
+from rillwork.llm.common import map_frames, renamed, sampled_share, text_slices, without
 from rillwork.session import settle
 
 #: Fixed table: what a sign may stand for.
@@ -378,8 +378,9 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with score and predicted beside their own columns, from ``text`` alone.
 
     The score is a logistic one of what the restored words weigh together, by their share, and at most; a null or empty
-    text has no words. Rows are judged one by one.
+    text has no words. Rows are judged one by one; columns that are called score or predicted already give way.
     """
+    docs = without(docs, "score", "predicted")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -391,7 +392,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 scores = np.array([own.score(t) for t in part["text"]])
                 yield part.assign(score=scores, predicted=(scores >= 0.5).astype(np.int32))
 
-    return docs.mapInPandas(run, schema)
+    return map_frames(docs, run, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

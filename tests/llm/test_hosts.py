@@ -7,7 +7,7 @@ from rillwork.llm.queries import URL_RULES
 
 URLS = [
     "http://A.Example.NET/en/x?y#z", "http://net/", "http://net", "https://xnet/", "http://b.net?q", "ftp://example.com/de/1", "http://EXAMPLE.com/fr/", "x://org/fr/", "x://a.b.org/fr",
-    "no scheme", "", None, "a://b://c/d", "http:///path", "http://é.NET/ä", "line\nhttp://h.net/\n#x", "http://h.net:80/", "http://example.net/en", "http://sub.example.net/en/a",
+    "http://u:p@h1.example.org:8080/", "http://10.0.0.1/x", "http://10.0.0.1:80/y", "http://[::1]:80/", "http://new.example.org/", "http://z.example.zz/", "no scheme", "", None, "a://b://c/d", "http:///path", "http://é.NET/ä", "line\nhttp://h.net/\n#x", "http://h.net:80/", "http://example.net/en", "http://sub.example.net/en/a",
 ]
 
 
@@ -27,7 +27,7 @@ def outcomes(labels):
 
 def test_as_the_sql(tables):
     pages, labels = tables
-    got = hosts.judge_urls(pages, outcomes(labels), URL_RULES)
+    got = hosts.judge_urls(pages, outcomes(labels), URL_RULES, unlabelled=True)
     con = duckdb.connect()
     con.register("pages", pages.toArrow())
     con.register("labels", labels.toArrow())
@@ -73,3 +73,11 @@ def test_no_labels_at_all_block_nothing(tables):
     pages, labels = tables
     rows = hosts.judge_urls(pages, outcomes(labels.limit(0)), [], unlabelled=True).collect()
     assert rows and all(r.verdict == "allow" and r.bound is None for r in rows)
+
+
+def test_parts_of_hosts(spark):
+    hosts_given = {"h.net:80": ("h.net", "net"), "u:p@a.b.org:8080": ("b.org", "org"), "10.0.0.1": ("10.0.0.1",) * 2, "10.0.0.1:80": ("10.0.0.1",) * 2,
+                   "[::1]:80": ("[::1]",) * 2, "net": ("net", "net"), "": ("", ""), "1.2.3.org": ("3.org", "org")}
+    df = spark.createDataFrame([(h,) for h in hosts_given], "host string")
+    got = df.select("host", hosts.domain_of(F.col("host")), hosts.suffix_of(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == hosts_given

@@ -69,3 +69,34 @@ def test_queries_encode_as_the_unaltered_library(spark, folder, query, name):
     spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     got = {r.doc_id: r.ids_crc32 for r in QUERIES[query](spark, folder).collect()}
     assert got == {i: crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in enumerate(SPECIAL)}
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_white_space_as_the_library_has_it(name):
+    """Runs, tabs and wide spaces that make up for each other in number."""
+    library, memory = libraries(name), tokens.library_memory(public_tokenizers.path(name))
+    given_texts = ["Name\tQty\tSum\n\n\nTotal", "a\tb\tc\n\n", "a b \n c", " a", "a ", "\na\n", "a  b\nc", "x\x1cy  z", "　", "a\u0085\n b", "’ “a” …\n\n", "a\n"]
+    ids, counts = memory.ids(given_texts)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in given_texts]
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.text(alphabet=" \n\t\rab.  　é’", max_size=16), max_size=8))
+    def check(texts):
+        ids, counts = memory.ids(texts)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    check()
+
+
+def test_regular_texts_by_rule():
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.text(alphabet=" \n\t\x1cab\u0085    　é’‐日", max_size=12), max_size=6))
+    def check(texts):
+        raw = [t.encode() for t in texts]
+        got = tokens.regular_texts(np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64))
+        plain = [not any(c.isspace() and c not in " \n" for c in t) and not any(a.isspace() and b.isspace() for a, b in zip(t, t[1:], strict=False)) for t in texts]
+        assert got.tolist() == plain
+
+    check()
