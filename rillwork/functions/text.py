@@ -39,6 +39,11 @@ def _score_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         )
 
 
+def measured(left: Column | str, right: Column | str) -> Column:
+    """Similarity score of two columns; null where a side is missing."""
+    return _score_batches(left, right)
+
+
 def similarity(left: Column | str, right: Column | str) -> Column:
     """Similarity score of two columns; 0 where a side is missing."""
     return F.coalesce(_score_batches(left, right), F.lit(0))
