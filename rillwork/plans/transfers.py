@@ -48,8 +48,8 @@ def table_to_files(
 def files_to_table(spark: SparkSession, files: str | list[str], table: str, multi_line: bool = False) -> None:
     """Append CSV files to a table, columns matched by position. The table's types are used to read.
 
-    Files are split among tasks. Switch ``multi_line`` on for files with line breaks inside quotes, which keeps each file
-    in one task.
+    Files are split among tasks. Switch ``multi_line`` on for files with line breaks inside quotes, which reads them
+    twice.
     """
     insert_by_position(read_csv(spark, files, spark.table(table).schema, multi_line=multi_line), table)
 

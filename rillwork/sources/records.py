@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import itertools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -12,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillwork.sources.quoted import read_quoted_csv
+
 # Quotes are doubled inside quoted fields, and spaces belong to the value.
 CSV_TEXT = {
     "quote": '"',
@@ -36,42 +35,20 @@ def read_csv(
 ) -> DataFrame:
     """CSV with given types. With ``header=False`` the first line is data, as when names are given.
 
-    ``multi_line`` allows line breaks inside quotes; such files cannot be split, so keep them off large
-    files. ``skip_rows`` drops the first lines of every file before the header; with ``multi_line`` the rest of each file
-    is taken apart by one task, line breaks in quotes included.
+    ``multi_line`` allows line breaks inside quotes; such files are split among tasks as well (``sources.quoted``), and read
+    twice. ``skip_rows`` drops the first lines of every file before the header.
     """
     schema = _schema(schema)
-    if skip_rows and multi_line:
-        return _read_whole_files(spark, path, schema, delimiter, skip_rows + int(header))
+    if multi_line:
+        return read_quoted_csv(spark, path, schema, delimiter, header, skip_rows)
     if not skip_rows:
-        reader = spark.read.schema(schema).options(**CSV_TEXT, sep=delimiter, header=header, multiLine=multi_line)
-        return reader.csv(path)
+        return spark.read.schema(schema).options(**CSV_TEXT, sep=delimiter, header=header).csv(path)
     lines = without_first_lines(spark, path, skip_rows + int(header))
     options = {**CSV_TEXT, "sep": delimiter}
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return lines.filter("value <> ''").select(F.from_csv("value", fields, options).alias("r")).select("r.*")
 
 
-def _read_whole_files(spark: SparkSession, path: str | list[str], schema: T.StructType, delimiter: str, skip: int) -> DataFrame:
-    """Records with line breaks inside quotes, after the first ``skip`` lines of each file."""
-    names = [f"_{i}" for i in range(len(schema.fields))]
-
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                lines = io.StringIO(bytes(content).decode("utf-8"), newline="")
-                for _ in range(skip):
-                    lines.readline()
-                rows = (r for r in csv.reader(lines, delimiter=delimiter) if r)
-                while part := list(itertools.islice(rows, 10_000)):
-                    yield pd.DataFrame([(r + [None] * len(names))[: len(names)] for r in part], columns=names)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    texts = files.mapInPandas(records, ", ".join(f"{n} string" for n in names))
-    fields = [F.nullif(F.col(n), F.lit("")).try_cast(f.dataType).alias(f.name) for n, f in zip(names, schema.fields)]
-    return texts.select(*fields)
-
-
 def without_first_lines(spark: SparkSession, path: str | list[str], n: int) -> DataFrame:
     """Lines of text files but the first ``n`` of each file.
 
