@@ -6,18 +6,14 @@ the ``foreachBatch`` sinks overwrite a folder named after the batch id.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rillwork import storage
-from rillwork.functions.intervals import truncate
 from rillwork.sources.files import STAMP
 from rillwork.sources.records import CSV_TEXT
 
@@ -58,33 +54,6 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], check
     run_available(stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
-def run_number(checkpoint: str) -> int:
-    """When the job of a checkpoint first ran, in microseconds; kept beside the checkpoint."""
-    system, path = storage.open_path(f"{checkpoint.rstrip('/')}-run")
-    if system.get_file_info(path).type == fs.FileType.NotFound:
-        storage.write_chunks(f"{checkpoint.rstrip('/')}-run", [str(time.time_ns() // 1000).encode()])
-    return int(b"".join(storage.read_chunks(f"{checkpoint.rstrip('/')}-run")))
-
-
-def reload_from_stream(stream: DataFrame, path: str, checkpoint: str, ts: str, unit: str = "day") -> None:
-    """Land a stream by run interval. Late rows re-open their interval.
-
-    A micro-batch writes one folder per interval it touches, below the interval and named after the
-    run (its checkpoint) and the batch. The interval then holds the rows of all batches of its newest
-    run without the older ones being read or written again: a run with a new checkpoint takes the
-    place of earlier ones, however it cuts its batches. The rebalance hint gathers the rows of an
-    interval into few files and splits an interval that is too large for one task.
-    """
-    run = run_number(checkpoint)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.withColumns({"_interval_start": truncate(ts, unit), "_run": F.lit(run), "_batch_id": F.lit(batch_id)})
-        writer = placed.hint("rebalance", "_interval_start").write.partitionBy("_interval_start", "_run", "_batch_id")
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-
-    each_batch(stream, write, checkpoint)
-
-
 def ingest_csv_tables(
     spark: SparkSession,
     base: str,
@@ -99,15 +68,6 @@ def ingest_csv_tables(
         ingest(files, target, f"{checkpoint}/{name}")
 
 
-def read_reloaded(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The intervals written by ``reload_from_stream``, each from its newest run."""
-    places = [T.StructField("_interval_start", T.TimestampNTZType()), T.StructField("_run", T.LongType()), T.StructField("_batch_id", T.LongType())]
-    rows = spark.read.schema(T.StructType([*schema.fields, *places])).parquet(path)
-    # Folder names alone: one row per interval.
-    newest = rows.groupBy("_interval_start").agg(F.max("_run").alias("_run"))
-    return rows.join(newest, ["_interval_start", "_run"], "left_semi").select(*schema.fieldNames(), "_interval_start")
-
-
 def route_stream(stream: DataFrame, path: str, checkpoint: str, kinds: Sequence[str], type_column: str) -> None:
     """Each message type in a folder of its own, from one pass over the stream; other types vanish."""
     routed = stream.filter(F.col(type_column).isin(*kinds)).withColumn("route", F.col(type_column))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyarrow import fs
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillwork.functions.intervals import interval_tick, next_tick
 from rillwork.storage import open_path
 from rillwork.streaming.ingest import each_batch
 
@@ -20,8 +22,29 @@ def latest_state(df: DataFrame, key: Sequence[str], order: Sequence[str], values
     return df.groupBy(*key).agg(last).select(*key, "_last.*")
 
 
+#: No interval of a schedule is longer.
+LONGEST = {"@hourly": "1 hour", "@daily": "1 day", "@weekly": "7 days", "@monthly": "31 days", "@quarterly": "92 days", "@yearly": "366 days"}
+
+
+def scheduled_stream(stream: DataFrame, ts: str, schedule: str, *aggregates: Column, delay: str | None = None) -> DataFrame:
+    """Aggregate a stream per run interval of a schedule, the intervals that ``operators.intervals.tumbling`` has: weeks
+    from Sunday, months, ``rate(45 minutes)`` and so on.
+
+    With ``delay`` the state of old intervals is dropped. Rows that come up to ``delay`` after the end of their interval always
+    count; an interval is kept for at most that long and one interval more. The zone of the session must be UTC.
+    """
+    ends = next_tick(interval_tick(ts, schedule), schedule)
+    timed = stream.withColumn("interval_start", interval_tick(ts, schedule)).withColumn("_end", ends.cast("timestamp"))
+    if delay:
+        length = LONGEST.get(schedule) or re.search(r"\d+\s+\w+", schedule).group()
+        timed = timed.withWatermark("_end", f"{delay} {length}")
+    grouped = timed.groupBy("_end", "interval_start").agg(*aggregates)
+    return grouped.select("interval_start", F.col("_end").cast("timestamp_ntz").alias("interval_end"), *grouped.columns[2:])
+
+
 def tumbling_stream(stream: DataFrame, ts: str, length: str, *aggregates: Column, delay: str | None = None) -> DataFrame:
-    """Aggregate a stream per tumbling interval. Late rows count, however late they are, and the state of every interval
+    """Aggregate a stream per tumbling interval of a fixed length, counted from the epoch (for weeks and months see
+    ``scheduled_stream``). Late rows count, however late they are, and the state of every interval
     is kept on disk. With ``delay`` the state of older intervals is dropped, and rows later than that are not counted any
     more. The zone of the session must be UTC."""
     timed = stream.withColumn("_at", F.col(ts).cast("timestamp"))

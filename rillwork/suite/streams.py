@@ -6,7 +6,7 @@ from rillwork.functions.json_values import pick, record_text
 from rillwork.session import fresh_dir
 from rillwork.operators.flow import union_inputs
 from rillwork.sources.files import list_files
-from rillwork.streaming import ingest, state
+from rillwork.streaming import ingest, reload, state
 from rillwork.suite.files import stamped_files
 from rillwork.suite.registry import query, table
 
@@ -55,15 +55,55 @@ def stream_csv_to_tables(spark, sf):
     FROM events GROUP BY 1""",
 )
 def stream_interval_reload(spark, sf):
-    path = fresh_dir(spark, "reloaded")
-    for parts in (3, 2):  # again with a new checkpoint and other batches: nothing changes
-        ingest.reload_from_stream(_batches(spark, sf, parts), path, fresh_dir(spark, "checkpoint"), "ts")
-    rows = ingest.read_reloaded(spark, path, table(spark, sf, "events").schema)
+    path, schema, base = fresh_dir(spark, "reloaded"), table(spark, sf, "events").schema, fresh_dir(spark, "arrivals")
+    table(spark, sf, "events").repartition(3, "event_id").write.parquet(base)
+    for per_batch in (1, 2):  # again with a new checkpoint and other batches: nothing changes
+        arrivals = ingest.stream_files(spark, base, schema, files_per_batch=per_batch)
+        reload.reload_from_stream(arrivals, path, fresh_dir(spark, "checkpoint"), "ts")
+    rows = reload.read_reloaded(spark, path, schema)
     return rows.groupBy(F.col("_interval_start").alias("interval_start")).agg(
         F.count("*").alias("n_rows"), F.sum("event_id").alias("ids")
     )
 
 
+@query(
+    "stream_reload_late",
+    """SELECT date_trunc('day', ts)::TIMESTAMP AS interval_start, event_type, count(*) AS n_rows, sum(event_id)::BIGINT AS ids
+    FROM events GROUP BY 1, 2""",
+)
+def stream_reload_late(spark, sf):
+    """Late files seen by a run with a new checkpoint of its own add rows to their intervals, before and after compaction."""
+    path, schema = fresh_dir(spark, "reloaded"), table(spark, sf, "events").schema
+    late = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for k in range(3):
+        base = fresh_dir(spark, f"arrivals-{k}")
+        table(spark, sf, "events").filter(late == k).write.parquet(base)
+        reload.reload_from_stream(ingest.stream_files(spark, base, schema), path, fresh_dir(spark, "checkpoint"), "ts")
+        if k != 1:
+            reload.compact_reloaded(spark, path, schema)
+    rows = reload.read_reloaded(spark, path, schema)
+    return rows.groupBy(F.col("_interval_start").alias("interval_start"), "event_type").agg(F.count("*").alias("n_rows"), F.sum("event_id").alias("ids"))
+
+
+@query(
+    "stream_schedule_agg",
+    """SELECT 'week' AS schedule, (date_trunc('day', ts) - to_days(dayofweek(ts)::INTEGER))::TIMESTAMP AS interval_start,
+        (date_trunc('day', ts) - to_days(dayofweek(ts)::INTEGER) + INTERVAL 7 DAY)::TIMESTAMP AS interval_end, count(*) AS n_rows, max(value) AS top
+    FROM events GROUP BY 2, 3
+    UNION ALL SELECT 'month', date_trunc('month', ts)::TIMESTAMP, (date_trunc('month', ts) + INTERVAL 1 MONTH)::TIMESTAMP, count(*), max(value)
+    FROM events GROUP BY 2, 3""",
+)
+def stream_schedule_agg(spark, sf):
+    """Calendar weeks and months on a stream whose rows come in no order."""
+    parts = {}
+    for name, schedule in (("week", "@weekly"), ("month", "@monthly")):
+        counted = state.scheduled_stream(_batches(spark, sf), "ts", schedule, F.count("*").alias("n_rows"), F.max("value").alias("top"), delay="400 days")
+        path, keys = fresh_dir(spark, "schedule"), ["interval_start", "interval_end"]
+        state.write_changes(counted, path, fresh_dir(spark, "checkpoint"), keys)
+        parts[name] = state.read_current(spark, path, counted.schema, keys)
+    return union_inputs(parts, column="schedule")
+
+
 @query(
     "stream_route",
     "SELECT event_id, event_type AS route FROM events WHERE event_type IN ('click', 'view', 'purchase')",
