@@ -261,8 +261,23 @@ def apply_function(spark, sf):
 )
 def udtf_emit_items(spark, sf):
     extensions.register_emit_items(spark, "emit_items")
-    table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("words")).createOrReplaceTempView("rw_part_words")
-    return spark.sql("SELECT p_partkey, item_num, item FROM rw_part_words, LATERAL emit_items(words)")
+    words = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
+    return spark.sql("SELECT p_partkey, item_num, item FROM {words}, LATERAL emit_items(words)", words=words)
+
+
+@query(
+    "udtf_running_batches",
+    """SELECT user_id, event_type, batch_num, n_rows, total, CAST(sum(total) OVER (PARTITION BY user_id, event_type ORDER BY batch_num) AS BIGINT) AS running FROM (
+        SELECT user_id, event_type, (rn - 1) // 10 + 1 AS batch_num, count(*) AS n_rows, CAST(sum(cents) AS BIGINT) AS total FROM (
+            SELECT user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents,
+                row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) GROUP BY ALL)""",
+)
+def udtf_running_batches(spark, sf):
+    """A function of a table: batches of ten rows per user and type in the order of time, with running totals."""
+    extensions.register_running_batches(spark, "running_batches")
+    events = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    call = "running_batches(TABLE(SELECT * FROM {events}) PARTITION BY (user_id, event_type) ORDER BY (ts, event_id), size => 10, value => 'cents', keep => 'user_id, event_type')"
+    return spark.sql(f"SELECT * FROM {call}", events=events)
 
 
 @query(
