@@ -6,7 +6,7 @@ from rillwork.functions.json_values import pick, record_text
 from rillwork.session import fresh_dir
 from rillwork.operators.flow import union_inputs
 from rillwork.sources.files import list_files
-from rillwork.streaming import ingest, reload, state
+from rillwork.streaming import bookmarks, ingest, reload, state
 from rillwork.suite.files import stamped_files
 from rillwork.suite.registry import query, table
 
@@ -181,3 +181,24 @@ def stream_topic_sink(spark, sf):
         pick(F.col("v"), "$.user_id", "long").alias("user_id"),
         pick(F.col("v"), "$.event_type").alias("event_type"),
     )
+
+
+@query(
+    "bookmark_extract",
+    """SELECT event_id, event_type, ts, CASE WHEN ts < TIMESTAMP '2024-01-09' THEN 1 WHEN ts < TIMESTAMP '2024-01-18' THEN 2 ELSE 3 END AS run
+    FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-03-01'""",
+)
+def bookmark_extract(spark, sf):
+    """Three extracts, each from the bookmark that the one before left, and a fourth one that finds nothing more."""
+    source, states, path, checkpoint, out = (fresh_dir(spark, n) for n in ("daily", "states", "bookmarks", "checkpoint", "extracted"))
+    schema = "stream string, bookmark string"
+    table(spark, sf, "events").withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(source)
+    daily = spark.read.parquet(source)
+    for run, last in enumerate(("2024-01-08", "2024-01-17", "2024-02-29", "2024-02-29"), start=1):
+        known = spark.createDataFrame([], bookmarks.BOOKMARKS) if run == 1 else bookmarks.read_bookmarks(spark, path)
+        rows = bookmarks.extract_after(daily, known, "events", "day", "2024-01-01", last)
+        rows.select("event_id", "event_type", "ts", F.lit(run).alias("run")).write.parquet(f"{out}/{run}")
+        state = [("events", last), ("events", "2024-01-02"), ("other", last)]  # one comes late
+        spark.createDataFrame(state, schema).write.mode("append").parquet(states)
+        bookmarks.keep_bookmarks(ingest.stream_files(spark, states, schema), path, checkpoint)
+    return spark.read.parquet(*[f"{out}/{n}" for n in range(1, 5)])
