@@ -3,7 +3,7 @@
 Per label a tree of nested levels with halving radii is laid over a bounded sample: a node's children are balls of half
 its radius that hold enough of the sample, and vectors outside all of them stay with the node itself. Every vector goes
 down the tree to its node. Distances of unit vectors obey the triangle inequality, so pairs of nodes whose covering
-radii keep them too far apart are dropped, and so are vectors too far from a node. Within a node, vectors so close to
+radii keep them too far apart are dropped with all pairs below them, and so are vectors too far from a node. Within a node, vectors so close to
 its centre that they must be linked with all others there are counted without a comparison. Whatever is left is compared
 exactly, in blocks that different tasks take on. Tasks return counts and spanning links, never all pairs.
 
@@ -29,8 +29,8 @@ from rillwork.session import settle
 SAMPLE, SAMPLE_BYTES = 4096, 32 << 20
 #: Sampled vectors that make a ball a node; vectors in a block.
 LEAST_SAMPLED, BLOCK = 4, 4096
-#: Slack of all bounds against rounding.
-SLACK = 1e-9
+#: Slack of all bounds against rounding: distances near 0 are off by up to 4e-8.
+SLACK = 1e-7
 
 
 def usable(vector: Column) -> Column:
@@ -100,6 +100,7 @@ class Forest:
     trees: dict[tuple[str, int], Node]
     centres: dict[int, np.ndarray]
     radii: dict[int, float] = field(default_factory=dict)
+    visits: int = 0
 
     def home(self, key: tuple[str, int], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Node and distance to its centre of each row; -1 and 0 where there is no tree."""
@@ -111,20 +112,68 @@ class Forest:
         return out, far
 
     def hosts(self, key: tuple[str, int], reach: float) -> dict[int, list[int]]:
-        """For each node the other nodes whose vectors it must be compared with there: the traversal of pairs of nodes
-        from the root, dropping pairs whose vectors are further apart than ``reach``. A pair meets at the node with the
-        smaller radius, where the bound for single vectors is sharper."""
-        own = [n for n in flat(self.trees[key]) if n.number in self.radii]
-        centres = np.stack([n.centre for n in own]) if own else np.zeros((0, 1))
-        radii = np.array([self.radii[n.number] for n in own])
-        out: dict[int, list[int]] = {n.number: [] for n in own}
-        for a, node in enumerate(own):
-            gap = distances(centres[a : a + 1], centres)[0] - radii - radii[a]
-            for b in np.flatnonzero(gap <= reach + SLACK):
-                if (radii[b], own[b].number) < (radii[a], node.number):
-                    out[node.number].append(own[b].number)
+        """For each node the other nodes whose vectors it must be compared with there. A pair of nodes meets at the one with
+        the smaller radius, where the bound for single vectors is sharper."""
+        out: dict[int, list[int]] = {}
+        for a, b in self.meetings(key, reach):
+            if (self.radii[b], b) > (self.radii[a], a):
+                a, b = b, a
+            out.setdefault(a, []).append(b)
         return out
 
+    def meetings(self, key: tuple[str, int], reach: float) -> list[tuple[int, int]]:
+        """Pairs of different nodes of which vectors may be linked: the dual traversal from (root, root).
+
+        A node covers its own vectors and all below it, within its covering radius. A pair of nodes whose covers are further
+        apart than ``reach`` is dropped with everything below both; else the wider one of the two gives way to its children and
+        to its own vectors, which are a child without children, until pairs of own vectors are left.
+        """
+        root, out, self.visits = covered(self.trees[key], self.radii), [], 0
+        todo = [(root, root)] if root else []
+        while todo:
+            a, b = todo.pop()
+            if a is b:
+                parts = a.parts
+                todo += [(p, p) for p in parts if p.parts]
+                for k, part in enumerate(parts[:-1]):
+                    self.visits += len(parts) - k - 1
+                    todo += [(part, x) for x in apart(part, parts[k + 1 :], reach)]
+            elif not a.parts and not b.parts:
+                out.append((a.number, b.number))
+            else:
+                if not a.parts or (b.parts and b.cover > a.cover):
+                    a, b = b, a
+                self.visits += len(a.parts)
+                todo += [(b, x) for x in apart(b, a.parts, reach)]
+        return out
+
+
+@dataclass
+class Cover:
+    """A node with its covering radius, or (without parts) the vectors of a node alone."""
+
+    number: int
+    centre: np.ndarray
+    cover: float
+    parts: list[Cover]
+
+
+def covered(node: Node, radii: dict[int, float]) -> Cover | None:
+    """The subtree with the radius that covers all vectors in it; None if there are none."""
+    parts = [c for c in (covered(child, radii) for child in node.children) if c]
+    if node.number in radii:
+        parts.append(Cover(node.number, node.centre, radii[node.number], []))
+    if not parts:
+        return None
+    far = distances(node.centre[None], np.stack([p.centre for p in parts]))[0]
+    return Cover(node.number, node.centre, float((far + [p.cover for p in parts]).max()), parts)
+
+
+def apart(one: Cover, others: list[Cover], reach: float) -> list[Cover]:
+    """Those of the others whose cover comes within ``reach`` of the cover of ``one``."""
+    gaps = distances(one.centre[None], np.stack([x.centre for x in others]))[0] - [x.cover for x in others] - one.cover
+    return [x for x, gap in zip(others, gaps, strict=True) if gap <= reach + SLACK]
+
 
 def plant(nodes: DataFrame, reach: float) -> Forest:
     """Trees over a sample of the distinct vectors (node, label, embedding, size)."""
@@ -190,17 +239,20 @@ def link_vectors(df: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id",
     reach = float(np.sqrt(2 - 2 * threshold))
     vector = df[f"`{embedding}`"].cast("array<double>")
     rows = df.select(df[f"`{vec_id}`"].cast("long").alias("vec_id"), vector.alias("embedding"), df[f"`{label}`"].cast("string").alias("label"))
+    # Two hashes stand for a vector where rows are told apart by it. Unequal ones for equal vectors (0.0, -0.0) change nothing.
+    rows = rows.withColumns({f"hash_{i}": F.xxhash64("embedding", F.lit(i)) for i in (1, 2)})
+    same = ["label", "hash_1", "hash_2"]
     takes_part = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("label", F.when(takes_part, F.col("label")))
-    nodes = rows.filter("label IS NOT NULL").groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    nodes = rows.filter("label IS NOT NULL").groupBy(*same).agg(F.any_value("embedding").alias("embedding"), F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     nodes = settle(nodes.withColumn("size", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     found, edges = links_of(nodes, reach, threshold)
     joined = settle(stars(edges), "components").select(F.col("u").alias("node"), F.col("v").alias("root"))
-    placed = nodes.select("node", "label", "embedding", "first", "copies").join(found, "node", "left").join(joined, "node", "left")
+    placed = nodes.select("node", *same, "first", "copies").join(found, "node", "left").join(joined, "node", "left")
     placed = settle(placed.withColumn("root", F.coalesce("root", "node")), "placed")
     firsts = settle(placed.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
-    known = settle(placed.join(firsts, "root").select("label", "embedding", "copies", "links", "component_id"), "known")
-    out = rows.join(known, ["label", "embedding"], "left")
+    known = settle(placed.join(firsts, "root").select(*same, "copies", "links", "component_id"), "known")
+    out = rows.drop("embedding").join(known, same, "left")
     n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0))
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

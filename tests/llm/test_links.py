@@ -134,3 +134,25 @@ def test_small_sets_meet_in_split_buckets():
             a, b = (chosen_path.paths_of(np.sort(tokens[:n]), 0.8, 16)[2] for n in (small, large))
             missed += not set(a.tolist()) & set(b.tolist())
         assert not missed
+
+
+def test_dual_traversal_visits_few_pairs_and_finds_all():
+    rng = np.random.default_rng(9)
+    centres = np.repeat(rng.normal(size=(12, 16)), 12, axis=0) + 0.25 * rng.normal(size=(144, 16))  # clusters of clusters
+    rows = covertree.unit_rows(centres[rng.integers(0, 144, 3000)] + 0.02 * rng.normal(size=(3000, 16)))
+    reach = float(np.sqrt(2 - 2 * 0.98))
+    numbers = iter(range(10_000))
+    forest = covertree.Forest({("a", 16): covertree.grow(rows, 2.0, reach / 2, numbers)}, {})
+    forest.centres = {n.number: n.centre for n in covertree.flat(forest.trees["a", 16])}
+    home, far = forest.home(("a", 16), rows)
+    forest.radii = {int(k): float(far[home == k].max()) for k in np.unique(home)}
+    met = {frozenset(p) for p in forest.meetings(("a", 16), reach)}
+    used = len(forest.radii)
+    assert used > 100 and forest.visits < 0.3 * used * (used - 1) / 2
+    hits = np.argwhere(rows @ rows.T >= 0.98)
+    assert all(home[a] == home[b] or frozenset((int(home[a]), int(home[b]))) in met for a, b in hits)
+    # None but those that the own vectors' radii allow.
+    for pair in met:
+        a, b = pair
+        gap = np.linalg.norm(forest.centres[a] - forest.centres[b])
+        assert gap <= forest.radii[a] + forest.radii[b] + reach + 1e-6
