@@ -53,3 +53,18 @@ def test_recall_on_the_given_vectors(spark):
     got, want = found(spark, rows, 10, 50), plain(rows, 10, 50)
     hits = sum(len({x[1] for x in got[q]} & {x[1] for x in want[q]}) for q in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_recall_when_windows_prune(spark, monkeypatch):
+    """Slots of 32 vectors: more than 60 slots, and a window that leaves most of them out."""
+    monkeypatch.setattr(hilbert, "SLOT", 32)
+    seen = []
+    window = hilbert.measured_window
+    monkeypatch.setattr(hilbert, "measured_window", lambda *a: seen.append(window(*a)) or seen[-1])
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24))
+    vectors = centres[rng.integers(0, 60, 2400)] + 0.1 * rng.normal(size=(2400, 24))
+    rows = [(i, np.float32(v).tolist(), 1) for i, v in enumerate(vectors)]
+    got, want = found(spark, rows, 10, 40), plain(rows, 10, 40)
+    hits = sum(len({x[1] for x in got[q]} & {x[1] for x in want[q]}) for q in want)
+    assert 2 * seen[0] + 1 < 40 and hits >= 0.9 * sum(map(len, want.values()))

@@ -55,3 +55,25 @@ def test_long_runs_are_spans(spark):
     assert [(s["start"], s["stop"]) for s in got[1].found] == [(4, 4 + len(long))]
     masked = {r.doc_id: r.text for r in secrets.mask_live(docs).collect()}
     assert masked == {1: "key [SECRET] end", 2: "jwt eyJhbGci.[SECRET].sig", 3: "z" * 300}
+
+
+def test_ownership_by_brute_force(spark):
+    """Counts of owners and repositories over the given documents, candidate by candidate."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("*", "concat_ws('/', source, lang) AS repository")
+    rows = docs.collect()
+    holders = {}
+    for r in rows:
+        base = secrets.base_spans(r.text or "")
+        for k, a, b, v in base + secrets.random_spans(r.text or "", base):
+            held = holders.setdefault(hashlib.sha256(r.text[v:b].encode()).hexdigest(), (set(), set()))
+            held[0].add(r.source)
+            held[1].add((r.source, r.repository))
+    live = {h for h, (owners, repositories) in holders.items() if len(owners) <= 1 and len(repositories) <= 1}
+    assert live and len(live) < len(holders)
+    got = {r.doc_id: r for r in secrets.weigh_secrets(docs, repository="repository", most_owners=1, most_repositories=1, keep=("doc_id",)).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        base = secrets.base_spans(r.text or "")
+        spans = [(k, a, b, hashlib.sha256(r.text[v:b].encode()).hexdigest()) for k, a, b, v in base + secrets.random_spans(r.text or "", base)]
+        want = sorted((a, k, b, h in live) for k, a, b, h in spans if h in live or k != "random")
+        assert sorted((s["start"], s["kind"], s["stop"], s["live"]) for s in got[r.doc_id].found) == want
