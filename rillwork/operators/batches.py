@@ -32,7 +32,8 @@ def number_rows(
     descending: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """1-based running number per group, for frames and groups of any size.
+    """1-based running number per group, for frames and groups of any size. The rows are written before they are cut, so
+    that what makes them runs once.
 
     ``order`` must be unique within a group. The rows are cut along the sort order (group, order) into ranges, in
     proportion to their number, so that a group holding a third of all rows becomes many ranges. The sorted ranges are
@@ -41,6 +42,7 @@ def number_rows(
     joined back: a broadcast where that table is small, else a shuffled join whose keys hold the range, so that no key is
     large. With no group the last step sums up one row per range.
     """
+    df = settle(df, "rows")
     slices = max(1, math.ceil(df.count() / rows_per_task))
     by = [*[F.asc(c) for c in group], *[F.desc(c) if descending else F.asc(c) for c in order]]
     ranged = df.repartitionByRange(slices, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())

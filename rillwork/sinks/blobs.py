@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,27 +63,28 @@ def write_lines(rows: DataFrame, base: str, codec: str | None = None, heads: str
     """Text files named in ``name`` with the lines of ``value`` in the order of ``_id``; returns the manifest of the files
     written (path below ``base``, rows, bytes).
 
-    One task writes a file, as one name is one file; it keeps the packed bytes of one file at a time. ``heads`` is the
-    first line of each file. ``clear`` empties the folder first.
+    One task writes a file, as one name is one file; batch by batch, so that no file is held in memory. ``heads`` is the
+    first line of each file. ``clear`` deletes what else the folder holds, once all files are whole.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, held, count, packer = None, [], 0, None
+        name, file, count, packer = None, None, 0, None
 
         def add(text: str) -> None:
-            held.append(packer.compress(text.encode()) if packer else text.encode())
+            file.write(packer.compress(text.encode()) if packer else text.encode())
 
         def close() -> pd.DataFrame:
-            size = storage.write_chunks(f"{base.rstrip('/')}/{name}", [*held, packer.flush()] if packer else held)
-            return pd.DataFrame({"path": [name], "n_rows": [count], "size": [size]})
+            if packer:
+                file.write(packer.flush())
+            return pd.DataFrame({"path": [name], "n_rows": [count], "size": [file.close()]})
 
         for batch in batches:
             for own, lines in batch.groupby("name", sort=True)["value"]:
                 if own != name:
                     if name is not None:
                         yield close()
-                    name, held, count = own, [], 0
+                    name, file, count = own, storage.PartFile(f"{base.rstrip('/')}/{own}"), 0
                     packer = zlib.compressobj(wbits=storage.WINDOW_BITS[codec]) if codec else None
                     if heads:
                         add(heads + "\n")
@@ -91,12 +93,22 @@ def write_lines(rows: DataFrame, base: str, codec: str | None = None, heads: str
         if name is not None:
             yield close()
 
-    if clear:
-        system, path = storage.open_path(base)
-        system.create_dir(path, recursive=True)
-        system.delete_dir_contents(path)
     ordered = rows.select("name", "_id", "value").repartition(parts, "name").sortWithinPartitions("name", "_id")
-    return settle(ordered.mapInPandas(write, "path string, n_rows long, size long"), "manifest")
+    before = _names_below(base) if clear else []
+    manifest = settle(ordered.mapInPandas(write, "path string, n_rows long, size long"), "manifest")
+    if before:
+        old = rows.sparkSession.createDataFrame([(n,) for n in before], "path string")
+        system, path = storage.open_path(base)
+        for row in old.join(manifest, "path", "left_anti").collect():
+            system.delete_file(f"{path.rstrip('/')}/{row.path}")
+    return manifest
+
+
+def _names_below(base: str) -> list[str]:
+    """Files of a folder, by their paths below it."""
+    system, path = storage.open_path(base)
+    found = system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
+    return [f.path[len(path.rstrip("/")) + 1 :] for f in found if f.type == fs.FileType.File]
 
 
 def write_gzip_lines(rows: DataFrame, base: str) -> DataFrame:

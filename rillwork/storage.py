@@ -50,6 +50,35 @@ def inflated(chunks: Iterable[bytes], codec: str) -> Iterator[bytes]:
     yield opener.flush()
 
 
+class PartFile:
+    """A file that is written under a name of its own and appears under the given one when it is closed."""
+
+    def __init__(self, uri: str):
+        self.system, self.path = open_path(uri)
+        self.system.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.out, self.size = self.system.open_output_stream(self.part, compression=None), 0
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> int:
+        self.out.close()
+        self.system.move(self.part, self.path)
+        return self.size
+
+
+def read_range(uri: str, start: int, length: int) -> Iterator[bytes]:
+    """A stretch of a file, chunk by chunk."""
+    system, path = open_path(uri)
+    with system.open_input_file(path) as file:
+        file.seek(start)
+        while length > 0 and (chunk := file.read(min(CHUNK, length))):
+            length -= len(chunk)
+            yield chunk
+
+
 def write_chunks(uri: str, chunks: Iterable[bytes], append: bool = False) -> int:
     """Write a file and return the bytes written.
 

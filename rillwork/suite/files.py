@@ -6,7 +6,7 @@ from rillwork.functions import paths
 from rillwork.functions.json_values import pick, record_text
 from rillwork.plans import transfers
 from rillwork.session import fresh_dir
-from rillwork.sinks import blobs, landing, records as out
+from rillwork.sinks import append, blobs, landing, records as out
 from rillwork.sources import files, records, tables
 from rillwork.suite.registry import query, table
 
@@ -223,6 +223,26 @@ def write_csv_minimal(spark, sf):
     return _csv_round_trip(spark, sf, quote_all=False)
 
 
+@query(
+    "append_free_paths",
+    """SELECT event_type || '/' || strftime(ts, '%Y-%m-%d') || '.csv' AS path, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id % 2, event_id) AS line_num,
+        event_id, event_type FROM events""",
+)
+def append_free_paths(spark, sf):
+    """Lines appended to files named by each row, in two appends; the second one is made twice. Lines stand in the order of
+    the appends, then of the events."""
+    events, base = table(spark, sf, "events"), fresh_dir(spark, "appended")
+    place = F.concat("event_type", F.lit("/"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".csv"))
+    line = F.concat_ws(",", "event_id", F.concat("event_type", F.lit("\n")))
+    for number in (0, 1, 1):
+        append.append_blobs(events.filter(F.col("event_id") % 2 == number), base, place, line, "event_id", number)
+    append.fold_appends(spark, base)
+    read = spark.read.format("binaryFile").load(f"{base}/[!_]*/*.csv")
+    lines = read.select(paths.as_format("path", base, "relative").alias("path"), F.posexplode(F.split(F.rtrim(F.col("content").cast("string"), F.lit("\n")), "\n")).alias("at", "line"))
+    parts = F.split("line", ",")
+    return lines.select("path", (F.col("at") + 1).cast("long").alias("line_num"), parts[0].cast("long").alias("event_id"), parts[1].alias("event_type"))
+
+
 @query(
     "write_free_paths",
     """SELECT event_type || '/' || strftime(ts, '%Y/%m/%d') || '.json' AS path, count(*) AS n_rows, sum(event_id)::BIGINT AS ids
