@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.text import similarity, word_count
 from rillwork.operators import relational
+from rillwork.operators.comparison import compare_by_ranges
 from rillwork.plans import matching
 from rillwork.plans.matching import match_and_enrich
 from rillwork.suite.registry import query, table
@@ -146,3 +147,46 @@ def pivot_rows(spark, sf):
 def melt_columns(spark, sf):
     part = table(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("double"))
     return relational.melt_columns(part, ["p_partkey"], ["p_size", "p_retailprice"])
+
+
+# Few rows differ: some prices, some dates taken away, some rows dropped, some twice.
+CHANGED_SQL = """a AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders),
+    b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 499 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+            CASE WHEN o_orderkey % 998 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 487 <> 0
+        UNION ALL SELECT * FROM a WHERE o_orderkey % 491 = 0 AND o_orderkey % 487 <> 0 AND o_orderkey % 499 <> 0),
+    surplus AS (SELECT *, 'left' AS side, count(*) AS n_rows FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL
+        UNION ALL SELECT *, 'right', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL)"""
+
+
+def _compared(spark, sf):
+    left = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    key = F.col("o_orderkey")
+    right = left.filter(key % 487 != 0).withColumns({
+        "o_totalprice": F.when(key % 499 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")),
+        "o_orderpriority": F.when(key % 998 != 0, F.col("o_orderpriority")),
+    })
+    again = left.filter((key % 491 == 0) & (key % 487 != 0) & (key % 499 != 0))
+    return compare_by_ranges(left, right.unionByName(again), ["o_orderkey"])
+
+
+@query("compare_ranges", f"WITH {CHANGED_SQL} SELECT * FROM surplus")
+def compare_ranges(spark, sf):
+    """Rows that differ, found by hashes of ranges: only ranges that differ are compared."""
+    return _compared(spark, sf).rows
+
+
+@query(
+    "compare_columns",
+    f"""WITH {CHANGED_SQL},
+    sides AS (SELECT o_orderkey AS k, CAST(coalesce(sum(n_rows) FILTER (side = 'left'), 0) AS BIGINT) AS l, CAST(coalesce(sum(n_rows) FILTER (side = 'right'), 0) AS BIGINT) AS r FROM surplus GROUP BY 1),
+    pairs AS (SELECT x.*, y.o_custkey AS c2, y.o_totalprice AS t2, y.o_orderpriority AS p2 FROM sides JOIN surplus x ON x.o_orderkey = k AND x.side = 'left'
+        JOIN surplus y ON y.o_orderkey = k AND y.side = 'right' WHERE l = 1 AND r = 1),
+    counts AS (SELECT 'o_orderkey' AS "column", count(*) FILTER (NOT (l = 1 AND r = 1)) AS n FROM sides
+        UNION ALL SELECT 'o_custkey', count(*) FILTER (o_custkey IS DISTINCT FROM c2) FROM pairs
+        UNION ALL SELECT 'o_totalprice', count(*) FILTER (o_totalprice IS DISTINCT FROM t2) FROM pairs
+        UNION ALL SELECT 'o_orderpriority', count(*) FILTER (o_orderpriority IS DISTINCT FROM p2) FROM pairs)
+    SELECT "column", n = 0 AS passed, n AS n_different FROM counts""",
+)
+def compare_columns(spark, sf):
+    """Which columns pass, and in how many keys the others differ."""
+    return _compared(spark, sf).columns
