@@ -12,7 +12,8 @@ The content of a file is the pieces of all appends, by their numbers and within
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,26 +28,31 @@ PIECES = "path string, at bigint, segment string, start bigint, length bigint"
 def append_blobs(df: DataFrame, base: str, path: Column | str, data: Column | str, order: Column | str, number: int) -> DataFrame:
     """Append the data of each row to the file ``base/path``, in the order of a whole number that is unique per path. Returns the
     manifest: path, at, segment, start, length. Null data adds nothing; text is written as UTF-8."""
-    spark = df.sparkSession
     path, data, order = (F.col(c) if isinstance(c, str) else c for c in (path, data, order))
     rows = df.select(F.ltrim(path, F.lit("/")).alias("path"), order.cast("long").alias("at"), data.cast("binary").alias("data")).filter("data IS NOT NULL")
-    folder = f"{base.rstrip('/')}/_segments/{number}"
+    return append_made(rows, base, number, lambda row: [bytes(row.data)])
+
+
+def append_made(pieces: DataFrame, base: str, number: int, make: Callable[[Any], Iterable[bytes]]) -> DataFrame:
+    """``append_blobs`` for pieces (path, at, other columns) whose bytes ``make`` gives from a row, inside the task."""
+    spark, folder = pieces.sparkSession, f"{base.rstrip('/')}/_segments/{number}"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file, name = None, f"{uuid.uuid4().hex}.seg"
         for batch in batches:
-            starts = []
-            for content in batch["data"]:
+            starts, lengths = [], []
+            for row in batch.itertuples(index=False):
                 file = file or storage.PartFile(f"{folder}/{name}")
                 starts.append(file.size)
-                file.write(bytes(content))
-            lengths = [len(x) for x in batch["data"]]
+                for chunk in make(row):
+                    file.write(chunk)
+                lengths.append(file.size - starts[-1])
             yield pd.DataFrame({"path": batch["path"], "at": batch["at"], "segment": name, "start": starts, "length": lengths})
         if file:
             file.close()
 
     manifest = f"{base.rstrip('/')}/_appends/number={number}"
-    rows.mapInPandas(write, PIECES).write.mode("overwrite").parquet(manifest)
+    pieces.mapInPandas(write, PIECES).write.mode("overwrite").parquet(manifest)
     return spark.read.schema(PIECES).parquet(manifest)
 
 

@@ -6,7 +6,7 @@ from rillwork.functions import paths
 from rillwork.functions.json_values import pick, record_text
 from rillwork.plans import transfers
 from rillwork.session import fresh_dir
-from rillwork.sinks import append, blobs, landing, records as out
+from rillwork.sinks import append, blobs, landing, members, records as out
 from rillwork.sources import files, records, tables
 from rillwork.suite.registry import query, table
 
@@ -223,6 +223,24 @@ def write_csv_minimal(spark, sf):
     return _csv_round_trip(spark, sf, quote_all=False)
 
 
+@query(
+    "compress_in_members",
+    """SELECT how, event_type, count(*) AS n_rows, sum(event_id)::BIGINT AS ids, sum(event_id * event_id)::BIGINT AS squares
+    FROM events, (VALUES ('by members'), ('as plain gzip')) AS t(how) GROUP BY 1, 2""",
+)
+def compress_in_members(spark, sf):
+    """One file of all events, compressed by many tasks; read by its members, and by a reader that knows gzip only."""
+    source, target = fresh_dir(spark, "large"), fresh_dir(spark, "members")
+    line = F.concat_ws(",", "event_id", "event_type", "ts", "value", "props")
+    table(spark, sf, "events").select(line.alias("value")).coalesce(1).write.text(source)
+    members.compress_in_members(spark, source, target, "part-*", size=1 << 16)
+    own = members.read_in_members(spark, target).select(F.lit("by members").alias("how"), "value")
+    plain = spark.read.text(f"{target}/part-*.gz").select(F.lit("as plain gzip").alias("how"), "value")
+    parts = F.split("value", ",")
+    rows = own.unionByName(plain).select("how", parts[0].cast("long").alias("event_id"), parts[1].alias("event_type"))
+    return rows.groupBy("how", "event_type").agg(F.count("*").alias("n_rows"), F.sum("event_id").alias("ids"), F.sum(F.col("event_id") * F.col("event_id")).alias("squares"))
+
+
 @query(
     "append_free_paths",
     """SELECT event_type || '/' || strftime(ts, '%Y-%m-%d') || '.csv' AS path, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id % 2, event_id) AS line_num,
