@@ -326,7 +326,11 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, words: int
     repeat doc_id and set."""
     names, docs = docs.columns, shielded(docs)
     columns, own_id, own_text = docs.columns, docs.columns[names.index("doc_id")], docs.columns[names.index("text")]
-    gone = jaccard_groups(docs, threshold, words, runs, own_id, own_text).filter("NOT kept").select(F.col("doc_id").alias(own_id), F.hex("digest").alias("set_")).distinct()
+    groups = settle(jaccard_groups(docs, threshold, words, runs, own_id, own_text).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(own_id), "kept", "digest"), "judged")
+    # Where a number stands for one row, it tells whether the row goes; only rows of repeated numbers are told apart by their sets.
+    repeated = settle(groups.groupBy(own_id).agg(F.count("*").alias("n")).filter("n > 1").select(own_id), "repeated")
+    gone = groups.filter("NOT kept").select(own_id, F.hex("digest").alias("set_")).distinct()
+    alone = docs.join(repeated.unionByName(gone.select(own_id)).distinct(), own_id, "left_anti").select(columns)
     schema = T.StructType([*docs.schema.fields, T.StructField("row_", T.LongType()), T.StructField("set_", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,6 +341,8 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, words: int
                 own = [None if pd.isna(d) or not len(s) else digest_of(s).hex().upper() for d, s in zip(part[own_id], sets, strict=True)]
                 yield part.assign(set_=own)
 
-    marked = map_frames(docs.withColumn("row_", F.monotonically_increasing_id()), run, schema)
+    several = docs.join(repeated, own_id, "left_semi").select(columns)
+    marked = map_frames(several.withColumn("row_", F.monotonically_increasing_id()), run, schema)
     marked = marked.withColumn("set_", F.coalesce("set_", F.col("row_").cast("string")))  # rows without a set stay apart
-    return marked.join(settle(gone, "gone"), [own_id, "set_"], "left_anti").dropDuplicates([own_id, "set_"]).select(columns).toDF(*names)
+    told_apart = marked.join(gone, [own_id, "set_"], "left_anti").dropDuplicates([own_id, "set_"]).select(columns)
+    return alone.unionByName(told_apart).toDF(*names)

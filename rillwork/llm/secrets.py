@@ -128,7 +128,9 @@ def weigh_secrets(
 
     counted = per_row.select("row", F.array_sort("spans", before).alias("judged"))
     none = F.expr("CAST(array() AS array<struct<start:bigint,kind:string,stop:bigint,value_start:bigint,value_hash:string,live:boolean>>)")
-    out = scanned.join(counted, "row", "left").withColumn("judged", F.coalesce("judged", none))
+    # Most rows have no candidate: they are not moved.
+    some = scanned.filter(F.size("found") > 0).join(counted, "row", "left").withColumn("judged", F.coalesce("judged", none))
+    out = some.unionByName(scanned.filter(F.size("found") == 0).withColumn("judged", none))
     return out.select(
         *[F.col(f"k_{c}").alias(c) for c in keep], "n_assign", "n_access", "n_hex", "base_sha256",
         F.size(F.filter("judged", lambda s: s["live"])).cast("long").alias("n_live"),
