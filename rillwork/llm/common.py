@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 
 #: Rows in an Arrow batch: whole texts go to Python, and two batches must fit beside a worker's own memory.
-ROWS_PER_BATCH = 2000
+ROWS_PER_BATCH = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -33,12 +33,11 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
         whole = pa.types.is_integer(values.type) and values.null_count
         return values.to_pandas(types_mapper=(lambda _: pd.Int64Dtype()) if whole else None)
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({name: as_series(values) for name, values in zip(batch.schema.names, batch.columns, strict=True)})
+    def as_frame(batch: pa.RecordBatch) -> pd.DataFrame:
+        return pd.DataFrame({name: as_series(values) for name, values in zip(batch.schema.names, batch.columns, strict=True)})
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in run(frames(batches)):
+        for frame in run(map(as_frame, batches)):  # no batch is held beside its frame
             yield pa.RecordBatch.from_pandas(frame[target.names], schema=target, preserve_index=False)
 
     return df.mapInArrow(mapped, wanted)
