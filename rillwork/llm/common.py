@@ -31,14 +31,15 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
 
     def as_series(values: pa.Array) -> pd.Series:
         whole = pa.types.is_integer(values.type) and values.null_count
-        return values.to_pandas(types_mapper=(lambda _: pd.Int64Dtype()) if whole else None)
+        return values.to_pandas(types_mapper=(lambda _: pd.Int64Dtype()) if whole else None, use_threads=False)
 
     def as_frame(batch: pa.RecordBatch) -> pd.DataFrame:
         return pd.DataFrame({name: as_series(values) for name, values in zip(batch.schema.names, batch.columns, strict=True)})
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in run(map(as_frame, batches)):  # no batch is held beside its frame
-            yield pa.RecordBatch.from_pandas(frame[target.names], schema=target, preserve_index=False)
+            # Column by column: threads would each keep the memory of the texts that they have converted.
+            yield pa.RecordBatch.from_arrays([pa.Array.from_pandas(frame[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(mapped, wanted)
 
