@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,22 @@ def pick_fields(variant: Column, fields: dict[str, tuple[str, str]]) -> Column:
     return F.struct(*[pick(variant, path, as_type).alias(n) for n, (path, as_type) in fields.items()])
 
 
+def pick_list(variant: Column, paths: Sequence[str], as_type: str = "string") -> Column:
+    """A list of the values at several paths, null where one is missing."""
+    return F.array(*[pick(variant, path, as_type) for path in paths])
+
+
+def pick_each_fields(variant: Column, path: str, fields: dict[str, tuple[str, str]]) -> Column:
+    """The same struct of named paths from every element of a list; null if there is no list."""
+    return F.transform(F.try_variant_get(variant, path, "array<variant>"), lambda x: pick_fields(x, fields))
+
+
+def pick_where(variant: Column, path: str, field: str, as_type: str, condition: Callable[[Column], Column]) -> Column:
+    """The elements of a list, as variants, whose field meets a condition; elements without it go."""
+    items = F.try_variant_get(variant, path, "array<variant>")
+    return F.filter(items, lambda x: F.coalesce(condition(F.try_variant_get(x, field, as_type)), F.lit(False)))
+
+
 def items_of(variant: Column, path: str) -> Column:
     """The found value as list of variants, ready for ``explode``: a list gives its elements, another
     value one element, and a missing value one null."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions import paths
@@ -12,10 +12,9 @@ from rillwork.functions.intervals import ntz
 from rillwork.functions.json_values import record_text
 from rillwork.functions.urls import quote
 from rillwork.operators.batches import ROWS_PER_TASK, number_rows
-from rillwork.session import settle
-from rillwork.sinks.blobs import compress_files, write_blobs, write_gzip_lines
-from rillwork.sinks.landing import insert_by_position, reload_interval, swap_interval
-from rillwork.sources.files import STAMP
+from rillwork.sinks.blobs import compress_files, write_blobs, write_gzip_parts
+from rillwork.sinks.landing import empty_interval, insert_by_position, reload_interval, swap_interval
+from rillwork.sources.files import STAMP, list_files
 from rillwork.sources.records import CSV_TEXT, read_csv
 
 
@@ -74,30 +73,22 @@ def table_to_warehouse(
 
     With ``stage`` the rows go through gzipped JSON files of ``part_rows`` records, as a warehouse that
     copies from files needs, named ``<table>_part001.json.gz`` and so on, and ``_loaded_from`` is
-    the path of the staged file; what was staged there before is replaced. Without it they go
+    the path of the staged file; what was staged there before is replaced, also by nothing. Without it they go
     straight to the landing table, which saves writing and reading them once more.
     """
     if stage is None:
         return reload_interval(df, landing, start, end, F.lit(table), loaded_at)
     spark = df.sparkSession
-    number = F.shiftright("_id", 33)  # one part per task, and more where a task has more rows
-    within = F.floor(F.col("_id").bitwiseAND((1 << 33) - 1) / part_rows).cast("long")
-    if df.isEmpty():
-        return reload_interval(df, landing, start, end, F.lit(table), loaded_at)
-    staged = settle(df.select(record_text(df).alias("value"), F.monotonically_increasing_id().alias("_id")), "staged")
-    staged = staged.select("value", "_id", number.alias("_task"), within.alias("_within"))
-    # Parts are numbered in order; their list has one row per part.
-    parts = settle(staged.select("_task", "_within").distinct(), "parts")
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_task", "_within"))
-    numbered = settle(parts.withColumn("_part", order), "numbered-parts")
-    placed = staged.join(numbered, ["_task", "_within"])
-    name = F.format_string(f"{table}_part%03d.json.gz", "_part")
-    write_gzip_lines(placed.select(name.alias("name"), "_id", "value"), stage)
+    stage = stage.rstrip("/")
+    write_gzip_parts(df.select(record_text(df).alias("value")), stage, f"{table}_part%03d.json.gz", part_rows)
+    if not list_files(spark, stage).limit(1).count():
+        empty_interval(spark, landing, start, end)
+        return 0
     at = loaded_at if loaded_at is not None else F.current_timestamp()
     rows = spark.read.text(stage).select(
         F.parse_json("value").alias("src"),
         at.cast("timestamp_ntz").alias("_loaded_at"),
-        F.concat(F.lit(stage.rstrip("/") + "/"), "_metadata.file_name").alias("_loaded_from"),
+        F.concat(F.lit(f"{stage}/"), "_metadata.file_name").alias("_loaded_from"),
         ntz(start).alias("_interval_start"),
         ntz(end).alias("_interval_end"),
     )

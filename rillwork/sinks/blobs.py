@@ -6,12 +6,13 @@ reading the manifest twice does not write the files twice.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork import storage
@@ -96,12 +97,51 @@ def write_lines(rows: DataFrame, base: str, codec: str | None = None, heads: str
     ordered = rows.select("name", "_id", "value").repartition(parts, "name").sortWithinPartitions("name", "_id")
     before = _names_below(base) if clear else []
     manifest = settle(ordered.mapInPandas(write, "path string, n_rows long, size long"), "manifest")
+    _delete_others(before, manifest, base)
+    return manifest
+
+
+def write_gzip_parts(lines: DataFrame, base: str, name: str, part_rows: int) -> DataFrame:
+    """Text files of up to ``part_rows`` lines, packed with gzip and numbered in the order of the rows, in place of what
+    the folder held; returns the manifest (path below ``base``, bytes). ``name`` is a format for the number.
+
+    Spark's own writer makes the files beside the folder, without a shuffle; tasks then give them their names. Only
+    the list of files is numbered in one task. A frame without rows has no files.
+    """
+    spark = lines.sparkSession
+    base = base.rstrip("/")
+    above, _, own = base.rpartition("/")
+    raw = f"{above}/_{own}-{uuid.uuid4().hex}"
+    lines.write.option("maxRecordsPerFile", part_rows).option("compression", "gzip").text(raw)
+    found = spark.read.format("binaryFile").load(raw).select("path", F.col("length").alias("size"))
+    task, part = (F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)[^/]*$", k).cast("long") for k in (1, 2))
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(task, part))
+    # A task without rows may leave a file: 20 bytes of gzip that hold nothing.
+    named = found.filter(F.col("size") > 20).select(F.col("path").alias("source"), F.format_string(name, number).alias("path"), "size")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, path in zip(batch["source"], batch["path"]):
+                storage.move(source, f"{base}/{path}")
+            yield batch[["path", "size"]]
+
+    before = _names_below(base)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = settle(named, "parts").repartition(parts, "source")
+    manifest = settle(listed.mapInPandas(place, "path string, size long"), "manifest")
+    _delete_others(before, manifest, base)
+    system, path = storage.open_path(raw)
+    system.delete_dir(path)
+    return manifest
+
+
+def _delete_others(before: list[str], manifest: DataFrame, base: str) -> None:
+    """Of the files ``before``, delete those that the manifest does not name."""
     if before:
-        old = rows.sparkSession.createDataFrame([(n,) for n in before], "path string")
+        old = manifest.sparkSession.createDataFrame([(n,) for n in before], "path string")
         system, path = storage.open_path(base)
         for row in old.join(manifest, "path", "left_anti").collect():
             system.delete_file(f"{path.rstrip('/')}/{row.path}")
-    return manifest
 
 
 def _names_below(base: str) -> list[str]:

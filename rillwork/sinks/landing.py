@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from itertools import islice
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -23,6 +24,8 @@ LANDING_SCHEMA = (
 )
 INTERVAL = ("_interval_start", "_interval_end")
 STAGED_SCHEMA = "data_var variant, etl_id string, etl_timestamp timestamp_ntz, etl_filename string"
+#: Staged files that one append of ``copy_into_table`` reads: so many names are in the driver at once.
+FILES_PER_APPEND = 10_000
 
 
 def append_rows(df: DataFrame, path: str, file_format: str = "parquet") -> None:
@@ -144,28 +147,35 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def copy_into_table(
-    spark: SparkSession, stage: str, path: str, etl_id: str, loaded: DataFrame | None = None
+    spark: SparkSession,
+    stage: str,
+    path: str,
+    etl_id: str,
+    loaded: DataFrame | None = None,
+    files_per_append: int = FILES_PER_APPEND,
 ) -> None:
     """Append staged JSON lines (compressed or not) to a table with id, time and file name of the load.
 
     A file is known by its path below the stage, as names repeat from folder to folder. Loading a file
     again adds it again, unless ``loaded`` (the table so far) is given: then the files that are there
     are dropped from the listing, before anything is read.
+
+    The list of files is a written table, and the driver takes ``files_per_append`` names of it at a time. A load that
+    stops between two appends goes on where it stopped if it is run again with ``loaded``.
     """
     files = list_files(spark, stage).select("path")
     if loaded is not None:
         # One row per loaded file on either side; settled, so that it is broadcast only if it is small.
         known = settle(loaded.select(F.col("etl_filename").alias("path")).distinct(), "loaded-files")
         files = files.join(known, "path", "left_anti")
-    # File names come to the driver, as they do for any listing that Spark reads.
-    fresh = [f"{stage.rstrip('/')}/{r.path}" for r in files.collect()]
-    if not fresh:
-        return
-    lines = spark.read.text(fresh)
-    rows = lines.select(
-        F.parse_json("value").alias("data_var"),
-        F.lit(etl_id).alias("etl_id"),
-        F.current_timestamp().cast("timestamp_ntz").alias("etl_timestamp"),
-        as_format(unquote("_metadata.file_path"), stage.rstrip("/"), "relative").alias("etl_filename"),
-    )
-    rows.write.mode("append").parquet(path)
+    base = stage.rstrip("/")
+    fresh = settle(files, "fresh-files").toLocalIterator()
+    begun = spark.range(1).select(F.current_timestamp().cast("timestamp_ntz").cast("string")).first()[0]
+    while some := [f"{base}/{r.path}" for r in islice(fresh, files_per_append)]:
+        rows = spark.read.text(some).select(
+            F.parse_json("value").alias("data_var"),
+            F.lit(etl_id).alias("etl_id"),
+            ntz(begun).alias("etl_timestamp"),
+            as_format(unquote("_metadata.file_path"), base, "relative").alias("etl_filename"),
+        )
+        rows.write.mode("append").parquet(path)

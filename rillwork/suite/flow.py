@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rillwork.functions import extensions
-from rillwork.functions.json_values import search
+from rillwork.functions.json_values import pick_each, pick_each_fields, pick_fields, pick_list, pick_where, search
 from rillwork.operators import batches, flow
 from rillwork.suite.registry import query, table
 
@@ -121,6 +121,40 @@ def json_search(spark, sf):
     return found.drop("text")
 
 
+@query(
+    "json_search_shapes",
+    """WITH parts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
+            CASE WHEN l_discount > 0.05 THEN CAST(round(l_discount * 100) AS BIGINT) END AS cents FROM lineitem),
+        documents_ AS (SELECT l_orderkey, first(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity, cents NULLS FIRST) AS first_part,
+            string_agg(CAST(cents AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_quantity, cents NULLS FIRST) AS discounts,
+            count(*) FILTER (l_quantity >= 40) AS n_large FROM parts GROUP BY l_orderkey)
+    SELECT o_orderkey AS order_key, o_orderstatus AS status, first_part, o_orderkey || '|' || o_orderstatus AS pair,
+        coalesce(discounts, '') AS discounts, CAST(n_large AS INTEGER) AS n_large, l_partkey AS part, l_quantity AS quantity
+    FROM orders JOIN documents_ d ON o_orderkey = d.l_orderkey JOIN parts p ON o_orderkey = p.l_orderkey""",
+)
+def json_search_shapes(spark, sf):
+    """Named fields, a list of fields, one field of each element, elements that meet a condition, fields of each element."""
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    cents = F.when(F.col("l_discount") > 0.05, F.round(F.col("l_discount") * 100).cast("long"))
+    entry = F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), cents.alias("cents"))
+    texts = (
+        lines.groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("lines"))
+        .join(orders, "o_orderkey")
+        .select(F.to_json(F.struct(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")).alias("order"), "lines")).alias("text"))
+    )
+    doc = texts.select(F.parse_json("text").alias("doc"))
+    v = F.col("doc")
+    shaped = doc.select(
+        pick_fields(v, {"order_key": ("$.order.key", "long"), "status": ("$.order.status", "string"), "first_part": ("$.lines[0].part", "long")}).alias("named"),
+        F.array_join(pick_list(v, ["$.order.key", "$.order.status"]), "|").alias("pair"),
+        F.array_join(pick_each(v, "$.lines", "$.cents"), ",").alias("discounts"),
+        F.size(pick_where(v, "$.lines", "$.quantity", "double", lambda q: q >= 40)).alias("n_large"),
+        F.explode(pick_each_fields(v, "$.lines", {"part": ("$.part", "long"), "quantity": ("$.quantity", "double")})).alias("line"),
+    )
+    return shaped.select("named.*", "pair", "discounts", "n_large", "line.*")
+
+
 @query(
     "explode_response",
     """SELECT doc_id, CAST(item_num AS BIGINT) AS item_num, line FROM (

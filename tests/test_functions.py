@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rillwork.functions import intervals, paths, text, urls
-from rillwork.functions.json_values import items_of, pick_each, record_text, search
+from rillwork.functions.json_values import items_of, pick_each, pick_each_fields, pick_list, pick_where, record_text, search
 from rillwork.plans.matching import fuzzy_match
 from tests.conftest import rows
 
@@ -181,6 +181,11 @@ def test_search_results(spark):
     assert rows(whole, "i", "item") == [(0, 2), (1, -1), (2, -1), (3, -1)]
     nested = spark.createDataFrame([('{"a": [{"x": 1}, {"y": 2}, {"x": 3}]}',)], "j string")
     assert nested.select(pick_each(F.parse_json("j"), "$.a", "$.x", "int")).first()[0] == [1, 3]
+    v = F.parse_json("j")
+    assert nested.select(pick_list(v, ["$.a[0].x", "$.b", "$.a[2].x"], "int")).first()[0] == [1, None, 3]
+    assert nested.select(pick_each_fields(v, "$.a", {"p": ("$.x", "int"), "q": ("$.y", "int")})).first()[0] == [(1, None), (None, 2), (3, None)]
+    assert nested.select(pick_each_fields(v, "$.b", {"p": ("$.x", "int")})).first()[0] is None
+    assert nested.select(F.to_json(pick_where(v, "$.a", "$.x", "int", lambda x: x > 1))).first()[0] == '[{"x":3}]'
     assert nested.select(F.size(items_of(F.parse_json("j"), "$.a"))).first()[0] == 3
 
 

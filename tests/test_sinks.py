@@ -139,6 +139,40 @@ def test_staged_load_names_its_file(spark, folder):
     assert names == [f"{folder}/stage/t_part{n:03d}.json.gz" for n in range(1, len(names) + 1)]
 
 
+def test_parts_are_numbered_and_replaced(spark, folder):
+    stage = f"{folder}/deep/stage"
+    load = lambda df, rows: transfers.table_to_warehouse(df, "t", f"{folder}/land", *DAYS[0], stage=stage, part_rows=rows)
+    assert load(spark.range(0, 100, numPartitions=4).filter("id < 50 OR id >= 75"), 10) == 75
+    where = landing.read_landing(spark, f"{folder}/land").select(F.expr("src:id::int"), "_loaded_from").collect()
+    part = {i: int(name[-11:-8]) for i, name in where}
+    assert sorted(set(part.values())) == list(range(1, 10)) and [part[i] for i in sorted(part)] == sorted(part.values())
+    assert max(map(list(part.values()).count, part.values())) == 10
+    assert load(spark.range(3).repartition(1), 10) == 3 and blobs._names_below(stage) == ["t_part001.json.gz"]
+    assert load(spark.range(0), 10) == 0 and blobs._names_below(stage) == []
+    assert landing.read_landing(spark, f"{folder}/land").count() == 0
+    assert blobs._names_below(f"{folder}/deep") == []
+
+
+def test_moved_file_stays_moved(folder):
+    storage.write_chunks(f"{folder}/a", [b"new"])
+    storage.write_chunks(f"{folder}/b", [b"old"])
+    for _ in range(2):
+        storage.move(f"{folder}/a", f"{folder}/b")
+    assert b"".join(storage.read_chunks(f"{folder}/b")) == b"new"
+    with pytest.raises(FileNotFoundError):
+        storage.move(f"{folder}/a", f"{folder}/c")
+
+
+def test_long_lists_of_staged_files_are_loaded_in_turns(spark, folder):
+    out.write_json_records(spark.range(0, 7, numPartitions=7), f"{folder}/stage")
+    landing.copy_into_table(spark, f"{folder}/stage", f"{folder}/t", "load-0", files_per_append=3)
+    got = spark.read.schema(landing.STAGED_SCHEMA).parquet(f"{folder}/t")
+    assert got.count() == 7 and got.select("etl_filename").distinct().count() == 7
+    assert got.select("etl_timestamp").distinct().count() == 1
+    landing.copy_into_table(spark, f"{folder}/stage", f"{folder}/t", "load-1", loaded=got, files_per_append=3)
+    assert spark.read.schema(landing.STAGED_SCHEMA).parquet(f"{folder}/t").count() == 7
+
+
 def test_copy_into_may_load_again(spark, folder):
     out.write_json_records(spark.range(3), f"{folder}/stage")
     for n in range(2):
