@@ -2,10 +2,13 @@
 
 A document is the set of its shingles (n words each, hashed). A path is a row of tokens that a set has sampled, each with
 the same hash function for all sets, so that similar sets sample the same ones: on average 1/threshold tokens a step,
-of which a pair at the threshold shares one. Sets with a path in common meet in its bucket. Buckets that are too large
-are split by one step more. Repeated runs bring the odds of a pair's never meeting below the target: with 16 runs a pair
-at the threshold meets with 1 - exp(-16) after one step and 1 - exp(-10.1) after two. Sets of less than 20 tokens have all
-of them as first paths and sample more second ones, so that a pair of them meets with at least 1 - exp(-16) after two.
+of which a pair at the threshold shares one. Sets with a path in common meet in its bucket. Large buckets are split by
+one step more, again and again, until they are small, until their sets are so alike on average that a step would hardly
+part them, or until a step leaves almost as many pairs to compare as it found. Such buckets are compared as they are, in
+blocks. Repeated runs bring the odds of a pair's never meeting below the target: with 16 runs a pair at the threshold meets
+with 1 - exp(-16) after one step and 1 - exp(-10.1) after two; later steps sample a quarter more, so that the odds stay
+above 1 - exp(-7.4) however deep. Sets of less than 20 tokens have all of them as first paths and sample more second
+ones, so that a pair of them meets with at least 1 - exp(-16) after two.
 
 Identical sets are one node. Pairs in a bucket that differ too much in size or in a short sketch are dropped; the others
 join groups, and within each group all sets are compared exactly, block against block, so that also pairs which never met
@@ -15,7 +18,7 @@ are found if a common neighbour ties them. Tasks return counts and spanning link
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +33,14 @@ from rillwork.llm.tokens import span_hashes
 from rillwork.session import settle
 
 WORDS, THRESHOLD, RUNS = 5, 0.8, 16
-#: A bucket of more sets is split by one step more.
+#: A bucket of more sets is split by one step more,
 LARGE = 256
+#: unless its sets have a greater mean similarity, measured in so many bins of their sketches: a step parts few of them.
+ALIKE, ALIKE_BINS = 0.4, 16
+#: Steps end where one leaves more than this share of the pairs to compare.
+PAYING = 0.9
+#: Steps after the second sample so much more than a pair at the threshold needs to share one token.
+LATER = 1.25
 #: Sets, and shingles, in a block of a comparison.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Bins of a sketch; a pair passes if its estimate is within so many standard errors of the threshold.
@@ -113,6 +122,19 @@ def paths_of(tokens: np.ndarray, threshold: float, runs: int) -> tuple[np.ndarra
     return first, np.concatenate(parents), np.concatenate(seconds)
 
 
+def later_paths(tokens: np.ndarray, buckets: np.ndarray, threshold: float) -> np.ndarray:
+    """The paths by which a set leaves each of its buckets."""
+    own = mix(tokens, 3)
+    limit = np.uint64(min(LATER / (threshold * len(tokens)), 1.0) * (2.0**64 - 2048))
+    out, step = [], max(1, (1 << 20) // len(tokens))
+    for k in range(0, len(buckets), step):
+        some = buckets[k : k + step]
+        next_hash = mix(own[None, :] ^ mix(some, 4)[:, None], 5)
+        x, y = np.nonzero(next_hash <= limit)
+        out.append(mix(next_hash[x, y] + some[x] * np.uint64(3), 6))
+    return np.unique(np.concatenate(out))
+
+
 SIGNED = "doc_id bigint, digest binary, size bigint, sketch binary, first array<bigint>, parents array<bigint>, seconds array<bigint>"
 
 
@@ -245,23 +267,65 @@ def verified(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.D
             yield pd.DataFrame({"node": node[some], "links": links[some], "root": node[labels[some]]})
 
 
-def met(reps: DataFrame) -> DataFrame:
-    """(bucket, n, node): who meets where. Buckets of one set are dropped, large ones split, and of buckets with the
-    same members one is kept."""
+def alike(entries: DataFrame, large: DataFrame, reps: DataFrame) -> DataFrame:
+    """(n, x1, x2, similarity): the mean similarity of the sets in each of the ``large`` buckets, from sketches. Buckets
+    of the same members are measured once."""
+    one = large.groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket"))
+    held = entries.join(one, "bucket").join(reps.select("node", "sketch"), "node")
+    byte = lambda at: F.conv(F.hex(F.substring("sketch", at, 1)), 16, 10).cast("int")
+    # A bin's mark, or null where the set has no token in it.
+    bins = [F.when(F.shiftright(byte(1 + b // 8), 7 - b % 8).bitwiseAND(1) == 1, byte(1 + BINS // 8 + b)) for b in range(ALIKE_BINS)]
+    marks = held.select("bucket", F.posexplode(F.array(*bins)).alias("bin", "mark")).filter("mark IS NOT NULL")
+    counts = marks.groupBy("bucket", "bin", "mark").agg(F.count("*").cast("double").alias("c"))
+    per_bin = counts.groupBy("bucket", "bin").agg(F.sum(F.col("c") * F.col("c")).alias("same"), F.sum("c").alias("filled"))
+    empty = F.col("n") - F.col("filled")
+    sums = per_bin.join(one, "bucket").groupBy("n", "x1", "x2").agg(F.sum("same").alias("same"), F.sum(F.col("n").cast("double") * F.col("n") - empty * empty).alias("either"))
+    return sums.select("n", "x1", "x2", (F.col("same") / F.col("either")).alias("similarity"))
+
+
+def met(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
+    """(bucket, n, node): who meets where. Buckets of one set are dropped, large ones split step by step, and of buckets
+    with the same members one is kept. ``sets_of`` gives (node, tokens) of the nodes in a table; it is asked for
+    those that are still in large buckets after two steps."""
 
     def summed(entries: DataFrame) -> DataFrame:
         marks = [F.bit_xor(F.xxhash64("node", F.lit(s))).alias(f"x{s}") for s in (1, 2)]
         return entries.groupBy("bucket").agg(F.count("*").alias("n"), *marks).filter("n > 1")
 
-    one = reps.select("node", F.explode(F.array_distinct("first")).alias("bucket"))
-    counts = settle(summed(one), "buckets")
-    large = counts.filter(F.col("n") > LARGE).select(F.col("bucket").alias("parent"))
-    steps = reps.select("node", F.explode(F.arrays_zip("parents", "seconds")).alias("s"))
-    steps = steps.select("node", F.col("s.parents").alias("parent"), F.col("s.seconds").alias("bucket"))
-    two = settle(steps.join(large, "parent").select("bucket", "node").distinct(), "second-step")
-    every = counts.filter(F.col("n") <= LARGE).unionByName(summed(two))
-    kept = settle(every.groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "kept")
-    return one.unionByName(two.select("node", "bucket")).join(kept, "bucket")
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, tokens, buckets in zip(batch["node"], batch["tokens"], batch["buckets"], strict=True):
+                paths = later_paths(np.frombuffer(tokens, np.uint64), np.asarray(buckets, np.int64).view(np.uint64), threshold)
+                yield pd.DataFrame({"bucket": paths.view(np.int64), "node": node})
+
+    same = ["n", "x1", "x2"]
+    entries = reps.select("node", F.explode(F.array_distinct("first")).alias("bucket"))
+    every, ready, sets, before, step = None, None, None, None, 1
+    while True:
+        counts = settle(summed(entries), f"buckets-{step}")
+        large = counts.filter(F.col("n") > LARGE)
+        judged = settle(large.join(alike(entries, large, reps), same, "left").withColumn("open", F.coalesce(F.col("similarity") < ALIKE, F.lit(False))), f"judged-{step}")
+        open_ = judged.filter("open").select("bucket")
+        # Pairs left to compare, each set of members once.
+        work = judged.filter("open").select(same).distinct().agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+        more = work > 0 and (before is None or work < PAYING * before)
+        closed = counts.select("bucket", *same).join(open_, "bucket", "left_anti") if more else counts.select("bucket", *same)
+        closed = closed.withColumn("step", F.lit(step))
+        stepped = entries.withColumn("step", F.lit(step))
+        every, ready = (closed, stepped) if every is None else (every.unionByName(closed), ready.unionByName(stepped))
+        if not more:
+            break
+        if step == 1:
+            steps = reps.select("node", F.explode(F.arrays_zip("parents", "seconds")).alias("s"))
+            steps = steps.select("node", F.col("s.parents").alias("parent"), F.col("s.seconds").alias("bucket"))
+            entries = steps.join(open_.withColumnRenamed("bucket", "parent"), "parent").select("bucket", "node").distinct()
+        else:
+            held = settle(entries.join(open_, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("buckets")), f"open-{step}")
+            sets = settle(sets_of(held.select("node")), "open-sets") if sets is None else sets
+            entries = sets.join(held, "node").mapInPandas(split, "bucket bigint, node bigint")
+        entries, before, step = settle(entries, f"step-{step + 1}"), work, step + 1
+    kept = settle(every.groupBy(same).agg(F.min(F.struct("step", "bucket")).alias("b")).select("b.step", "b.bucket", "n"), "kept")
+    return ready.join(kept, ["step", "bucket"]).select("bucket", "n", "node")
 
 
 def jaccard_groups(
@@ -284,7 +348,20 @@ def jaccard_groups(
     classes = settle(classes, "classes")
     reps = settle(known.drop("digest").join(classes.select("node", "first_id", "copies"), "node"), "reps")
 
-    entries = met(reps).join(reps.select("node", "size", "sketch"), "node").select("bucket", "n", "node", "size", "sketch")
+    def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b in text_slices(batch["text"].tolist()):
+                part = batch.iloc[a:b]
+                sets = shingle_sets(part["text"].tolist(), words)
+                right = [digest_of(s) == d for s, d in zip(sets, part["digest"], strict=True)]
+                yield part[["node"]].assign(tokens=[s.tobytes() for s in sets])[right]  # other texts under the same doc_id
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = nodes.join(reps.select("node", "doc_id"), "node").join(classes.select("node", "digest"), "node")
+        told = own.filter("text IS NOT NULL").join(wanted.hint("merge"), "doc_id").select("node", "text", "digest")
+        return told.mapInPandas(tokens_of, "node bigint, tokens binary").dropDuplicates(["node"])
+
+    entries = met(reps, sets_of, threshold).join(reps.select("node", "size", "sketch"), "node").select("bucket", "n", "node", "size", "sketch")
     paired = dealt_in_blocks(entries, "bucket", F.ceil(F.col("n") / BLOCK)).mapInPandas(lambda b: candidates(b, threshold), "u bigint, v bigint")
     tied = settle(stars(settle(paired, "candidates")), "tied")
     own_groups = tied.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct()
