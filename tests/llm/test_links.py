@@ -156,32 +156,3 @@ def test_dual_traversal_visits_few_pairs_and_finds_all():
         a, b = pair
         gap = np.linalg.norm(forest.centres[a] - forest.centres[b])
         assert gap <= forest.radii[a] + forest.radii[b] + reach + 1e-6
-
-
-def test_buckets_of_a_shared_passage_are_split_until_small(spark, monkeypatch):
-    monkeypatch.setattr(chosen_path, "LARGE", 24)
-    asked = []
-    inner = chosen_path.met
-
-    def counted(*args):
-        out = inner(*args)
-        asked.extend(r.n for r in out.select("bucket", "n").distinct().collect())
-        return out
-
-    monkeypatch.setattr(chosen_path, "met", counted)
-    rng = random.Random(8)
-    words = [f"w{i}" for i in range(5000)]
-    passage, rows = rng.choices(words, k=45), []
-    for i in range(500):  # similarity 0.25 of all with all: no link
-        rows.append((i, " ".join(passage + rng.choices(words, k=60))))
-    for i in range(60):  # and near copies among them
-        copy = rows[i][1].split()
-        copy[-rng.randrange(1, 50)] = "changed"
-        rows.append((500 + i, " ".join(copy)))
-    got = {r.doc_id: r for r in chosen_path.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = [shingles(t) for _, t in rows]
-    links = {(i, 500 + i) for i in range(60) if similar(sets[i], sets[500 + i])}
-    assert len(links) > 40 and {(r.class_id, r.doc_id) for r in got.values() if r.class_id != r.doc_id} == links
-    # Two steps alone leave buckets that hold all documents; the pairs compared are a small part of those.
-    whole = [n for n in asked if n > 280]
-    assert len(whole) <= 1 and sum(n * n for n in asked) < 2 * 560 * 560
