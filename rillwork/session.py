@@ -55,6 +55,22 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside the block keep their state in RocksDB if the session has Spark's default provider, which cannot
+    hold the state of ``transformWithState``. A stream that goes on from a checkpoint keeps its provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    known = spark.conf.get(key)
+    if not known.endswith(".HDFSBackedStateStoreProvider"):
+        yield
+        return
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, known)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as named in ``spark.checkpoint.dir``. A session without that setting has its
     warehouse, which they share as well."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from rillwork.session import rocksdb_state
 from rillwork.streaming.state import read_current, write_changes
 
 BOOKMARKS = T.StructType([T.StructField("stream", T.StringType()), T.StructField("bookmark", T.DateType())])
@@ -60,7 +61,8 @@ def furthest(messages: DataFrame, expiry: int | None = None) -> DataFrame:
 
 def keep_bookmarks(messages: DataFrame, path: str, checkpoint: str, expiry: int | None = None) -> None:
     """Take in what messages there are and write the bookmarks that moved."""
-    write_changes(furthest(messages, expiry), path, checkpoint, ["stream"])
+    with rocksdb_state(messages.sparkSession):
+        write_changes(furthest(messages, expiry), path, checkpoint, ["stream"])
 
 
 def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:

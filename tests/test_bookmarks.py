@@ -20,6 +20,18 @@ def test_bookmarks_only_move_forward(spark, folder):
     assert send(spark, folder, ("a", "2024-01-02")) == [("a", date(2024, 1, 2)), ("b", date(2024, 1, 5))]
 
 
+def test_session_with_the_default_state_provider(spark, folder):
+    key, default = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    known = spark.conf.get(key)
+    spark.conf.set(key, default)
+    try:
+        assert send(spark, folder, ("a", "2024-01-02")) == [("a", date(2024, 1, 2))]
+        assert send(spark, folder, ("a", "2024-01-01"), ("b", "2024-01-03")) == [("a", date(2024, 1, 2)), ("b", date(2024, 1, 3))]
+        assert spark.conf.get(key) == default
+    finally:
+        spark.conf.set(key, known)
+
+
 def test_expired_bookmark_starts_anew(spark, folder):
     import time
 
