@@ -1,11 +1,13 @@
 """Scans and sinks: every sink writes to a fresh folder, and the result is read back from there."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from rillwork.functions import paths
 from rillwork.functions.json_values import pick, record_text
 from rillwork.plans import transfers
-from rillwork.session import fresh_dir
+from rillwork.session import fresh_dir, settle
 from rillwork.sinks import append, blobs, landing, members, records as out
 from rillwork.sources import files, records, tables
 from rillwork.suite.registry import query, table
@@ -238,7 +240,12 @@ def compress_in_members(spark, sf):
     plain = spark.read.text(f"{target}/part-*.gz").select(F.lit("as plain gzip").alias("how"), "value")
     parts = F.split("value", ",")
     rows = own.unionByName(plain).select("how", parts[0].cast("long").alias("event_id"), parts[1].alias("event_type"))
-    return rows.groupBy("how", "event_type").agg(F.count("*").alias("n_rows"), F.sum("event_id").alias("ids"), F.sum(F.col("event_id") * F.col("event_id")).alias("squares"))
+    number = F.col("event_id").cast("decimal(19,0)")
+    sums = rows.groupBy("how", "event_type").agg(F.count("*").alias("n_rows"), F.sum(number).alias("ids"), F.sum(number * number).alias("squares"))
+    sums = settle(sums, "sums")
+    # The sums are exact: BIGINT as in the SQL as long as they fit, else, where the SQL has no result, DECIMAL.
+    wide = sums.agg(*[F.coalesce(F.max(F.abs(c)) >= F.lit(Decimal(1 << 63)), F.lit(False)).alias(c) for c in ("ids", "squares")]).first()
+    return sums.select("how", "event_type", "n_rows", *[F.col(c).cast("decimal(38,0)" if wide[c] else "long").alias(c) for c in ("ids", "squares")])
 
 
 @query(

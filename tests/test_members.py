@@ -4,6 +4,7 @@ import os
 import pytest
 
 from rillwork.sinks import members
+from rillwork.suite import QUERIES
 from tests.conftest import rows
 
 TEXTS = {"a.txt": "".join(f"line {i} é\n" for i in range(3000)), "b/c.txt": "no end", "empty.txt": "", "breaks.txt": "\n\n\nx\n\n", "long.txt": "y" * 5000 + "\nz\n"}
@@ -38,3 +39,13 @@ def test_many_tasks(spark, folder):
     read = members.read_in_members(spark, f"{folder}/out")
     assert read.rdd.getNumPartitions() >= 8
     assert read.selectExpr("count(*)", "sum(CAST(split(value, ' ')[0] AS BIGINT))").first()[:] == (300_000, sum(range(300_000)))
+
+
+def test_sums_beyond_a_bigint(spark, folder):
+    events = spark.range(4).selectExpr("id", "'view' AS event_type", "TIMESTAMP_NTZ '2024-01-01' AS ts", "1.0D AS value", "'{}' AS props")
+    for first, kind in ((1, "bigint"), (4_000_000_000, "decimal(38,0)")):
+        events.select((events.id + first).alias("event_id"), "event_type", "ts", "value", "props").write.parquet(f"{folder}/{first}/events.parquet")
+        out = QUERIES["compress_in_members"](spark, f"{folder}/{first}")
+        ids = range(first, first + 4)
+        assert rows(out.selectExpr("how", "event_type", "n_rows", "ids", "CAST(squares AS STRING)")) == [(how, "view", 4, sum(ids), str(sum(i * i for i in ids))) for how in ("as plain gzip", "by members")]
+        assert dict(out.dtypes) == {"how": "string", "event_type": "string", "n_rows": "bigint", "ids": "bigint", "squares": kind}
