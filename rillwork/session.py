@@ -71,6 +71,18 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, known)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs that run inside the block send Arrow batches of at most about ``size`` bytes to Python, or of one row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, known)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as named in ``spark.checkpoint.dir``. A session without that setting has its
     warehouse, which they share as well."""

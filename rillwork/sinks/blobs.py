@@ -11,15 +11,19 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork import storage
 from rillwork.functions import paths
-from rillwork.session import settle
+from rillwork.session import settle, small_batches
 from rillwork.sources.files import matching
 
+#: Bytes of an Arrow batch of whole files, about: Spark's default of 64 MB is held several times by each Python worker.
+BATCH = 4 << 20
+
 
 def write_blobs(
     df: DataFrame,
@@ -47,16 +51,18 @@ def write_blobs(
     if not append:
         _refuse_repeats(rows, F.col("path"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = []
-            for target, content in zip(batch["path"], batch["data"]):
-                chunks = [bytes(content)] if content is not None else []
+            for target, content in zip(batch.column(0), batch.column(1)):
+                # A view of the batch: no file is copied.
+                chunks = [memoryview(content.as_buffer())] if content.is_valid else []
                 packed = storage.deflated(chunks, codec) if codec else chunks
-                sizes.append(storage.write_chunks(target, packed, append))
-            yield pd.DataFrame({"path": batch["path"], "size": sizes, "metadata": batch["metadata"]})
+                sizes.append(storage.write_chunks(target.as_py(), packed, append))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2)], names=["path", "size", "metadata"])
 
-    written = settle(rows.mapInPandas(write, "path string, size long, metadata string"), "manifest")
+    with small_batches(df.sparkSession, BATCH):
+        written = settle(rows.mapInArrow(write, "path string, size long, metadata string"), "manifest")
     return written.withColumn("path", paths.as_format("path", base, path_format))
 
 

@@ -428,3 +428,20 @@ def test_several_intervals_in_one_pass(spark, folder):
     assert landing.read_landing(spark, folder).count() == 48
     assert landing.reload_intervals(df.filter("id >= 24"), folder, "ts", spans) == [0, 12, 0]
     assert landing.read_landing(spark, folder).count() == 12
+
+
+def test_whole_files_go_to_python_in_small_batches(spark, folder, monkeypatch):
+    key, seen, settle = "spark.sql.execution.arrow.maxBytesPerBatch", [], blobs.settle
+
+    def noted(df, label):
+        seen.append(spark.conf.get(key))
+        return settle(df, label)
+
+    monkeypatch.setattr(blobs, "settle", noted)
+    known = spark.conf.get(key)
+    data = F.when(F.col("id") != 3, F.repeat(F.col("id").cast("string"), 1 << 20))
+    made = blobs.write_blobs(spark.range(0, 12, 1, 1).withColumn("data", data), folder, F.format_string("a/%d.txt", "id"), "data")
+    assert rows(made, "path", "size") == sorted((f"a/{i}.txt", 0 if i == 3 else len(str(i)) << 20) for i in range(12))
+    assert seen == [str(blobs.BATCH)] and spark.conf.get(key) == known
+    read = spark.read.format("binaryFile").load(f"{folder}/a").selectExpr("element_at(split(path, '/'), -1) AS name", "CAST(content AS STRING) AS text")
+    assert read.filter("text <> repeat(split(name, '[.]')[0], 1048576) AND name <> '3.txt'").count() == 0
