@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from rillwork.sources import quoted
 from rillwork.sources.records import read_csv
+from rillwork.suite import QUERIES
+from rillwork.suite import files as file_queries
 from tests.conftest import rows
 
 SCHEMA = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("c", T.IntegerType())])
@@ -118,3 +120,14 @@ def test_many_tasks_read_one_file(spark, tmp_path):
         assert got.selectExpr("count(*)", "sum(c)", "count(DISTINCT a)").first()[:3] == (120_000, sum(range(120_000)), 1)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_query_writes_with_many_tasks(spark, folder, monkeypatch):
+    made, fresh_dir = [], file_queries.fresh_dir
+    monkeypatch.setattr(file_queries, "fresh_dir", lambda *args: made.append(fresh_dir(*args)) or made[-1])
+    data = [(i, [f'a "{i}"\n, b', "plain", None, '"\n"'][i % 4], "en", None, i) for i in range(400)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    found = QUERIES["scan_csv_quoted"](spark, folder)
+    assert sorted(found.collect(), key=lambda r: (r[0], r[4])) == sorted([(*d[:4], n) for d in data for n in (d[4], -d[4])], key=lambda r: (r[0], r[4]))
+    files = spark.read.text(made[0]).selectExpr("_metadata.file_path AS file", "value").filter("value = 'made by an \"odd program'")
+    assert files.count() == files.select("file").distinct().count() > 1
