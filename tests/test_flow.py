@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from rillwork.functions import extensions
 from rillwork.operators import flow, relational
 from rillwork.plans.matching import match_and_enrich
+from rillwork.suite import QUERIES
 from tests.conftest import rows
 
 
@@ -114,3 +115,15 @@ def test_user_functions(spark):
         yield batch
 
     assert extensions.map_batches(spark.range(3), twice, "id long").count() == 6
+
+
+def test_shapes_are_picked_once_per_document(spark, folder):
+    spark.createDataFrame([(1, "O"), (2, "F"), (3, None)], "o_orderkey long, o_orderstatus string").write.parquet(f"{folder}/orders.parquet")
+    lines = [(1, 10, 1, 40.0, 0.07), (1, 11, 2, 1.0, 0.01), (2, 12, 1, None, None), (None, 13, 1, 2.0, 0.1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(f"{folder}/lineitem.parquet")
+    found = QUERIES["json_search_shapes"](spark, folder)
+    assert rows(found, "order_key", "status", "first_part", "pair", "discounts", "n_large", "part", "quantity") == [
+        (1, "O", 10, "1|O", "7", 1, 10, 40.0), (1, "O", 10, "1|O", "7", 1, 11, 1.0), (2, "F", 12, "2|F", "", 0, 12, None)
+    ]
+    above, _, below = found._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
+    assert "array_join" not in above and below.count("array_join") == 2 and below.count("parseJson") == 1
